@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import bitpack, packing
+from auditloom.llm import bitpack, isomedia, langid, nbsvm, ngram_join, order_minhash, packing, toxicity
 from auditloom.llm._common import table
 
 
@@ -16,14 +16,44 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.harmonic_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isomedia.media_table(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_order_minhash": op2_order_minhash,
+        "op3_language_id": op3_language_id,
+        "op4_ngram_join": op4_ngram_join,
         "op5_bitpack": op5_bitpack,
+        "op6_toxicity": op6_toxicity,
+        "op7_quality": op7_quality,
+        "op10_media": op10_media,
     }
 
 

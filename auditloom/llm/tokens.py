@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _UNSURE = re.compile("[\x1c-\x1f]")
 #: Entries after which a worker's cache starts anew, and characters above which a chunk is not kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
 
 
 class ChunkTokenizer:
@@ -36,7 +35,7 @@ class ChunkTokenizer:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
