@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from auditloom.llm import bitpack, isomedia, langid, nbsvm, ngram_join, order_minhash, packing, toxicity
+from auditloom.llm import bitpack, host_reputation, isomedia, langid, nbsvm, ngram_join, order_minhash, packing, spm_fst, toxicity
 from auditloom.llm._common import table
 
 
@@ -40,6 +39,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm_fst.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_reputation.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomedia.media_table(table(spark, sf_dir, "documents"))
 
@@ -53,9 +60,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bitpack": op5_bitpack,
         "op6_toxicity": op6_toxicity,
         "op7_quality": op7_quality,
+        "op8_sentencepiece": op8_sentencepiece,
+        "op9_url_reputation": op9_url_reputation,
         "op10_media": op10_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_reputation": host_reputation.ORACLE_SQL}
