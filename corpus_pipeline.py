@@ -5,16 +5,31 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import packing
+from auditloom.llm import langid, nbsvm, ngram_join, packing
 from auditloom.llm._common import stored, table
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a letter, or whose score is under the calibrated bound, go."""
+    return langid.keep_known(docs)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier, learned from the labels of documents that got here; rejected ones go."""
+    return nbsvm.keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each linked group the document of least doc_id stays."""
+    return ngram_join.keep_one_of_each(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Harmonic packing of the documents that are left."""
     return packing.harmonic_pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [("language", known_language), ("quality", good_quality), ("near_duplicates", one_of_each_group), ("packing", packed)]
 
 #: Trained models, component search and tokenization are beyond SQL; tests use brute force.
 ORACLE_SQL = None
