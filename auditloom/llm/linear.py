@@ -135,7 +135,7 @@ class Rows:
 
 def select_buckets(lists: list[np.ndarray], y: np.ndarray, bits: int, most: int, least_rows: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, log-count ratios): the ``most`` buckets whose naive Bayes ratio is surest."""
-    counts = [sum((np.bincount(x, minlength=1 << bits) for x, t in zip(lists, y, strict=True) if t == c), np.zeros(1 << bits, dtype=np.int64)) for c in (0, 1)]
+    counts = [np.bincount(np.concatenate([np.zeros(0, dtype=np.int32), *(x for x, t in zip(lists, y, strict=True) if t == c)]), minlength=1 << bits) for c in (0, 1)]
     smooth = [c + 1.0 for c in counts]
     n = [float((y == c).sum()) + 2.0 for c in (0, 1)]
     ratio = np.log(smooth[1] / n[1]) - np.log(smooth[0] / n[0])

@@ -11,7 +11,7 @@ GRAMS = Grams(orders=(1, 2, 3), bits=20, letters=False)
 HELD_OUT = (5, 0)  #: modulus and remainder of crc32(doc_id)
 THRESHOLD = 0.3
 #: Bound of the training sample (documents of each label) and of the features kept.
-PER_CLASS, FEATURES = 1500, 8192
+PER_CLASS, FEATURES = 1500, 2048
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> IndicatorModel:

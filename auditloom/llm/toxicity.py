@@ -11,7 +11,7 @@ GRAMS = Grams(orders=(4, 5, 6), bits=22, letters=True)
 HELD_OUT = (3, 1)  #: modulus and remainder of crc32(doc_id)
 THRESHOLD = 0.7
 #: Bound of the training sample (documents of each label) and of the features kept.
-PER_CLASS, FEATURES = 1200, 8192
+PER_CLASS, FEATURES = 1200, 1024
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> IndicatorModel:
