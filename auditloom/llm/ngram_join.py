@@ -12,7 +12,9 @@ classes share; two classes link when that count reaches what the similarity asks
 3. In a column with many rows, the row that holds it earliest leads: it is paired with all others
    first. Pairs of others count only where their links left them in different groups, so a large
    group of copies costs as many pairs as it has members.
-4. Overlaps of the pairs that are left are counted over whole rows, each led row beside its leader.
+4. A pair is discarded where the parity bitmaps of its rows (a bit or two for each shingle) differ
+   in more bits than the symmetric difference of linked sets of these sizes may have items.
+5. Overlaps of the pairs that are left are counted over whole rows, each led row beside its leader.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ SIMILARITY = 75
 #: Most columns whose frequency is told apart: the broadcast table has at most so many rows.
 FREQUENT_COLUMNS = 1 << 18
 #: Columns counted together by a task, and the least count within them that is reported.
-COUNT_WINDOW, COUNT_LEAST = 1 << 21, 4
+COUNT_WINDOW, COUNT_LEAST = 1 << 22, 3
 #: Entries of the incidence matrix that a block of columns should hold.
 BLOCK_ENTRIES = 1 << 21
 #: Entries that a task gathers before it sends them to their blocks.
@@ -43,6 +45,8 @@ SEND_ENTRIES = 1 << 20
 LED_ROWS = 8
 #: Led rows that are verified in one task.
 LED_PER_TASK = 512
+#: Rows of wanted sets up to which they are broadcast to the documents instead of joined by a shuffle.
+BROADCAST_ROWS = 50_000
 
 _random = np.random.default_rng(1974)
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,18 +109,32 @@ def prefix_length(n: int, similarity: int = SIMILARITY) -> int:
     return n - -(-similarity * n // 100) + 1
 
 
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """A bitmap whose bits are the parities of the shingles that fall on them; 8 bits at least."""
+    size = 1 << max(3, int(len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles >> np.uint64(8)).astype(np.int64) % size, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Items that are in one of two sets only, at least: the bits in which their bitmaps differ."""
+    a, b = (np.frombuffer(z, dtype=np.uint8) for z in ((x, y) if len(x) <= len(y) else (y, x)))
+    while len(b) > len(a):  # a bit of the half-sized bitmap is the parity of two bits
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 # ---------------------------------------------------------------- rows and frequent columns
 
 
 def _count_rows(docs: DataFrame, words: int) -> DataFrame:
-    """For each document (doc_id, n, id), and for each window of a task the columns seen often in it (column, seen)."""
+    """For each document (doc_id, n, id, bits), and for each window of a task the columns seen often in it (column, seen)."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, size = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column(1), words)
-                yield _typed(doc_id=(part.column(0), pa.int64()), n=([len(s) for s in sets], pa.int32()), id=([class_id(s) for s in sets], pa.int64()), column=([None] * len(sets), pa.int64()), seen=([None] * len(sets), pa.int64()))
+                yield _typed(doc_id=(part.column(0), pa.int64()), n=([len(s) for s in sets], pa.int32()), id=([class_id(s) for s in sets], pa.int64()), bits=([parity_bits(s) if len(s) else None for s in sets], pa.binary()), column=([None] * len(sets), pa.int64()), seen=([None] * len(sets), pa.int64()))
                 window += sets
                 size += sum(map(len, sets))
                 if size >= COUNT_WINDOW:
@@ -130,9 +148,9 @@ def _count_rows(docs: DataFrame, words: int) -> DataFrame:
         keep = seen >= COUNT_LEAST
         columns, seen = columns[keep].view(np.int64), seen[keep]
         nothing = [None] * len(columns)
-        return _typed(doc_id=(nothing, pa.int64()), n=(nothing, pa.int32()), id=(nothing, pa.int64()), column=(columns, pa.int64()), seen=(seen, pa.int64()))
+        return _typed(doc_id=(nothing, pa.int64()), n=(nothing, pa.int32()), id=(nothing, pa.int64()), bits=(nothing, pa.binary()), column=(columns, pa.int64()), seen=(seen, pa.int64()))
 
-    return docs.mapInArrow(count, "doc_id long, n int, id long, column long, seen long")
+    return docs.mapInArrow(count, "doc_id long, n int, id long, bits binary, column long, seen long")
 
 
 def _typed(**columns) -> pa.RecordBatch:
@@ -325,13 +343,30 @@ def _unseen(batch: pa.RecordBatch, seen: set) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- whole rows
 
 
+def _alike(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link."""
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (np.asarray(batch.column(c)).astype(np.int64) for c in (2, 3))
+            most = n + m - 2 * least_overlap(n, m)
+            ok = [least_difference(x, y) <= d for x, y, d in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, type=pa.bool_()))
+
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(compare, "a long, b long")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) that link. A leader's set goes to each of its tasks, b's set beside it."""
+    pairs = stored(_alike(classes, pairs), "alike")
     tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / LED_PER_TASK).alias("tasks"))
     led = pairs.join(tasks, "a").select(F.col("b").alias("id"), F.struct(F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("led")).alias("role"))
     leads = tasks.select(F.col("a").alias("id"), F.explode(F.transform(F.sequence(F.lit(0), F.col("tasks").cast("int") - 1), lambda t: F.struct(F.col("a").alias("leader"), t.alias("task"), F.lit(0).alias("led")))).alias("role"))
     roles = led.unionByName(leads).groupBy("id").agg(F.collect_list("role").alias("roles"))  # bounded: the blocks that a class meets a leader in
-    wanted = roles.join(classes, "id").select("id", F.col("rep").alias("doc_id"), "roles")
+    wanted = stored(roles.join(classes, "id").select("id", F.col("rep").alias("doc_id"), "roles"), "wanted")
+    if (wanted.agg(F.sum(F.size("roles")).alias("n")).first().n or 0) <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,13 +414,21 @@ def ngram_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     docs = doc_columns(docs, "doc_id", "text")
     counted = stored(_count_rows(docs, words), "shingles")
     rows = counted.where("column is null").select("doc_id", "n", "id")
-    linkable = rows.where("n > 0 and doc_id is not null")
-    classes = linkable.groupBy("id").agg(F.min("doc_id").alias("rep"))
+    linkable = counted.where("column is null and n > 0 and doc_id is not null")
+    classes = stored(linkable.groupBy("id").agg(F.min(F.struct("doc_id", "n", "bits")).alias("least")).select("id", F.col("least.doc_id").alias("rep"), "least.n", "least.bits"), "classes")
     docs_with_id = docs.where("doc_id is not null")
 
     total = linkable.agg(F.sum(F.col("n").cast("long")).alias("n")).first().n or 0
-    least = max(4 * COUNT_LEAST, -(-total // FREQUENT_COLUMNS))
-    often = counted.where("column is not null").groupBy("column").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least).toArrow()
+    seen = counted.where("column is not null").groupBy("column").agg(F.sum("seen").alias("seen"))
+    seen = stored(seen, "frequent")
+    sizes = seen.groupBy(F.floor(F.log2("seen")).cast("int").alias("size")).count().collect()  # a row for each power of two
+    least, room = 0, FREQUENT_COLUMNS
+    for row in sorted(sizes, key=lambda r: -r["size"]):
+        room -= row["count"]
+        if room < 0:
+            least = 2 ** (row["size"] + 1)
+            break
+    often = seen.where(F.col("seen") >= least).toArrow()
     order = spark.sparkContext.broadcast(ColumnOrder(np.asarray(often["column"]).view(np.uint64), np.asarray(often["seen"])))
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * (100 - SIMILARITY) // 100 // BLOCK_ENTRIES))
 
