@@ -111,7 +111,7 @@ class TokenFile:
 FILES = "shard int, part int, ids_before long, n_docs long, n_ids long, image binary"
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shards: int | None = None, file_ids: int = FILE_IDS) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shards: int | None = None, file_ids: int = FILE_IDS, words: bool = True) -> None:
     """Encode whole documents and write their ids in ascending doc_id order to ``path``.
 
     ``path`` becomes a Parquet dataset with a file image in each row, so that Spark's committer
@@ -119,6 +119,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     doc_id; shards follow each other in order (bounds: quantiles of doc_id). A null doc_id comes
     first; rows with the same doc_id come in the order of their ids. Null and empty texts consist
     of ``end_id``. The ids are encoded before the shuffle and travel at two or four bytes each.
+    ``words``: the tokenizer file drops white space and lower-cases.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -132,7 +133,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = chunk_tokenizer(tokenizer_path).encode
+        encode_all = chunk_tokenizer(tokenizer_path, words).encode
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = [np.frombuffer(x + end, dtype="<u4").astype(narrow).tobytes() for x in encode_all(part.column(1).to_pylist())]

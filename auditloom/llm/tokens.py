@@ -3,8 +3,12 @@
 Both tokenizer files used here split a text at white space before any merge is applied, so
 the ids of a text are the ids of its chunks (a run of white space and the word after it) one
 after another. Each task therefore hands every distinct chunk to the tokenizers library once.
-Texts holding U+001C to U+001F, which Python and the library do not class alike, are encoded
-whole.
+A run of Latin letters before an ASCII mark other than the apostrophe is a chunk too, as both
+files always cut there. Texts holding U+001C to U+001F, which Python and the library do not class
+alike, are encoded whole.
+
+For a file that drops white space and lower-cases (``words``), white space is left out of chunks,
+and texts within Latin-1, which Python and the library lower-case alike, are lower-cased before.
 """
 
 from __future__ import annotations
@@ -14,20 +18,23 @@ import re
 from array import array
 from functools import lru_cache
 
-_CHUNK = re.compile(r"\s*\S+|\s+")
+_BEFORE_MARK = r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[!-&(-/:-@\[-`{-~])"
+_CHUNK = re.compile(rf"\s*+{_BEFORE_MARK}|\s*\S+|\s+")
+_WORD = re.compile(rf"{_BEFORE_MARK}|\S+")
 _UNSURE = re.compile("[\x1c-\x1f]")
 #: Entries after which a worker's cache starts anew, and characters above which a chunk is not kept.
 CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 48
 
 
 class ChunkTokenizer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
+        self.words = words
 
     @property
     def vocabulary(self) -> int:
@@ -41,7 +48,8 @@ class ChunkTokenizer:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
-        parts = [[] if _UNSURE.search(x or "") else _CHUNK.findall(x or "") for x in texts]
+        cut = _WORD.findall if self.words else _CHUNK.findall
+        parts = [[] if not x or _UNSURE.search(x) else cut(_lower(x) if self.words else x) for x in texts]
         new = list({c for p in parts for c in p}.difference(self.cache))
         known = self.cache
         long = {}
@@ -56,7 +64,15 @@ class ChunkTokenizer:
         return [b"".join(map(look, p)) if p or not x else self._encode([x])[0] for x, p in zip(texts, parts, strict=True)]
 
 
+def _lower(text: str) -> str:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 @lru_cache(maxsize=4)
-def chunk_tokenizer(path: str) -> ChunkTokenizer:
+def chunk_tokenizer(path: str, words: bool = False) -> ChunkTokenizer:
     """One tokenizer, and one cache, for each file and Python worker."""
-    return ChunkTokenizer(path)
+    return ChunkTokenizer(path, words)
