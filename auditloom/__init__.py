@@ -1,0 +1 @@
+"""Auditing of agent tool definitions and server configurations on Spark."""

@@ -1,0 +1,179 @@
+"""Readers of client configurations, tool dumps, baselines and model files."""
+
+from __future__ import annotations
+
+import json
+import os
+import sys
+import tomllib
+from pathlib import Path
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from auditloom.operators.scoring import LogisticModel
+
+# Where server tables and their fields are found.
+TABLE_KEYS = ("$.mcpServers", "$.servers", "$.mcp_servers", "$.mcp.servers")
+FALLBACK_KEYS = ("$.context_servers", "$.mcp.servers", "$.mcp")
+SERVER_FIELDS = ("command", "url", "type", "transport", "args", "httpUrl")
+CONFIG_PLACES = (
+    ".mcp.json",
+    "~/.claude.json",
+    "~/Library/Application Support/Claude/claude_desktop_config.json",
+    "%APPDATA%/Claude/claude_desktop_config.json",
+    "~/.cursor/mcp.json",
+    "%APPDATA%/Code/User/mcp.json",
+    "~/.config/Code/User/mcp.json",
+    "~/Library/Application Support/Code/User/mcp.json",
+    "~/.codeium/windsurf/mcp_config.json",
+    "%APPDATA%/Code/User/globalStorage/saoudrizwan.claude-dev/settings/cline_mcp_settings.json",
+    "~/Library/Application Support/Code/User/globalStorage/saoudrizwan.claude-dev/settings/cline_mcp_settings.json",
+    "~/.config/zed/settings.json",
+)
+PROJECT_PLACES = (".mcp.json", ".vscode/mcp.json")
+BASELINE_FORMAT = 1
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
+
+def discover_configs(start: str = ".") -> list[str]:
+    """Well-known configuration files that exist, each once."""
+    home = [os.path.expanduser(p.replace("%APPDATA%", os.environ.get("APPDATA", "~/AppData/Roaming"))) for p in CONFIG_PLACES]
+    places = [*home, *(str(Path(start, p)) for p in PROJECT_PLACES)]
+    return list(dict.fromkeys(str(Path(p).resolve()) for p in places if Path(p).is_file()))
+
+
+def strip_comments(text: str) -> str:
+    """JSON without ``//`` and ``/* */`` comments; those within strings stay."""
+    out, i, n = [], 0, len(text)
+    while i < n:
+        if text[i] == '"':
+            end = i + 1
+            while end < n and text[end] != '"':
+                end += 2 if text[end] == "\\" else 1
+            out.append(text[i : end + 1])
+            i = end + 1
+        elif text.startswith("//", i):
+            i = next((j for j in range(i, n) if text[j] == "\n"), n)
+        elif text.startswith("/*", i):
+            end = text.find("*/", i + 2)
+            i = n if end < 0 else end + 2
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+def config_json(path: str, text: str) -> tuple[str | None, str | None]:
+    """(canonical JSON, error) of a configuration in JSON, JSON with comments, or TOML."""
+    try:
+        text = text.removeprefix("﻿")
+        data = tomllib.loads(text) if path.endswith(".toml") else json.loads(strip_comments(text))
+    except json.JSONDecodeError as e:
+        return None, f"{path}: invalid JSON at line {e.lineno}: {e.msg}"
+    except (ValueError, tomllib.TOMLDecodeError) as e:
+        return None, f"{path}: {e}"
+    if not isinstance(data, dict):
+        return None, f"{path}: the top level is not an object"
+    return json.dumps(data, default=str), None
+
+
+@F.pandas_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))
+def _config_json(paths: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([config_json(p, t or "") for p, t in zip(paths, texts, strict=True)], columns=["json", "error"])
+
+
+def read_configs(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(servers, errors) of configuration files; files are parsed on the executors."""
+    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return servers_of(texts)
+
+
+def servers_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(servers, errors) of (path, value) rows."""
+    parsed = texts.select("path", _config_json("path", "value").alias("p")).select("path", F.try_parse_json("p.json").alias("v"), "p.error")
+    is_map = lambda k: F.try_variant_get("v", k, "map<string,variant>")
+    looks = lambda m: F.exists(F.map_values(m), _is_server)
+    table = F.coalesce(*(F.when(F.coalesce(looks(is_map(k)), F.lit(False)), is_map(k)) for k in (*TABLE_KEYS, *FALLBACK_KEYS)))
+    found = parsed.select("path", "error", table.alias("table"))
+    errors = found.where("error is not null or table is null").select(F.coalesce("error", F.concat("path", F.lit(": no server table"))).alias("message"))
+    rows = found.where("table is not null").select("path", F.posexplode(F.map_entries("table")).alias("ord", "e")).where(_is_server(F.col("e.value")))
+    block = F.col("e.value")
+    get = lambda k: F.nullif(F.try_variant_get(block, f"$.{k}", "string"), F.lit(""))
+    url = F.coalesce(get("url"), get("httpUrl"), get("serverUrl"))
+    return rows.select(
+        F.col("e.key").alias("name"), get("command").alias("command"), F.coalesce(F.try_variant_get(block, "$.args", "array<string>"), F.array().cast("array<string>")).alias("args"),
+        F.coalesce(F.try_variant_get(block, "$.env", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("env"), url.alias("url"),
+        F.coalesce(get("type"), get("transport"), F.when(url.isNotNull(), "http").otherwise("stdio")).alias("transport"), F.col("path").alias("source_path"), F.col("ord").cast("long").alias("ord"),
+    ).dropDuplicates(["source_path", "name"]), errors
+
+
+def _is_server(value: Column) -> Column:
+    found = F.lit(False)
+    for name in SERVER_FIELDS:
+        found = found | F.try_variant_get(value, f"$.{name}", "variant").isNotNull()
+    return F.coalesce(found, F.lit(False))
+
+
+DUMP = "servers array<struct<name:string,transport:string,command:string,args:array<string>,env:map<string,string>,url:string,tools:array<variant>>>"
+
+
+def read_tool_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(servers, tools) of captured definitions. Entries without a name are skipped."""
+    return dump_relations(spark.read.text(path, wholetext=True))
+
+
+def dump_relations(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    server = texts.select(F.posexplode(F.from_json("value", DUMP)["servers"]).alias("at", "s")).where("coalesce(s.name, '') <> ''")
+    servers = server.select("s.name", "s.command", "s.args", "s.env", "s.url", F.coalesce("s.transport", F.lit("stdio")).alias("transport"), F.lit("").alias("source_path"), F.col("at").cast("long").alias("ord"))
+    tool = server.select(F.col("s.name").alias("server"), "at", F.posexplode("s.tools").alias("pos", "t"))
+    get = lambda k: F.try_variant_get("t", f"$.{k}", "string")
+    part = lambda *ks: F.coalesce(*(F.to_json(F.try_variant_get("t", f"$.{k}", "map<string,variant>")) for k in ks), F.lit("{}"))
+    tools = tool.where(F.coalesce(get("name"), F.lit("")) != "").select(
+        "server", get("name").alias("name"), F.coalesce(get("description"), F.lit("")).alias("description"), part("inputSchema", "input_schema").alias("input_schema"),
+        part("annotations").alias("annotations"), F.lit("tool").alias("kind"), (F.col("at") * 1_000_000 + F.col("pos")).cast("long").alias("ord"),
+    )
+    return servers, tools
+
+
+def read_baseline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(servers, tools) of a JSON baseline; another format than 1 is an error."""
+    fields = ("fingerprint", "description_fingerprint", "schema_fingerprint", "annotations_fingerprint", "preview")
+    kind = f"format int, servers map<string,map<string,struct<{','.join(f + ':string' for f in fields)}>>>"
+    data = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("b")).where(F.assert_true(F.coalesce(F.col("b.format") == BASELINE_FORMAT, F.lit(False)), "unknown baseline format").isNull())
+    servers = data.select(F.explode("b.servers").alias("server", "tools"))
+    tools = servers.select("server", F.explode("tools").alias("tool", "r")).select("server", "tool", *(F.coalesce(f"r.{f}", F.lit("")).alias(f) for f in fields))
+    return servers.select("server"), tools
+
+
+def read_model(path: str) -> LogisticModel | None:
+    """A model file, or None where it is missing or not a model."""
+    try:
+        return LogisticModel.from_json(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError, TypeError):
+        return None
+
+
+def rpc_tools(payloads: DataFrame) -> DataFrame:
+    """TOOLS from (server, payload): JSON-RPC results that list tools or prompts; the first of a name counts."""
+    parsed = payloads.select("server", F.from_json("payload", "result struct<tools:array<variant>,prompts:array<variant>>")["result"].alias("r"))
+    each = parsed.select("server", F.posexplode(F.concat(*(F.coalesce(F.transform(f"r.{k}s", lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("t"))), F.array().cast("array<struct<kind:string,t:variant>>")) for k in ("tool", "prompt")))).alias("ord", "x"))
+    get = lambda k: F.try_variant_get("x.t", f"$.{k}", "string")
+    part = lambda k: F.coalesce(F.to_json(F.try_variant_get("x.t", f"$.{k}", "map<string,variant>")), F.lit("{}"))
+    rows = each.where(F.coalesce(get("name"), F.lit("")) != "").select("server", get("name").alias("name"), F.coalesce(get("description"), F.lit("")).alias("description"), part("inputSchema").alias("input_schema"), part("annotations").alias("annotations"), F.col("x.kind").alias("kind"), F.col("ord").cast("long").alias("ord"))
+    return rows.groupBy("server", "name").agg(F.min_by(F.struct("description", "input_schema", "annotations", "kind", "ord"), "ord").alias("f")).select("server", "name", "f.*")
+
+
+def event_stream_messages(text: Column) -> Column:
+    """JSON objects of a server-sent event stream: data lines of each block, joined and parsed."""
+    blocks = F.split(text, r"\r?\n\r?\n")
+    data = lambda b: F.array_join(F.transform(F.filter(F.split(b, r"\r?\n"), lambda line: line.startswith("data:")), lambda line: F.ltrim(F.substring(line, 6, 1 << 30))), "\n")
+    return F.filter(F.transform(blocks, data), lambda d: F.try_variant_get(F.try_parse_json(d), "$", "map<string,variant>").isNotNull())
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
