@@ -82,9 +82,10 @@ def with_features(tools: DataFrame) -> DataFrame:
     folded = F.col("folded")
     columns = size_features(text) | unicode_features(text) | {"encoded_blob": T.blob_count(F.concat_ws(" ", F.coalesce(F.col("name"), F.lit("")), text))}
     columns |= plain_features(text, folded) | guarded_features(folded) | schema_features(F.coalesce(F.col("input_schema"), F.lit("")))
-    rows = rows.withColumns({n: v.cast("double") for n, v in columns.items()})
-    rows = rows.withColumns({n: v.cast("double") for n, v in interactions(F.col).items()})
-    return rows.select(*tools.columns, *FEATURES)
+    # one generated row: the optimizer does not merge projections across it, so no pattern runs twice
+    made = F.inline(F.array(F.struct(*(v.cast("double").alias(n) for n, v in columns.items()))))
+    rows = rows.select(*tools.columns, made)
+    return rows.select(*tools.columns, *columns, *(v.cast("double").alias(n) for n, v in interactions(F.col).items())).select(*tools.columns, *FEATURES)
 
 
 def vector() -> Column:

@@ -44,7 +44,8 @@ def baseline_json(baseline: tuple[DataFrame, DataFrame], version: str = "1") ->
     servers, tools = baseline
     fields = [c for c in tools.columns if c not in ("server", "tool")]
     by_server = tools.groupBy("server").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", F.struct(*fields))))).alias("tools"))
-    whole = servers.join(by_server, "server", "left").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("server", F.coalesce("tools", F.create_map().cast(dict(by_server.dtypes)["tools"])))))).alias("servers"))
+    listed = F.collect_list(F.struct("server", F.coalesce("tools", F.create_map().cast(dict(by_server.dtypes)["tools"]))))
+    whole = servers.join(by_server, "server", "left").agg(F.map_from_entries(listed).alias("servers"))
     created = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
     return whole.select(F.to_json(F.struct(F.lit(BASELINE_FORMAT).alias("format"), created.alias("created_at"), F.lit(version).alias("scanner_version"), "servers")).alias("value"))
 
