@@ -98,14 +98,18 @@ def sampled_buckets(docs: DataFrame, sample: DataFrame, grams: Grams, counted: b
                 pairs = list(grams.buckets(part.column(1))) or [(np.zeros(0, dtype=np.int64),) * 2]
                 number, bucket = (np.concatenate(x) for x in zip(*pairs, strict=True))
                 key, count = np.unique(number.astype(np.int64) << 32 | bucket, return_counts=True)
-                ends = np.searchsorted(key >> 32, np.arange(part.num_rows + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (key & 0xFFFFFFFF, count)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], names=["doc_id", "label", "buckets", "counts"])
+                ends = pa.array(np.searchsorted(key >> 32, np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key & 0xFFFFFFFF, count)[: 1 + counted]]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], names=["doc_id", "label", "buckets", "counts"][: 3 + counted])
 
     rows = doc_columns(docs, "doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    got = rows.mapInArrow(read, f"doc_id long, label {label_type}, buckets array<int>, counts array<int>").toArrow().sort_by("doc_id").combine_chunks()
-    split = lambda name: [np.asarray(x.values) for x in got[name]]
-    return got["label"].to_pylist(), split("buckets"), split("counts") if counted else []
+    got = rows.mapInArrow(read, f"doc_id long, label {label_type}, buckets array<int>" + ", counts array<int>" * counted).toArrow()
+    found = []
+    for batch in got.to_batches():  # views of the received buffers, no copies
+        columns = [[np.asarray(x.values) for x in batch.column(c)] for c in range(2, 3 + counted)]
+        found += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *columns, strict=True)
+    found.sort(key=lambda r: r[0])
+    return [r[1] for r in found], [r[2] for r in found], [r[3] for r in found] if counted else []
 
 
 def calibration_part(n: int) -> np.ndarray:
@@ -135,15 +139,17 @@ class Rows:
 
 def select_buckets(lists: list[np.ndarray], y: np.ndarray, bits: int, most: int, least_rows: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, log-count ratios): the ``most`` buckets whose naive Bayes ratio is surest."""
-    counts = [np.bincount(np.concatenate([np.zeros(0, dtype=np.int32), *(x for x, t in zip(lists, y, strict=True) if t == c)]), minlength=1 << bits) for c in (0, 1)]
-    smooth = [c + 1.0 for c in counts]
+    counts = np.zeros((2, 1 << bits), dtype=np.int32)
+    for x, t in zip(lists, y, strict=True):
+        counts[t][x] += 1  # the buckets of a document are distinct
+    seen = np.flatnonzero(counts.sum(axis=0) >= least_rows)
+    smooth = counts[:, seen] + 1.0
     n = [float((y == c).sum()) + 2.0 for c in (0, 1)]
     ratio = np.log(smooth[1] / n[1]) - np.log(smooth[0] / n[0])
     sure = np.abs(ratio) / np.sqrt(1 / smooth[0] + 1 / smooth[1])
-    sure[counts[0] + counts[1] < least_rows] = 0
     best = np.sort(np.argsort(-sure, kind="stable")[:most])
     best = best[sure[best] > 0]
-    return best, ratio[best]
+    return seen[best], ratio[best]
 
 
 def to_rows(lists: list[np.ndarray], table: np.ndarray, ratio: np.ndarray) -> Rows:
