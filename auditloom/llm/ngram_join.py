@@ -458,7 +458,7 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     groups = ngram_groups(docs, words)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("bigint") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
