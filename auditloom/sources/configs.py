@@ -165,7 +165,12 @@ def read_model(path: str) -> LogisticModel | None:
 def rpc_tools(payloads: DataFrame) -> DataFrame:
     """TOOLS from (server, payload): JSON-RPC results that list tools or prompts; the first of a name counts."""
     parsed = payloads.select("server", F.from_json("payload", "result struct<tools:array<variant>,prompts:array<variant>>")["result"].alias("r"))
-    each = parsed.select("server", F.posexplode(F.concat(*(F.coalesce(F.transform(f"r.{k}s", lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("t"))), F.array().cast("array<struct<kind:string,t:variant>>")) for k in ("tool", "prompt")))).alias("ord", "x"))
+    nothing = F.array().cast("array<struct<kind:string,t:variant>>")
+
+    def listed(kind: str) -> Column:
+        return F.coalesce(F.transform(f"r.{kind}s", lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("t"))), nothing)
+
+    each = parsed.select("server", F.posexplode(F.concat(listed("tool"), listed("prompt"))).alias("ord", "x"))
     get = lambda k: F.try_variant_get("x.t", f"$.{k}", "string")
     part = lambda k: F.coalesce(F.to_json(F.try_variant_get("x.t", f"$.{k}", "map<string,variant>")), F.lit("{}"))
     rows = each.where(F.coalesce(get("name"), F.lit("")) != "").select("server", get("name").alias("name"), F.coalesce(get("description"), F.lit("")).alias("description"), part("inputSchema").alias("input_schema"), part("annotations").alias("annotations"), F.col("x.kind").alias("kind"), F.col("ord").cast("long").alias("ord"))
