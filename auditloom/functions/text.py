@@ -59,7 +59,7 @@ def entropy(text: Column) -> Column:
 
     The text is cut into characters once and sorted, so runs give the counts in linear space.
     """
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    chars = F.sort_array(F.filter(F.split(text, ""), lambda c: c != ""))
     n = F.size(chars)
 
     def step(state: Column, c: Column) -> Column:
