@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ NAME = "shadowing"
 NESTED_LOOP_NAMES = 2_000
 #: Names in one automaton; a larger dictionary is searched in several passes.
 AUTOMATON_NAMES = 1_000_000
+_WORD = re.compile("[a-z0-9_]")
 
 
 def name_collisions(tools: DataFrame) -> DataFrame:
@@ -41,42 +43,53 @@ def cross_references(tools: DataFrame, strict: bool = False, dictionary: DataFra
     ``dictionary``: tools whose names are looked for, if not those of ``tools`` themselves.
     """
     owners = (tools if dictionary is None else dictionary).where("name <> ''").groupBy("name").agg(F.collect_set("server").alias("owners"))
-    owners = owners.select(F.col("name").alias("other"), F.size("owners").alias("n_owners"), F.element_at("owners", 1).alias("owner"))
+    owners = owners.select(F.col("name").alias("other"), F.size("owners").alias("n_owners"), F.get("owners", F.lit(0)).alias("owner"))
     number = owners.count()
     text = F.lower("description")
     if number <= NESTED_LOOP_NAMES:
         pairs = tools.join(F.broadcast(owners), F.contains(text, F.lower("other")) & (F.col("other") != F.col("name")))
+        foreign = pairs.where((F.col("n_owners") > 1) | (F.col("owner") != F.col("server")))
+        if strict:
+            foreign = foreign.where(F.regexp_count(text, F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.lower("other"), F.lit(r"\E(?![a-z0-9_])"))) > 0)
     else:
-        hits = None
+        foreign = None
         for part in range(-(-number // AUTOMATON_NAMES)):
-            names = [r.other for r in owners.where(F.pmod(F.xxhash64("other"), F.lit(-(-number // AUTOMATON_NAMES))) == part).select("other").toLocalIterator()]
-            found = _scan(tools, names)
-            hits = found if hits is None else hits.unionByName(found)
-        pairs = hits.join(owners, "other").where(F.col("other") != F.col("name"))
-    foreign = pairs.where((F.col("n_owners") > 1) | (F.col("owner") != F.col("server")))
-    if strict:
-        foreign = foreign.where(F.regexp_count(text, F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.lower("other"), F.lit(r"\E(?![a-z0-9_])"))) > 0)
+            only_owner = F.when(F.col("n_owners") == 1, F.col("owner"))
+            some = owners.where((F.col("n_owners") > 0) & (F.pmod(F.xxhash64("other"), F.lit(-(-number // AUTOMATON_NAMES))) == part))
+            found = _scan(tools, [tuple(r) for r in some.select("other", only_owner).toLocalIterator()], strict)
+            foreign = found if foreign is None else foreign.unionByName(found)
     return foreign.groupBy("server", "name").agg(F.array_sort(F.collect_set("other")).alias("refs"))
 
 
-def _scan(tools: DataFrame, names: list[str]) -> DataFrame:
+def _scan(tools: DataFrame, names: list[tuple[str, str | None]], strict: bool) -> DataFrame:
+    """(server, name, other) of the foreign names in each description; ``names`` are (name, its owner if it has but one)."""
     shared = tools.sparkSession.sparkContext.broadcast(names)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton, spelled = ahocorasick.Automaton(), {}
-        for name in shared.value:
-            spelled.setdefault(name.lower(), []).append(name)
+        for name, owner in shared.value:
+            spelled.setdefault(name.lower(), []).append((name, owner))
         for lowered, same in spelled.items():
-            automaton.add_word(lowered, same)
+            automaton.add_word(lowered, (len(lowered), tuple(same)))
         automaton.make_automaton()
         for batch in batches:
-            out = [(s, n, o) for s, n, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for o in {x for _, same in automaton.iter((d or "").lower()) for x in same}]
+            out = []
+            for server, name, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                text = (text or "").lower()
+                if strict:
+                    hits = {same for end, (size, same) in automaton.iter(text) if not (_WORD.match(text, end - size, end - size + 1) if end >= size else None) and not _WORD.match(text, end + 1)}
+                else:
+                    hits = {same for _, (_, same) in automaton.iter(text)}
+                found = [o for same in hits for o, owner in same if name is not None and o != name and (owner is None or server is not None and owner != server)]
+                if found:
+                    out.append((server, name, found))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string()) for c in columns], names=["server", "name", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.string(), pa.string(), pa.list_(pa.string())), strict=True)], names=["server", "name", "others"])
 
-    return tools.select("server", "name", "description").mapInArrow(scan, "server string, name string, other string")
+    found = tools.select("server", "name", "description").mapInArrow(scan, "server string, name string, others array<string>")
+    return found.select("server", "name", F.explode("others").alias("other"))
 
 
 def shadowing(tools: DataFrame, strict: bool = False) -> DataFrame:

@@ -164,6 +164,23 @@ def cross_server_refs(spark, sf_dir):
     return shadowing.cross_references(known.unionByName(spoken), dictionary=known)
 
 
+REFS_FULL_SQL = """
+WITH {}, named AS (
+  SELECT server, name, description FROM tools UNION ALL SELECT 'regions', r_name, r_name FROM region UNION ALL SELECT 'nations', n_name, n_name FROM nation
+  UNION ALL SELECT source, 'doc_' || doc_id, coalesce(text, '') FROM documents),
+dictionary AS (SELECT name AS other, count(DISTINCT server) AS n, min(server) AS owner FROM named WHERE name <> '' GROUP BY name)
+SELECT server, name, list_sort(list(DISTINCT other)) AS refs FROM named, dictionary
+WHERE contains(lower(description), lower(other)) AND other <> name AND (n > 1 OR owner <> server) GROUP BY server, name"""
+
+
+@query("cross_server_refs_full", REFS_FULL_SQL.format(tables.TOOLS_SQL))
+def cross_server_refs_full(spark, sf_dir):
+    """References in the whole texts, to the names of all tools, documents among them; ``cross_server_refs`` reads a built line only."""
+    places = [tables.read(spark, sf_dir, t).select(F.lit(f"{t}s").alias("server"), F.col(c).alias("name"), F.col(c).alias("description")) for t, c in (("region", "r_name"), ("nation", "n_name"))]
+    rows = all_tools(spark, sf_dir).select("server", "name", "description")
+    return shadowing.cross_references(rows.unionByName(places[0]).unionByName(places[1]))
+
+
 # ---------------------------------------------------------------- features
 
 
