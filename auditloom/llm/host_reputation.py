@@ -5,9 +5,11 @@ share of bad pages is shrunk level by level with beta-binomial priors: a suffix
 a domain towards its suffix, a host towards its domain. The strength of each prior is estimated
 from the spread of the level's own shares (method of moments). A page is blocked when the lower
 posterior bound of its host's share of bad pages is above a limit, so hosts without much evidence
-pass.
+pass only where the prior does not outweigh that: a strong prior narrows the bound without labels.
+With ``evidenced`` the bound is as wide as the host's own labelled pages leave it and null below a
+suffix without any, and rules teach only suffixes that they both block and allow.
 
-The production query has no page labels but the rules' own verdicts, so these are its outcomes.
+The production queries have no page labels but the rules' own verdicts, so these are their outcomes.
 The registered domain is the last two labels of the host, the suffix its last one.
 """
 
@@ -74,11 +76,21 @@ def _strength(level: DataFrame, mean: float) -> float:
     return round(min(MOST_STRENGTH, max(LEAST_STRENGTH, mean * (1 - mean) / variance - 1)), 6)
 
 
-def host_reputations(pages: DataFrame) -> DataFrame:
+def suffix_of(host: Column) -> Column:
+    return F.regexp_extract(host, r"(?s)([^.]*)$", 1)
+
+
+def taught_suffixes(rules=RULES) -> list[str]:
+    """Suffixes that the rules both block and allow, so that their verdicts can tell good from bad."""
+    by_kind = lambda kind: {name.rpartition(".")[2] for k, name, _ in rules if k == kind}
+    return sorted(by_kind("block") & by_kind("allow"))
+
+
+def host_reputations(pages: DataFrame, evidenced: bool = False) -> DataFrame:
     """(host, pages, mean, bound) from (host, bad): bad is 1, 0 or null where a page has no label."""
     hosts = stored(
         pages.groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumn("domain", F.regexp_extract("host", r"(?s)([^.]*\.[^.]*|^[^.]*)$", 1)).withColumn("suffix", F.regexp_extract("host", r"(?s)([^.]*)$", 1)),
+        .withColumn("domain", F.regexp_extract("host", r"(?s)([^.]*\.[^.]*|^[^.]*)$", 1)).withColumn("suffix", suffix_of(F.col("host"))),
         "hosts",
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -87,20 +99,21 @@ def host_reputations(pages: DataFrame) -> DataFrame:
     mean = ((whole.bad or 0) + 1) / ((whole.n or 0) + 2)
     at_suffix, at_domain, at_host = (_strength(x, mean) for x in (suffixes, domains, hosts))
     shrunk = lambda prior, k: (F.col("bad") + F.lit(k) * prior) / (F.col("n") + F.lit(k))
-    by_suffix = suffixes.select("suffix", shrunk(F.lit(mean), at_suffix).alias("of_suffix"))
-    by_domain = domains.join(by_suffix, "suffix").select("domain", shrunk(F.col("of_suffix"), at_domain).alias("of_domain"))
+    by_suffix = suffixes.select("suffix", shrunk(F.lit(mean), at_suffix).alias("of_suffix"), F.col("n").alias("known"))
+    by_domain = domains.join(by_suffix, "suffix").select("domain", "known", shrunk(F.col("of_suffix"), at_domain).alias("of_domain"))
     a = F.col("bad") + F.lit(at_host) * F.col("of_domain")
     total = F.col("n") + F.lit(at_host)
     share = a / total
-    bound = share - F.lit(Z) * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / (total + 1))
+    weight = F.when(F.col("known") > 0, F.col("n") + F.lit(LEAST_STRENGTH)) if evidenced else total
+    bound = share - F.lit(Z) * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / (weight + 1))
     return hosts.join(by_domain, "domain").select("host", "pages", share.alias("mean"), bound.alias("bound"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, limit: float = LIMIT, outcomes: DataFrame | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, limit: float = LIMIT, outcomes: DataFrame | None = None, evidenced: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_share, bad_bound) of every row of ``pages``.
 
     ``outcomes`` (page_id, bad 0/1, one row for each page) are labelled pages; without it the
-    rules' verdicts serve. Host and path of a null url, or one without ``://``, are empty; such
+    rules' verdicts serve. ``evidenced`` lets hosts without labelled pages pass, as described above. Host and path of a null url, or one without ``://``, are empty; such
     pages share one reputation. Repeated rows each get a row; a null page_id stays null and has no
     label; an empty table gives no rows; other columns are ignored.
     """
@@ -109,9 +122,11 @@ def judge_urls(pages: DataFrame, rules=RULES, limit: float = LIMIT, outcomes: Da
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     if outcomes is None:
         labelled = rows.withColumn("bad", (_rule_verdict(F.col("rule"), rules) == "block").cast("int"))
+        if evidenced:
+            labelled = labelled.withColumn("bad", F.when(suffix_of(F.col("host")).isin(taught_suffixes(rules)), F.col("bad")))
     else:
         labelled = rows.join(outcomes.select("page_id", F.col("bad").cast("int").alias("bad")), "page_id", "left")
-    reputation = stored(host_reputations(labelled.select("host", "bad")), "reputations")
+    reputation = stored(host_reputations(labelled.select("host", "bad"), evidenced), "reputations")
     count = reputation.agg(F.sum("pages").alias("n")).first().n or 0
     hot = F.broadcast(reputation.where(F.col("pages") >= max(1, int(count * HOT_SHARE))).select("host", "mean", "bound"))
     cold = reputation.where(F.col("pages") < max(1, int(count * HOT_SHARE))).select("host", "mean", "bound")
@@ -172,3 +187,19 @@ SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bound > {LIMIT} TH
        round(mean, 6) AS bad_share, round(bound, 6) AS bad_bound
 FROM judged JOIN bounds USING (host)
 """
+
+
+def _evidenced(sql: str) -> str:
+    for old, new in (
+        ("count(by_rule) AS n, count(*) FILTER (by_rule = 'block') AS bad", "count(by_rule) FILTER (host = 'com' OR host LIKE '%.com') AS n, count(*) FILTER (by_rule = 'block' AND (host = 'com' OR host LIKE '%.com')) AS bad"),
+        ("AS share FROM suffixes", "AS share, n AS known FROM suffixes"),
+        ("AS share FROM domains x", "AS share, known FROM domains x"),
+        ("x.n + k.h AS total", f"CASE WHEN known > 0 THEN x.n + {LEAST_STRENGTH} END AS total"),
+    ):
+        assert sql.count(old) == 1
+        sql = sql.replace(old, new)
+    return sql
+
+
+#: The same with ``evidenced``; of the suffixes the rules teach com alone.
+EVIDENCED_SQL = _evidenced(ORACLE_SQL)

@@ -47,6 +47,10 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_url_reputation_evidenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_reputation.judge_urls(table(spark, sf_dir, "pages"), evidenced=True)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomedia.media_table(table(spark, sf_dir, "documents"))
 
@@ -62,9 +66,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_url_reputation": op9_url_reputation,
+        "op9_url_reputation_evidenced": op9_url_reputation_evidenced,
         "op10_media": op10_media,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_reputation": host_reputation.ORACLE_SQL}
+    return {"op9_url_reputation": host_reputation.ORACLE_SQL, "op9_url_reputation_evidenced": host_reputation.EVIDENCED_SQL}
