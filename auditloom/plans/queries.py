@@ -14,6 +14,7 @@ from auditloom.functions import fingerprint, lexicon, names
 from auditloom.functions import text as T
 from auditloom.operators import drift, features, flows, pinning, ranking, scoring, semantic, shadowing, training
 from auditloom.plans import engine, report
+from auditloom.relations import tools_of
 from auditloom.sources import configs, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -570,8 +571,12 @@ def semantic_findings(spark, sf_dir):
 
 @query("scan_all")
 def scan_all(spark, sf_dir):
-    approved, current = tables.approved_and_current(spark, sf_dir)
-    tools = current.unionByName(tables.fixed_tools(spark))
-    frames = engine.Relations(all_servers(spark, sf_dir), tools)
-    findings, _ = engine.scan(frames, engine.Context(drift.snapshot(approved), small_model()), disable=["shadowing"])
+    """All documents and fixed tools, by all detectors, and the names of parts beside them.
+
+    The baseline is the later of the two reduced states, so German texts count as changed since,
+    and French ones and a server as new.
+    """
+    _, reduced = tables.approved_and_current(spark, sf_dir)
+    frames = engine.Relations(all_servers(spark, sf_dir), tools_of(all_tools(spark, sf_dir)))
+    findings, _ = engine.scan(frames, engine.Context(drift.snapshot(reduced), small_model()))
     return findings.unionByName(shadowing.shadowing(tables.part_tools(spark, sf_dir)))

@@ -73,3 +73,14 @@ def test_evidenced_reputation_equals_sql(spark):
     got = training_data.queries()["op9_url_reputation_evidenced"](spark, SF).collect()
     assert sorted(str(tuple(r)) for r in got) == sorted(map(str, expected))
     assert {r.verdict for r in got if r.rule is None} == {"allow"}
+
+
+def test_scan_covers_all_documents_and_fixed_tools(spark):
+    rows = catalogue.QUERIES["scan_all"](spark, SF).where("detector in ('drift', 'semantic', 'shadowing', 'toxic_flow')").collect()
+    docs = {f"doc_{i}": (s, g) for i, s, g in view("documents").execute("select doc_id, source, lang from documents").fetchall()}
+    assert {r.detector for r in rows} == {"drift", "semantic", "shadowing", "toxic_flow"}
+    named = {r.tool for r in rows if r.detector == "shadowing"}
+    assert "send_mail" in named and any("Send-Mail" in r.title for r in rows if r.detector == "shadowing")
+    expected = {(r.server, r.name) for r in catalogue.QUERIES["cross_server_refs_full"](spark, SF).collect() if "hint" in r.refs and r.name in docs}
+    assert expected <= {(r.server, r.tool) for r in rows if r.detector == "shadowing"}
+    assert any(docs[n][1] == "fr" or docs[n][0] == "src2" for _, n in expected)
