@@ -73,6 +73,23 @@ def flows(tags: DataFrame) -> DataFrame:
     return _finished(within.unionByName(across.where("pairs > 0")).join(rules, "rule"))
 
 
+def members(tags: DataFrame) -> DataFrame:
+    """(rule, crosses, role, server, tool): every tool that is source or sink of a pair, without forming pairs.
+
+    Within a server a tool counts if a tool other than itself is on the other side there, across
+    servers if another server has one on that side.
+    """
+    rules = F.broadcast(pair_rules(tags.sparkSession))
+    side = lambda role: tags.withColumnRenamed("cap", role).join(rules, role).select("rule", "server", "tool", F.lit(role).alias("role"))
+    per_tool = side("source").unionByName(side("sink")).groupBy("rule", "server", "tool").agg(*(F.max((F.col("role") == r).cast("long")).alias(f"is_{r}") for r in ("source", "sink")))
+    per_server = per_tool.groupBy("rule", "server").agg(*(F.sum(f"is_{r}").alias(f"{r}s") for r in ("source", "sink")))
+    total = per_server.groupBy("rule").agg(*(F.sum(f"{r}s").alias(f"all_{r}s") for r in ("source", "sink")))
+    rows = per_tool.join(per_server.join(F.broadcast(total), "rule"), ["rule", "server"])
+    part = lambda role, other, crosses: F.when((F.col(f"is_{role}") > 0) & ((F.col(f"all_{other}s") > F.col(f"{other}s")) if crosses else (F.col(f"{other}s") > F.col(f"is_{other}"))), F.struct(F.lit(crosses).alias("crosses"), F.lit(role).alias("role")))
+    found = F.array_compact(F.array(*(part(r, o, c) for r, o in (("source", "sink"), ("sink", "source")) for c in (False, True))))
+    return rows.select("rule", "server", "tool", F.explode(found).alias("part")).select("rule", "part.crosses", "part.role", "server", "tool")
+
+
 def _finished(rows: DataFrame) -> DataFrame:
     severity = F.when(F.col("crosses"), F.col("severity")).otherwise(downgraded(F.col("severity")))
     return rows.select("rule", "source", "sink", "crosses", severity.alias("severity"), F.col("pairs").cast("long").alias("pairs"), F.col("example.from_tool").alias("from_tool"), F.col("example.to_tool").alias("to_tool"))

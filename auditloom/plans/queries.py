@@ -314,6 +314,19 @@ def toxic_flows(spark, sf_dir):
     return flows.flows(flows.tagged(ascii_tools(spark, sf_dir), lexicon.ASCII))
 
 
+MEMBERS_SQL = f"""
+WITH {TAGS_SQL}, rules(rule, source, sink) AS (VALUES {', '.join(f"({i}, '{s}', '{k}')" for i, (s, k, _) in enumerate(lexicon.TOXIC_PAIRS))}),
+pairs AS (SELECT rule, a.server <> b.server AS crosses, a.server AS from_server, a.tool AS from_tool, b.server AS to_server, b.tool AS to_tool
+  FROM rules JOIN tags a ON a.cap = source JOIN tags b ON b.cap = sink WHERE a.tool <> b.tool)
+SELECT DISTINCT rule, crosses, 'source' AS role, from_server AS server, from_tool AS tool FROM pairs
+UNION SELECT DISTINCT rule, crosses, 'sink', to_server, to_tool FROM pairs"""
+
+
+@query("toxic_flow_members", MEMBERS_SQL)
+def toxic_flow_members(spark, sf_dir):
+    return flows.members(flows.tagged(ascii_tools(spark, sf_dir), lexicon.ASCII))
+
+
 # ---------------------------------------------------------------- pinning
 
 _quoted = lambda items: ", ".join(tables.sql_text(i) for i in items)
