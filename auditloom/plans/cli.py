@@ -78,7 +78,10 @@ def _scan(spark, args) -> int:
     engine.choose(args.enable, args.disable)
     frames, errors = relations(spark, args)
     baseline = sinks.load_baseline(spark, args.baseline) if args.baseline else None
-    context = engine.Context(baseline, configs.read_model(args.model) if args.model else None, args.semantic_threshold, args.strict)
+    model = configs.read_model(args.model) if args.model else None
+    if args.model and model is None:
+        raise ValueError(f"no model in {args.model}")
+    context = engine.Context(baseline, model, args.semantic_threshold, args.strict)
     findings, failed = engine.scan(frames, context, args.enable, args.disable)
     findings, errors = findings.cache(), errors + failed
     if args.format == "json":

@@ -10,9 +10,10 @@ from auditloom.functions import lexicon
 from auditloom.llm import host_reputation
 from auditloom.llm import queries as training_data
 from auditloom.operators import flows, shadowing
+from auditloom.plans import cli, report
 from auditloom.plans import queries as catalogue
 from auditloom.relations import TOOLS
-from auditloom.sources import tables
+from auditloom.sources import sinks, tables
 
 
 def tools(spark, *rows):
@@ -108,3 +109,10 @@ def test_flow_members_equal_sql(spark):
     con = view("documents")
     got = catalogue.QUERIES["toxic_flow_members"](spark, SF).select("rule", "crosses", "role", "server", "tool").collect()
     assert got and sorted(map(tuple, got)) == sorted(con.execute(catalogue.ORACLES["toxic_flow_members"]).fetchall())
+
+
+def test_a_missing_model_is_an_error(spark, tmp_path, capsys):
+    dump = str(tmp_path / "d.json")
+    sinks.write_tool_dump(tables.fixed_servers(spark), tables.fixed_tools(spark), dump)
+    assert cli.main(["scan", "--tools-json", dump, "--model", str(tmp_path / "none.json")], spark) == 2
+    assert "no model" in capsys.readouterr().err
