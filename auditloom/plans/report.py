@@ -63,13 +63,15 @@ def render_json(findings: DataFrame, servers: DataFrame, tools: DataFrame, error
     return json.dumps(report, indent=2, ensure_ascii=False)
 
 
-def render_text(findings: DataFrame, errors: list[str] = (), width: int = 92, most: int = 1000, evidence: bool = False) -> str:
-    """The worst ``most`` findings and the counts, wrapped for a console."""
-    lines = []
-    for r in ranked(findings).limit(most).collect():
+def render_text(findings: DataFrame, errors: list[str] = (), width: int = 92, most: int | None = None, evidence: bool = False) -> str:
+    """All findings, or the worst ``most`` with how many were left out, and the counts, wrapped for a console."""
+    lines, rows = [], ranked(findings)
+    for r in (rows if most is None else rows.limit(most)).toLocalIterator():
         lines += [f"[{r.severity.upper()}] {r.detector}  {r.location}", *textwrap.wrap(r.title, width, initial_indent="  ", subsequent_indent="  ")]
         if evidence and r.evidence != "{}":
             lines += textwrap.wrap(r.evidence, width, initial_indent="    ", subsequent_indent="    ")
     counts = {r.severity: r.n for r in by_severity(findings).collect()}
+    if most is not None and (left_out := sum(counts.values()) - most) > 0:
+        lines.append(f"{left_out} findings more are not shown")
     lines.append(", ".join(f"{counts[s]} {s}" for s in reversed(SEVERITIES)))
     return "\n".join([*lines, *(f"error: {e}" for e in errors)])

@@ -116,3 +116,10 @@ def test_a_missing_model_is_an_error(spark, tmp_path, capsys):
     sinks.write_tool_dump(tables.fixed_servers(spark), tables.fixed_tools(spark), dump)
     assert cli.main(["scan", "--tools-json", dump, "--model", str(tmp_path / "none.json")], spark) == 2
     assert "no model" in capsys.readouterr().err
+
+
+def test_the_text_report_has_all_findings(spark):
+    findings = spark.range(1200).selectExpr("'drift' as detector", "'low' as severity", "1 as severity_rank", "concat('t', id) as title", "'s' as server", "cast(id as string) as tool", "'{}' as evidence")
+    assert report.render_text(findings).count("[LOW]") == 1200
+    some = report.render_text(findings, most=1000)
+    assert some.count("[LOW]") == 1000 and "200 findings more are not shown" in some
