@@ -5,6 +5,10 @@ eight-bit values), samples lie in chunks, and every ``keyframe_interval``-th sam
 a sync sample. The walker follows nested boxes of any such container (32-bit, 64-bit and
 to-the-end sizes), reads the sample tables and gives codec, duration and the byte ranges of the
 sync samples.
+
+Limits: of sample sizes only ``stsz`` is read. Files with ``stz2``, or fragmented ones (``trun``),
+give no samples or keyframes. Features are of the first video track; a file without any looks
+malformed.
 """
 
 from __future__ import annotations
