@@ -5,11 +5,14 @@ from __future__ import annotations
 import sys
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from auditloom.functions.lexicon import plain_view
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
@@ -29,10 +32,24 @@ FRENCH_LETTERS = "àâäéèêëîïôöùûüÿçœæÀÂÄÉÈÊËÎÏÔÖÙÛ
 FRENCH = ("le", "la", "les", "des", "une", "un", "du", "pour", "avec", "sans", "vous", "votre", "vos", "ne", "pas", "jamais", "toujours", "avant", "après", "numéro", "fichier", "doit", "doivent", "cette", "est", "sont", "dans", "aux")
 
 
+#: Combining marks, for ``str.translate``; the table goes to the executors with the function.
+COMBINING = dict.fromkeys(c for c in range(0x300, 0x1E950) if unicodedata.combining(chr(c)))
+
+
 def fold_text(text: str | None) -> str:
     if not text or text.isascii():
         return text or ""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return unicodedata.normalize("NFKD", text).translate(COMBINING)
+
+
+def entropy_of(text: str | None) -> float:
+    """Shannon entropy of the code points in bits; 0 for the empty text."""
+    if not text:
+        return 0.0
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    counts = np.bincount(points) if points.max() < 1 << 16 else np.unique(points, return_counts=True)[1]
+    counts = counts[counts > 1]
+    return float(np.log2(len(points)) - (counts * np.log2(counts)).sum() / len(points))
 
 
 @F.pandas_udf(StringType())
@@ -41,9 +58,10 @@ def folded(texts: pd.Series) -> pd.Series:
     return texts.map(fold_text)
 
 
-def ascii_view(text: Column) -> Column:
-    """Every other character as a blank, so that regex engines agree on word ends."""
-    return F.regexp_replace(text, r"[^\x00-\x7F]", " ")
+@F.pandas_udf(StructType([StructField("folded", StringType()), StructField("entropy", DoubleType())]))
+def profile(texts: pd.Series) -> pd.DataFrame:
+    """The folded text and the entropy of its code points: what Spark has no (fast) function for, in one pass."""
+    return pd.DataFrame({"folded": texts.map(fold_text), "entropy": texts.map(entropy_of).astype("float64")})
 
 
 def words(text: Column) -> Column:
@@ -54,26 +72,6 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part / whole).otherwise(F.lit(0.0))
 
 
-def entropy(text: Column) -> Column:
-    """Shannon entropy of the code points in bits; 0 for the empty text.
-
-    The text is cut into characters once and sorted, so runs give the counts in linear space.
-    """
-    chars = F.sort_array(F.filter(F.split(text, ""), lambda c: c != ""))
-    n = F.size(chars)
-
-    def step(state: Column, c: Column) -> Column:
-        done = state["sum"] + F.when(state["run"] > 1, state["run"] * F.log2(state["run"])).otherwise(F.lit(0.0))
-        same = c == state["last"]
-        return F.struct(
-            F.when(same, state["sum"]).otherwise(done).alias("sum"), F.when(same, state["run"] + 1).otherwise(F.lit(1)).alias("run"), c.alias("last")
-        )
-
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("run"), F.lit("").alias("last"))
-    end = lambda s: s["sum"] + F.when(s["run"] > 1, s["run"] * F.log2(s["run"])).otherwise(F.lit(0.0))
-    return F.when(n > 0, F.log2(n) - F.aggregate(chars, zero, step, end) / n).otherwise(F.lit(0.0))
-
-
 def non_ascii_ratio(text: Column) -> Column:
     return ratio(F.length(F.regexp_replace(text, r"[\x00-\x7F]", "")), F.length(text))
 
@@ -89,6 +87,11 @@ def hidden_points(text: Column) -> Column:
     return F.array_sort(F.transform(found, lambda c: F.concat(F.lit("U+"), F.hex(F.ascii(c).cast("long")))))
 
 
+def hidden_total(text: Column) -> Column:
+    """How many of the hidden characters that the detector reports there are."""
+    return F.regexp_count(text, F.lit(f"[{HIDDEN}]"))
+
+
 def tag_text(text: Column) -> Column:
     """What tag characters (U+E0020 to U+E007E) spell in ASCII."""
     tags = "".join(chr(0xE0000 + i) for i in range(0x20, 0x7F))
@@ -136,7 +139,7 @@ def homoglyph_ratio(text: Column) -> Column:
     return ratio(letters - F.regexp_count(text, F.lit(r"[\p{IsLatin}&&\p{L}]")), letters)
 
 
-def language_tag(text: Column, words_in: Column | None = None) -> Column:
+def language_tag(text: Column) -> Column:
     """``fr`` with an accented French letter or three French function words, else ``en``."""
-    accents = text.rlike(f"[{FRENCH_LETTERS}]")
-    return F.when(accents | (F.regexp_count(text if words_in is None else words_in, F.lit(rf"(?iuU)\b(?:{'|'.join(FRENCH)})\b")) >= 3), "fr").otherwise("en")
+    words = F.regexp_count(plain_view(text), F.lit(rf"\b(?:{'|'.join(FRENCH)})\b"))
+    return F.when(text.rlike(f"[{FRENCH_LETTERS}]") | (words >= 3), "fr").otherwise("en")

@@ -33,7 +33,7 @@ def snapshot(tools: DataFrame, interop: bool = False) -> tuple[DataFrame, DataFr
 def drift(tools: DataFrame, baseline: tuple[DataFrame, DataFrame] | None, interop: bool = False, servers: DataFrame | None = None) -> DataFrame:
     """Findings of every difference. Without a baseline a single row says so.
 
-    ``servers``: all current servers, where some have no tools. The join's keys are the grouping
+    ``servers``: current servers beside those of the tools, as some have none. The join's keys are the grouping
     of both sides' duplicates, so Spark shuffles each side once.
     """
     if baseline is None:
@@ -41,9 +41,12 @@ def drift(tools: DataFrame, baseline: tuple[DataFrame, DataFrame] | None, intero
     known, approved = baseline
     known = known.select("server").distinct()
     current = fingerprints(last_of_each(tools, ["server", "name"], "ord"), interop)
-    here = (tools.select("server") if servers is None else servers.select(F.col("name").alias("server"))).distinct()
+    here = tools.select("server")
+    here = (here if servers is None else here.unionByName(servers.select(F.col("name").alias("server")))).distinct()
     states = here.withColumn("here", F.lit(True)).join(known.withColumn("known", F.lit(True)), "server", "full_outer").select("server", F.coalesce("here", F.lit(False)).alias("here"), F.coalesce("known", F.lit(False)).alias("known"))
-    new = states.where("here and not known").join(current.groupBy("server").agg(F.array_sort(F.collect_set("tool")).alias("tools")), "server", "left")
+    fresh = states.where("here and not known")
+    listed = current.join(fresh.select("server"), "server", "left_semi").groupBy("server").agg(F.array_sort(F.collect_set("tool")).alias("tools"))
+    new = fresh.join(listed, "server", "left")
     by_server = as_findings(
         new.unionByName(states.where("known and not here").withColumn("tools", F.lit(None).cast("array<string>"))),
         F.when(F.col("here"), finding(NAME, "medium", F.concat(F.lit("Server is not in the baseline: "), F.col("server")), F.col("server"), evidence=F.struct("tools"))),

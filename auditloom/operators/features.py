@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as T
-from auditloom.functions.lexicon import GUARDED, PLAIN, UNICODE, counted
+from auditloom.functions import lexicon as L
 
 #: Names and order of the feature vector.
 FEATURES = (
@@ -19,26 +19,26 @@ SCHEMA_FEATURES = FEATURES[21:26]
 WIDE_ENUM = 10
 
 
+#: Features that are counts of a rule of their own name.
+RULED = ("cross_tool", "urgency", "directive", "redaction_language", "injection_markers", "concealment", "exfiltration", "hidden_recipient")
+
+
 def size_features(text: Column) -> dict[str, Column]:
-    return {"log_len": F.log1p(F.length(text)), "log_words": F.log1p(F.size(T.words(text))), "entropy": T.entropy(text), "non_ascii_ratio": T.non_ascii_ratio(text)}
+    return {"log_len": F.log1p(F.length(text)), "log_words": F.log1p(F.size(T.words(text))), "non_ascii_ratio": T.non_ascii_ratio(text)}
 
 
 def unicode_features(text: Column) -> dict[str, Column]:
     return {"hidden_unicode": T.hidden_count(text), "bidi_control": F.regexp_count(text, F.lit(f"[{T.BIDI}]"))}
 
 
-def plain_features(raw: Column, folded: Column, flags: str = UNICODE) -> dict[str, Column]:
-    """Lexicon counts without look-around."""
-    on_raw = ("markup_injection", "html_comment")
-    names = (*on_raw, "credentials", "fs_targets", "cross_tool", "urgency", "directive", "redaction_language")
-    found = {n: counted(raw if n in on_raw else folded, PLAIN[n], flags) for n in names}
-    return found | {"imperative_density": counted(raw, PLAIN["imperatives"], flags) / F.greatest(F.size(T.words(raw)), F.lit(1))}
-
-
-def guarded_features(folded: Column, flags: str = UNICODE) -> dict[str, Column]:
-    """Lexicon counts with look-around."""
-    names = ("injection_markers", "concealment", "exfiltration", "hidden_recipient")
-    return {n: counted(folded, GUARDED[n], flags) for n in names} | {"hardcoded_recipient": counted(folded, GUARDED["email_target"], flags) + counted(folded, GUARDED["collector_url"], flags)}
+def lexicon_features(raw: Column, view: Column, codes: Column) -> dict[str, Column]:
+    """Counts of marks in the raw text, of names in its plain view and of phrases in its codes."""
+    lowered = F.lower(raw)
+    found = {"markup_injection": L.counted(lowered, L.MARKUP), "html_comment": L.counted(raw, L.COMMENT), "credentials": L.counted(view, L.CREDENTIALS), "fs_targets": L.counted(view, L.FS_TARGETS)}
+    found |= {n: L.counted(codes, L.RULES[n]) for n in RULED}
+    found["hardcoded_recipient"] = L.counted(codes, L.RULES["email_target"]) + L.counted(codes, L.RULES["collector_url"])
+    found["imperative_density"] = L.counted(codes, L.RULES["imperatives"]) / F.greatest(F.size(T.words(raw)), F.lit(1))
+    return found
 
 
 def schema_features(schema: Column) -> dict[str, Column]:
@@ -48,13 +48,13 @@ def schema_features(schema: Column) -> dict[str, Column]:
     count = lambda test: F.size(F.filter(properties, lambda p: F.coalesce(test(p), F.lit(False))))
     text = lambda p: F.try_variant_get(p, "$.description", "string")
     open_ended = lambda p: _truthy(F.try_variant_get(p, "$.additionalProperties", "variant"))
-    marker = "|".join(GUARDED[n] for n in ("injection_markers", "concealment", "exfiltration"))
+    marker = "|".join(L.RULES[n] for n in ("injection_markers", "concealment", "exfiltration"))
     return {
         "schema_defaults": count(lambda p: F.try_variant_get(p, "$.default", "variant").isNotNull()),
         "schema_additional_props": count(open_ended) + F.coalesce(open_ended(parsed), F.lit(False)).cast("int"),
         "schema_wide_enum": count(lambda p: F.size(F.try_variant_get(p, "$.enum", "array<variant>")) > WIDE_ENUM),
         "schema_nested_desc": count(lambda p: F.length(text(p)) > 0),
-        "schema_marker_in_props": count(lambda p: text(p).rlike(UNICODE + f"(?:{marker})")),
+        "schema_marker_in_props": count(lambda p: L.codes_of(text(p)).rlike(marker)),
     }
 
 
@@ -75,17 +75,23 @@ def interactions(c) -> dict[str, Column]:
     }
 
 
-def with_features(tools: DataFrame) -> DataFrame:
-    """``tools`` and the 31 features as doubles. The text is folded once, by the only Python step."""
-    text = F.coalesce(F.col("description"), F.lit(""))
-    rows = tools.withColumn("folded", T.folded(F.concat_ws(" ", F.coalesce(F.col("name"), F.lit("")), text)))
-    folded = F.col("folded")
+def read_texts(tools: DataFrame) -> DataFrame:
+    """``tools`` with the folded text (by the only Python step), its entropy, plain view, words and codes."""
+    rows = tools.withColumn("_profile", T.profile(F.coalesce(F.col("description"), F.lit(""))))
+    rows = rows.select(*tools.columns, F.col("_profile.entropy").alias("entropy"), L.plain_view(F.col("_profile.folded")).alias("view"))
+    rows = rows.withColumn("words", L.words(F.col("view")))
+    # a generated row: the optimizer does not merge projections across it, so no step runs twice
+    return rows.select(*rows.columns, F.explode(F.array(L.codes(F.col("words")))).alias("codes"))
+
+
+def with_features(tools: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``tools`` and the 31 features as doubles; ``keep``: of entropy, view, words and codes those to stay too."""
+    text, rows = F.coalesce(F.col("description"), F.lit("")), read_texts(tools)
     columns = size_features(text) | unicode_features(text) | {"encoded_blob": T.blob_count(F.concat_ws(" ", F.coalesce(F.col("name"), F.lit("")), text))}
-    columns |= plain_features(text, folded) | guarded_features(folded) | schema_features(F.coalesce(F.col("input_schema"), F.lit("")))
-    # one generated row: the optimizer does not merge projections across it, so no pattern runs twice
+    columns |= lexicon_features(text, F.col("view"), F.col("codes")) | schema_features(F.coalesce(F.col("input_schema"), F.lit(""))) | {"entropy": F.col("entropy")}
     made = F.inline(F.array(F.struct(*(v.cast("double").alias(n) for n, v in columns.items()))))
-    rows = rows.select(*tools.columns, made)
-    return rows.select(*tools.columns, *columns, *(v.cast("double").alias(n) for n, v in interactions(F.col).items())).select(*tools.columns, *FEATURES)
+    rows = rows.select(*tools.columns, *keep, made)
+    return rows.select("*", *(v.cast("double").alias(n) for n, v in interactions(F.col).items())).select(*tools.columns, *keep, *FEATURES)
 
 
 def vector() -> Column:

@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.functions.lexicon import CAPABILITIES, TOXIC_PAIRS, UNICODE
+from auditloom.functions.lexicon import TAGS, TOXIC_PAIRS, codes_of
 from auditloom.relations import as_findings, downgraded, finding, qualified_name
 
 NAME = "toxic_flow"
 
 
-def capability_tags(text: Column, flags: str = UNICODE) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(flags + p), F.lit(tag)) for tag, p in CAPABILITIES.items())))
+def capability_tags(codes: Column) -> Column:
+    """The capabilities that the codes of a tool's name and description show."""
+    return F.array_compact(F.array(*(F.when(codes.rlike(p), F.lit(tag)) for tag, p in TAGS.items())))
 
 
-def tagged(tools: DataFrame, flags: str = UNICODE) -> DataFrame:
-    """(server, tool, cap), one row for each capability of a qualified tool name."""
+def with_capabilities(tools: DataFrame) -> DataFrame:
+    """(server, name, caps) of each tool."""
     text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")))
-    rows = tools.select("server", qualified_name(F.col("server"), F.col("name")).alias("tool"), F.explode(capability_tags(text, flags)).alias("cap"))
-    return rows.distinct()
+    coded = tools.select("server", "name", F.explode(F.array(codes_of(text))).alias("codes"))
+    return coded.select("server", "name", capability_tags(F.col("codes")).alias("caps"))
+
+
+def tagged(tools: DataFrame) -> DataFrame:
+    """(server, tool, cap), one row for each capability of a qualified tool name."""
+    return with_capabilities(tools).select("server", qualified_name(F.col("server"), F.col("name")).alias("tool"), F.explode("caps").alias("cap")).distinct()
 
 
 def pair_rules(spark: SparkSession) -> DataFrame:
@@ -90,6 +96,11 @@ def members(tags: DataFrame) -> DataFrame:
     return rows.select("rule", "server", "tool", F.explode(found).alias("part")).select("rule", "part.crosses", "part.role", "server", "tool")
 
 
+def servers(found: DataFrame) -> DataFrame:
+    """(rule, crosses, servers): the servers of the members of each side of a rule, sorted."""
+    return found.groupBy("rule", "crosses").agg(F.array_sort(F.collect_set("server")).alias("servers"))
+
+
 def _finished(rows: DataFrame) -> DataFrame:
     severity = F.when(F.col("crosses"), F.col("severity")).otherwise(downgraded(F.col("severity")))
     return rows.select("rule", "source", "sink", "crosses", severity.alias("severity"), F.col("pairs").cast("long").alias("pairs"), F.col("example.from_tool").alias("from_tool"), F.col("example.to_tool").alias("to_tool"))

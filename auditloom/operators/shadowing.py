@@ -42,42 +42,41 @@ def cross_references(tools: DataFrame, strict: bool = False, dictionary: DataFra
     small, else within Aho-Corasick automatons, a bounded share of the names each.
     ``dictionary``: tools whose names are looked for, if not those of ``tools`` themselves.
     """
-    owners = (tools if dictionary is None else dictionary).where("name <> ''").groupBy("name").agg(F.collect_set("server").alias("owners"))
-    owners = owners.select(F.col("name").alias("other"), F.size("owners").alias("n_owners"), F.get("owners", F.lit(0)).alias("owner"))
+    owners = (tools if dictionary is None else dictionary).where("name <> ''").groupBy("name").agg(F.min("server").alias("owner"), F.max("server").alias("last"))
+    owners = owners.where("owner is not null").select(F.col("name").alias("other"), "owner", (F.col("owner") != F.col("last")).alias("shared"))
     number = owners.count()
-    text = F.lower("description")
+    text = F.lower(F.coalesce("description", F.lit("")))
     if number <= NESTED_LOOP_NAMES:
         pairs = tools.join(F.broadcast(owners), F.contains(text, F.lower("other")) & (F.col("other") != F.col("name")))
-        foreign = pairs.where((F.col("n_owners") > 1) | (F.col("owner") != F.col("server")))
+        foreign = pairs.where(F.col("shared") | (F.col("owner") != F.col("server")))
         if strict:
             foreign = foreign.where(F.regexp_count(text, F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.lower("other"), F.lit(r"\E(?![a-z0-9_])"))) > 0)
     else:
         foreign = None
         for part in range(-(-number // AUTOMATON_NAMES)):
-            only_owner = F.when(F.col("n_owners") == 1, F.col("owner"))
-            some = owners.where((F.col("n_owners") > 0) & (F.pmod(F.xxhash64("other"), F.lit(-(-number // AUTOMATON_NAMES))) == part))
-            found = _scan(tools, [tuple(r) for r in some.select("other", only_owner).toLocalIterator()], strict)
+            some = owners.where(F.pmod(F.xxhash64("other"), F.lit(-(-number // AUTOMATON_NAMES))) == part)
+            names = some.select("other", F.lower("other"), F.when(~F.col("shared"), F.col("owner")))
+            found = _scan(tools.select("server", "name", text.alias("description")), [tuple(r) for r in names.toLocalIterator()], strict)
             foreign = found if foreign is None else foreign.unionByName(found)
     return foreign.groupBy("server", "name").agg(F.array_sort(F.collect_set("other")).alias("refs"))
 
 
-def _scan(tools: DataFrame, names: list[tuple[str, str | None]], strict: bool) -> DataFrame:
-    """(server, name, other) of the foreign names in each description; ``names`` are (name, its owner if it has but one)."""
+def _scan(tools: DataFrame, names: list[tuple[str, str, str | None]], strict: bool) -> DataFrame:
+    """(server, name, other) of the foreign names in each lower-case description; ``names`` are (name, in lower case, its owner if it has but one)."""
     shared = tools.sparkSession.sparkContext.broadcast(names)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton, spelled = ahocorasick.Automaton(), {}
-        for name, owner in shared.value:
-            spelled.setdefault(name.lower(), []).append((name, owner))
+        for name, lowered, owner in shared.value:
+            spelled.setdefault(lowered, []).append((name, owner))
         for lowered, same in spelled.items():
             automaton.add_word(lowered, (len(lowered), tuple(same)))
         automaton.make_automaton()
         for batch in batches:
             out = []
             for server, name, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                text = (text or "").lower()
                 if strict:
                     hits = {same for end, (size, same) in automaton.iter(text) if not (_WORD.match(text, end - size, end - size + 1) if end >= size else None) and not _WORD.match(text, end + 1)}
                 else:

@@ -31,6 +31,12 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return worst.select(F.concat(F.lit(f"{TOOL}/"), "detector").alias("rule_id"), F.col("detector").alias("name"), level.alias("level"), "results")
 
 
+def sarif_level_counts(findings: DataFrame) -> DataFrame:
+    """(level, n) of the results."""
+    level = F.get(F.array(*(F.lit(SARIF_LEVELS[s]) for s in SEVERITIES)), F.col("severity_rank"))
+    return findings.groupBy(level.alias("level")).agg(F.count("*").alias("n"))
+
+
 def sarif_results(findings: DataFrame, uri: str = "mcp.json") -> DataFrame:
     """One JSON object for each finding, in rank order."""
     level = F.get(F.array(*(F.lit(SARIF_LEVELS[s]) for s in SEVERITIES)), F.col("severity_rank"))

@@ -17,12 +17,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Splits of a scan for each core below which its rows are dealt out.
+FEW_SPLITS = 4
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a scan dealt out to all cores, where it has few splits for the cores.
+
+    A file of one row group is one task whatever its splits; a small table is then read by one
+    core alone, and its texts take far more work than moving them. Large scans stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores) if rows.rdd.getNumPartitions() < FEW_SPLITS * cores else rows
+
+
 def _tools(rows: DataFrame) -> DataFrame:
     return rows.select("server", "name", "description", F.lit("{}").alias("input_schema"), F.lit("{}").alias("annotations"), F.lit("tool").alias("kind"), "ord")
 
 
 def document_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return _tools(docs.select(F.col("source").alias("server"), F.concat(F.lit("doc_"), "doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("description"), F.col("doc_id").alias("ord")))
 
 
@@ -36,16 +50,9 @@ def approved_and_current(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
 
 #: The same two states in DuckDB SQL.
 STATES_SQL = """
-approved AS (SELECT source AS server, 'doc_' || doc_id AS tool, coalesce(text, '') AS text FROM documents WHERE lang <> 'es' AND source <> 'src1'),
-current AS (SELECT source AS server, 'doc_' || doc_id AS tool, CASE WHEN lang = 'de' THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END AS text
-            FROM documents WHERE lang <> 'fr' AND source <> 'src2'),
-known AS (SELECT DISTINCT server FROM approved), here AS (SELECT DISTINCT server FROM current),
-changes AS (
-  SELECT 'medium' AS severity, server, CAST(NULL AS VARCHAR) AS tool, 'server_new' AS change FROM here ANTI JOIN known USING (server)
-  UNION ALL SELECT 'info', server, NULL, 'server_gone' FROM known ANTI JOIN here USING (server)
-  UNION ALL SELECT 'low', server, tool, 'tool_new' FROM current SEMI JOIN known USING (server) ANTI JOIN approved USING (server, tool)
-  UNION ALL SELECT 'info', server, tool, 'tool_gone' FROM approved SEMI JOIN here USING (server) ANTI JOIN current USING (server, tool)
-  UNION ALL SELECT 'critical', c.server, c.tool, 'description_changed' FROM current c JOIN approved a USING (server, tool) WHERE sha256(c.text) <> sha256(a.text))
+approved AS (SELECT source AS server, 'doc_' || doc_id AS tool, coalesce(text, '') AS text, '{}' AS schema, '{}' AS notes FROM documents WHERE lang <> 'es' AND source <> 'src1'),
+current AS (SELECT source AS server, 'doc_' || doc_id AS tool, CASE WHEN lang = 'de' THEN upper(coalesce(text, '')) ELSE coalesce(text, '') END AS text, '{}' AS schema, '{}' AS notes
+            FROM documents WHERE lang <> 'fr' AND source <> 'src2')
 """
 
 
@@ -63,6 +70,15 @@ def page_servers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tool_servers(tools: DataFrame) -> DataFrame:
+    """A server without a launch line for each that has tools."""
+    none = F.lit(None)
+    return tools.select("server").distinct().select(
+        F.col("server").alias("name"), none.cast("string").alias("command"), none.cast("array<string>").alias("args"), none.cast("map<string,string>").alias("env"),
+        none.cast("string").alias("url"), F.lit("stdio").alias("transport"), F.lit("tools").alias("source_path"), F.lit(0).cast("long").alias("ord"),
+    )
+
+
 #: name, command, args, env, url
 SERVER_ROWS = (
     ("mail", "npx", ["-y", "mailer-tools"], {"MAIL_API_KEY": "k-1234567890"}, None),

@@ -7,8 +7,6 @@ import pytest
 from conftest import SF
 
 from auditloom.functions import lexicon
-from auditloom.llm import host_reputation
-from auditloom.llm import queries as training_data
 from auditloom.operators import flows, shadowing
 from auditloom.plans import cli, report
 from auditloom.plans import queries as catalogue
@@ -56,29 +54,6 @@ def test_both_ways_to_find_document_names(spark, monkeypatch, strict):
     assert expected and sorted(map(str, shadowing.cross_references(rows, strict).collect())) == expected
 
 
-@pytest.mark.parametrize("blocked", [3, 2000])
-def test_hosts_without_evidence_pass_whatever_the_table(spark, blocked):
-    urls = [f"http://h{i % 7}.example.com/en/{i}" for i in range(blocked)] + ["http://a.com/x", "http://b.com/x"]
-    urls += [f"http://h{i % 7}.net/fr/{i}" for i in range(blocked)] + ["http://h1.net/en/", "http://new.net/", "http://c.org/", "http://d.org/de/"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    rows = host_reputation.judge_urls(pages, evidenced=True).where("rule is null").collect()
-    assert len(rows) == 4 and {(r.verdict, r.bad_bound) for r in rows} == {("allow", None)}
-
-
-def test_evidence_still_blocks(spark):
-    pages = [(i, f"http://bad{i % 2}.example.org/{i}", 1) for i in range(40)] + [(100 + i, f"http://good.example.org/{i}", 0) for i in range(40)]
-    frame = spark.createDataFrame([*pages, (200, "http://bad0.example.org/new", None), (201, "http://new.example.org/", None)], "page_id long, url string, bad int")
-    rows = {r.page_id: r.verdict for r in host_reputation.judge_urls(frame, outcomes=frame.where("bad is not null").select("page_id", "bad"), evidenced=True).collect()}
-    assert rows[200] == "block" and rows[201] == "allow" and rows[100] == "allow"
-
-
-def test_evidenced_reputation_equals_sql(spark):
-    expected = view("pages").execute(f"select page_id, host, path, rule, verdict, bad_share, bad_bound from ({host_reputation.EVIDENCED_SQL})").fetchall()
-    got = training_data.queries()["op9_url_reputation_evidenced"](spark, SF).collect()
-    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, expected))
-    assert {r.verdict for r in got if r.rule is None} == {"allow"}
-
-
 def test_scan_covers_all_documents_and_fixed_tools(spark):
     rows = catalogue.QUERIES["scan_all"](spark, SF).where("detector in ('drift', 'semantic', 'shadowing', 'toxic_flow')").collect()
     docs = {f"doc_{i}": (s, g) for i, s, g in view("documents").execute("select doc_id, source, lang from documents").fetchall()}
