@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on (a longer text forms a slice of its own).
 SLICE_BYTES = 1 << 20
-#: Rows in one Arrow batch between the JVM and a Python worker.
-BATCH_ROWS = 500
+#: Bytes of one Arrow batch between the JVM and a Python worker, at most.
+BATCH_BYTES = 8 << 20
 
 _FALLBACK_DIR = "file:///tmp/checkpoints"
 _shipped: set[str] = set()
@@ -33,8 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, because one text may be megabytes long, and ship this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the bytes of Arrow batches, because one text may be megabytes long, and ship this package.
+
+    The bound is the only setting of the session that these operators touch; it changes no
+    result, a smaller one stays, and rows in a batch are left as the session has them.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     ship_package(spark)
 
 
@@ -55,10 +62,12 @@ def ship_package(spark: SparkSession) -> None:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    The folder is taken from the session; only where it is unset (tests on one machine) a
-    local one is used. Paths are removed when the driver ends.
+    The folder is taken from the session; only where it is unset on one machine (tests) a local
+    one is used, on a cluster that is an error. Paths are removed when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     path = f"{(base or _FALLBACK_DIR).rstrip('/')}/auditloom-{label}-{uuid.uuid4().hex}"
     if not _scratch:
         atexit.register(_clean)

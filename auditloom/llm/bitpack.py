@@ -200,5 +200,4 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFr
     spark = docs.sparkSession
     path = shared_path(spark, "tokens")
     write_token_files(docs, path, tokenizer_path, end_id)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     return read_token_files(spark.read.schema(FILES).parquet(path))

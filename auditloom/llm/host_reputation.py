@@ -3,11 +3,12 @@
 Labelled page outcomes (bad or not) are counted for each host, registered domain and suffix. The
 share of bad pages is shrunk level by level with beta-binomial priors: a suffix towards the whole,
 a domain towards its suffix, a host towards its domain. The strength of each prior is estimated
-from the spread of the level's own shares (method of moments). A page is blocked when the lower
-posterior bound of its host's share of bad pages is above a limit, so hosts without much evidence
-pass only where the prior does not outweigh that: a strong prior narrows the bound without labels.
-With ``evidenced`` the bound is as wide as the host's own labelled pages leave it and null below a
-suffix without any, and rules teach only suffixes that they both block and allow.
+from the spread of the level's shares around those of its parents (method of moments), and a
+host's prior weighs no more pages than its domain has labelled ones. A page is blocked when its
+host has labelled pages and the lower posterior bound of the host's share of bad ones is above a
+limit; hosts without a labelled page pass. With ``evidenced`` the bound is as wide as the host's
+own labelled pages leave it and null below a suffix without any, and rules teach only suffixes
+that they both block and allow.
 
 The production queries have no page labels but the rules' own verdicts, so these are their outcomes.
 The registered domain is the last two labels of the host, the suffix its last one.
@@ -61,19 +62,18 @@ def _rule_verdict(rule: Column, rules=RULES) -> Column:
     return verdict
 
 
-def _strength(level: DataFrame, mean: float) -> float:
-    """The prior's strength from the spread of a level's shares around the mean of the whole."""
-    labelled = level.where("n > 0")
-    row = labelled.agg(
-        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"),
-        F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.lit(mean), 2)).alias("spread"),
+def _strength(level: DataFrame) -> float:
+    """The prior's strength from the spread of a level's shares around those of its parents (``prior``)."""
+    row = level.where("n > 0").agg(
+        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * F.col("prior")).alias("m"),
+        F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("prior"), 2)).alias("spread"), F.sum(F.col("prior") * (1 - F.col("prior"))).alias("noise"),
     ).first()
-    if not row.n or row.k < 2 or not 0 < mean < 1 or row.n == row.nn / row.n:
+    if not row.n or row.k < 2 or row.n == row.nn / row.n:
         return MOST_STRENGTH
-    variance = (row.spread - (row.k - 1) * mean * (1 - mean)) / (row.n - row.nn / row.n)
+    mean, variance = row.m / row.n, (row.spread - row.noise) / (row.n - row.nn / row.n)
     if variance <= 0:
         return MOST_STRENGTH
-    return round(min(MOST_STRENGTH, max(LEAST_STRENGTH, mean * (1 - mean) / variance - 1)), 6)
+    return round(min(MOST_STRENGTH, max(LEAST_STRENGTH, mean * (1 - mean) / variance - 1)), 4)
 
 
 def suffix_of(host: Column) -> Column:
@@ -87,7 +87,7 @@ def taught_suffixes(rules=RULES) -> list[str]:
 
 
 def host_reputations(pages: DataFrame, evidenced: bool = False) -> DataFrame:
-    """(host, pages, mean, bound) from (host, bad): bad is 1, 0 or null where a page has no label."""
+    """(host, pages, n, mean, bound) from (host, bad): bad is 1, 0 or null where a page has no label."""
     hosts = stored(
         pages.groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumn("domain", F.regexp_extract("host", r"(?s)([^.]*\.[^.]*|^[^.]*)$", 1)).withColumn("suffix", suffix_of(F.col("host"))),
@@ -96,24 +96,26 @@ def host_reputations(pages: DataFrame, evidenced: bool = False) -> DataFrame:
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    mean = ((whole.bad or 0) + 1) / ((whole.n or 0) + 2)
-    at_suffix, at_domain, at_host = (_strength(x, mean) for x in (suffixes, domains, hosts))
-    shrunk = lambda prior, k: (F.col("bad") + F.lit(k) * prior) / (F.col("n") + F.lit(k))
-    by_suffix = suffixes.select("suffix", shrunk(F.lit(mean), at_suffix).alias("of_suffix"), F.col("n").alias("known"))
-    by_domain = domains.join(by_suffix, "suffix").select("domain", "known", shrunk(F.col("of_suffix"), at_domain).alias("of_domain"))
-    a = F.col("bad") + F.lit(at_host) * F.col("of_domain")
-    total = F.col("n") + F.lit(at_host)
-    share = a / total
-    weight = F.when(F.col("known") > 0, F.col("n") + F.lit(LEAST_STRENGTH)) if evidenced else total
-    bound = share - F.lit(Z) * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / (weight + 1))
-    return hosts.join(by_domain, "domain").select("host", "pages", share.alias("mean"), bound.alias("bound"))
+    shrunk = lambda k: (F.col("bad") + F.lit(k) * F.col("prior")) / (F.col("n") + F.lit(k))
+    suffixes = suffixes.withColumn("prior", F.lit(((whole.bad or 0) + 1) / ((whole.n or 0) + 2)))
+    by_suffix = suffixes.select("suffix", shrunk(_strength(suffixes)).alias("prior"), F.col("n").alias("known"))
+    domains = domains.join(by_suffix, "suffix")
+    by_domain = domains.select("domain", "known", shrunk(_strength(domains)).alias("prior"), F.col("n").alias("of_domain"))
+    hosts = hosts.join(by_domain, "domain")
+    at_host = _strength(hosts)
+    weight = F.lit(at_host) if evidenced else F.least(F.lit(at_host), F.greatest(F.col("of_domain"), F.lit(LEAST_STRENGTH)))
+    total = F.col("n") + weight
+    share = (F.col("bad") + weight * F.col("prior")) / total
+    counts = F.when(F.col("known") > 0, F.col("n") + F.lit(LEAST_STRENGTH)) if evidenced else total
+    bound = share - F.lit(Z) * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / (counts + 1))
+    return hosts.select("host", "pages", "n", share.alias("mean"), bound.alias("bound"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, limit: float = LIMIT, outcomes: DataFrame | None = None, evidenced: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_share, bad_bound) of every row of ``pages``.
 
     ``outcomes`` (page_id, bad 0/1, one row for each page) are labelled pages; without it the
-    rules' verdicts serve. ``evidenced`` lets hosts without labelled pages pass, as described above. Host and path of a null url, or one without ``://``, are empty; such
+    rules' verdicts serve. Of repeated page_ids in ``outcomes`` the worse counts. Host and path of a null url, or one without ``://``, are empty; such
     pages share one reputation. Repeated rows each get a row; a null page_id stays null and has no
     label; an empty table gives no rows; other columns are ignored.
     """
@@ -125,19 +127,33 @@ def judge_urls(pages: DataFrame, rules=RULES, limit: float = LIMIT, outcomes: Da
         if evidenced:
             labelled = labelled.withColumn("bad", F.when(suffix_of(F.col("host")).isin(taught_suffixes(rules)), F.col("bad")))
     else:
-        labelled = rows.join(outcomes.select("page_id", F.col("bad").cast("int").alias("bad")), "page_id", "left")
+        labelled = rows.join(outcomes.groupBy(F.col("page_id").cast("bigint").alias("page_id")).agg(F.max(F.col("bad").cast("int")).alias("bad")), "page_id", "left")
     reputation = stored(host_reputations(labelled.select("host", "bad"), evidenced), "reputations")
     count = reputation.agg(F.sum("pages").alias("n")).first().n or 0
-    hot = F.broadcast(reputation.where(F.col("pages") >= max(1, int(count * HOT_SHARE))).select("host", "mean", "bound"))
-    cold = reputation.where(F.col("pages") < max(1, int(count * HOT_SHARE))).select("host", "mean", "bound")
-    first = rows.join(hot, "host", "left")
-    judged = first.where("mean is not null").unionByName(first.where("mean is null").drop("mean", "bound").join(cold, "host", "left"))
-    verdict = F.coalesce(_rule_verdict(F.col("rule"), rules), F.when(F.col("bound") > limit, F.lit("block")).otherwise(F.lit("allow")))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("mean", 6).alias("bad_share"), F.round("bound", 6).alias("bad_bound"))
-
-
-#: The production query in DuckDB SQL.
-ORACLE_SQL = f"""
+    told, least = ("host", "n", "mean", "bound"), max(1, int(count * HOT_SHARE))
+    hot = F.broadcast(reputation.where(F.col("pages") >= least).select(F.col("host").alias("hot_host"), *(F.col(c).alias(f"hot_{c}") for c in told[1:])))
+    cold = reputation.where(F.col("pages") < least).select(F.col("host").alias("cold_host"), *(F.col(c).alias(f"cold_{c}") for c in told[1:]))
+    first = rows.join(hot, rows["host"] == hot["hot_host"], "left")
+    # pages of hot hosts have their answer and are dealt out by a key of their own, so no host weighs on one task
+    key = F.when(F.col("hot_host").isNull(), F.col("host")).otherwise(F.concat(F.lit("\0"), F.xxhash64("page_id", "path")))
+    judged = first.withColumn("key", key).join(cold, F.col("key") == F.col("cold_host"), "left")
+    n, mean, bound = (F.coalesce(f"hot_{c}", f"cold_{c}") for c in told[1:])
+    verdict = F.coalesce(_rule_verdict(F.col("rule"), rules), F.when((bound > limit) & (n > 0), F.lit("block")).otherwise(F.lit("allow")))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round(mean, 6).alias("bad_share"), F.round(bound, 6).alias("bad_bound"))
+
+
+def _strength_sql(level: str, out: str) -> str:
+    return f"""{out} AS (SELECT CASE WHEN k < 2 OR n = nn / n THEN {MOST_STRENGTH} WHEN (spread - noise) / (n - nn / n) <= 0 THEN {MOST_STRENGTH}
+    ELSE round(least({MOST_STRENGTH}, greatest({LEAST_STRENGTH}, m / n * (1 - m / n) / ((spread - noise) / (n - nn / n)) - 1)), 4) END AS k
+  FROM (SELECT count(*) AS k, coalesce(sum(n), 0) AS n, sum(n * n) AS nn, sum(n * prior) AS m, sum(n * pow(bad / n - prior, 2)) AS spread, sum(prior * (1 - prior)) AS noise FROM {level} WHERE n > 0))"""
+
+
+def judgement_sql(evidenced: bool = False) -> str:
+    """The production query in DuckDB SQL; of the suffixes the rules teach com alone where ``evidenced``."""
+    taught = " AND (host = 'com' OR host LIKE '%.com')" if evidenced else ""
+    weight = "s.k" if evidenced else f"least(s.k, greatest(of_domain, {LEAST_STRENGTH}))"
+    counts = f"CASE WHEN known > 0 THEN n + {LEAST_STRENGTH} END" if evidenced else "n + w"
+    return f"""
 WITH urls AS (
   SELECT page_id,
          translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}') AS host,
@@ -155,51 +171,24 @@ judged AS (
   SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS by_rule
   FROM ruled),
 hosts AS (
-  SELECT host, count(by_rule) AS n, count(*) FILTER (by_rule = 'block') AS bad,
+  SELECT host, count(*) FILTER (by_rule IS NOT NULL{taught}) AS n, count(*) FILTER (by_rule = 'block'{taught}) AS bad,
          regexp_extract(host, '([^.]*\\.[^.]*|^[^.]*)$', 1) AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix
   FROM judged GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
-whole AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS mean FROM suffixes),
-levels AS (
-  SELECT 'h' AS level, n, bad FROM hosts UNION ALL SELECT 'd', n, bad FROM domains UNION ALL SELECT 's', n, bad FROM suffixes),
-spreads AS (
-  SELECT level, mean, count(*) AS k, sum(n) AS n, sum(n * n) AS nn, sum(n * pow(bad / n - mean, 2)) AS spread
-  FROM levels, whole WHERE n > 0 GROUP BY level, mean),
-variances AS (
-  SELECT *, CASE WHEN k < 2 OR mean <= 0 OR mean >= 1 OR n = nn / n THEN 0
-                 ELSE (spread - (k - 1) * mean * (1 - mean)) / (n - nn / n) END AS variance
-  FROM spreads),
-strengths AS (
-  SELECT level, CASE WHEN variance <= 0 THEN {MOST_STRENGTH}
-    ELSE round(least({MOST_STRENGTH}, greatest({LEAST_STRENGTH}, mean * (1 - mean) / variance - 1)), 6) END AS k
-  FROM variances),
-k AS (
-  SELECT coalesce(max(k) FILTER (level = 'h'), {MOST_STRENGTH}) AS h, coalesce(max(k) FILTER (level = 'd'), {MOST_STRENGTH}) AS d,
-         coalesce(max(k) FILTER (level = 's'), {MOST_STRENGTH}) AS s FROM strengths),
-by_suffix AS (SELECT suffix, (bad + k.s * mean) / (n + k.s) AS share FROM suffixes, whole, k),
-by_domain AS (SELECT domain, (x.bad + k.d * share) / (x.n + k.d) AS share FROM domains x JOIN by_suffix USING (suffix), k),
-by_host AS (
-  SELECT host, (x.bad + k.h * share) / (x.n + k.h) AS mean, x.n + k.h AS total
-  FROM hosts x JOIN by_domain USING (domain), k),
-bounds AS (SELECT host, mean, mean - {Z} * sqrt(greatest(mean * (1 - mean), 0) / (total + 1)) AS bound FROM by_host)
-SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+at_suffix AS (SELECT suffix, n, bad, (sum(bad) OVER () + 1) / (sum(n) OVER () + 2) AS prior FROM suffixes),
+{_strength_sql("at_suffix", "suffix_k")},
+at_domain AS (SELECT d.domain, d.n, d.bad, x.n AS known, (x.bad + s.k * x.prior) / (x.n + s.k) AS prior FROM domains d JOIN at_suffix x USING (suffix), suffix_k s),
+{_strength_sql("at_domain", "domain_k")},
+at_host AS (SELECT host, h.n, h.bad, known, d.n AS of_domain, (d.bad + s.k * d.prior) / (d.n + s.k) AS prior FROM hosts h JOIN at_domain d USING (domain), domain_k s),
+{_strength_sql("at_host", "host_k")},
+weighed AS (SELECT *, {weight} AS w FROM at_host, host_k s),
+shares AS (SELECT host, n, (bad + w * prior) / (n + w) AS mean, {counts} AS counts FROM weighed),
+bounds AS (SELECT host, n, mean, mean - {Z} * sqrt(greatest(mean * (1 - mean), 0) / (counts + 1)) AS bound FROM shares)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bound > {LIMIT} AND n > 0 THEN 'block' ELSE 'allow' END) AS verdict,
        round(mean, 6) AS bad_share, round(bound, 6) AS bad_bound
 FROM judged JOIN bounds USING (host)
 """
 
 
-def _evidenced(sql: str) -> str:
-    for old, new in (
-        ("count(by_rule) AS n, count(*) FILTER (by_rule = 'block') AS bad", "count(by_rule) FILTER (host = 'com' OR host LIKE '%.com') AS n, count(*) FILTER (by_rule = 'block' AND (host = 'com' OR host LIKE '%.com')) AS bad"),
-        ("AS share FROM suffixes", "AS share, n AS known FROM suffixes"),
-        ("AS share FROM domains x", "AS share, known FROM domains x"),
-        ("x.n + k.h AS total", f"CASE WHEN known > 0 THEN x.n + {LEAST_STRENGTH} END AS total"),
-    ):
-        assert sql.count(old) == 1
-        sql = sql.replace(old, new)
-    return sql
-
-
-#: The same with ``evidenced``; of the suffixes the rules teach com alone.
-EVIDENCED_SQL = _evidenced(ORACLE_SQL)
+ORACLE_SQL, EVIDENCED_SQL = judgement_sql(), judgement_sql(evidenced=True)

@@ -3,7 +3,12 @@
 A text is the average of the embeddings of its letter n-grams; a linear layer and a softmax give
 the languages. Both are trained by stochastic gradient descent in numpy. As everything after the
 average is linear, scoring needs only the product of the two tables: a row of logits for each
-bucket. A temperature, and the score below which a prediction is rejected, come from a fifth of
+bucket. N-grams that no training text has take no part in the average.
+
+A prediction is rejected on two calibrated signals. The softmax score, after a temperature, has to
+reach the bound from which the accepted rows are right often enough. The share of a text's n-grams
+that training has seen has to reach a bound between the shares of known languages and those that
+each language has when it is left out of training. Temperature and bounds come from a fifth of
 the training rows that the descent does not see.
 """
 
@@ -21,42 +26,64 @@ from pyspark.sql import functions as F
 from auditloom.llm._common import doc_columns, slices, small_batches
 from auditloom.llm.linear import Grams, calibration_part, in_fold, keep_documents, label_sample, sampled_buckets
 
-GRAMS = Grams(orders=(2, 3, 4), bits=16, letters=True)
+GRAMS = Grams(orders=(2, 3, 4), bits=22, letters=True)
+#: Buckets of embeddings: the upper bits of an n-gram's hash. All its bits tell whether it was seen.
+EMBEDDED_BITS = 16
 HELD_OUT = (4, 2)  #: modulus and remainder of crc32(doc_id)
 UNKNOWN = "und"
 #: Bound of the training sample (documents of each language), embedding width, passes.
 PER_LANGUAGE, WIDTH, EPOCHS = 600, 16, 12
 #: Share of accepted calibration rows that have to be right.
 ACCEPTED_RIGHT = 0.98
+#: Share of calibration rows that the bound on seen n-grams may reject, and of left-out ones that it should.
+KNOWN_REJECTED, FOREIGN_REJECTED, NEARNESS = 0.005, 0.99, 0.7
+#: N-grams overlap: so many count as one independent draw. One-sided quantile of the normal distribution.
+OVERLAP, QUANTILE = 6.0, 2.33
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    logits: np.ndarray  #: for each bucket and language; the last row is zero
+    logits: np.ndarray  #: for each embedded bucket and language
     bias: np.ndarray
+    seen: np.ndarray  #: whether training has the n-grams of a bucket
     temperature: float = 1.0
     reject_below: float = 0.0
+    seen_below: float = 0.0
+
+    def averages(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(mean logits over the seen n-grams with the bias, number of n-grams, share of seen ones) of each text.
 
-    def raw(self, text: pa.Array) -> np.ndarray:
-        total, count = np.zeros((len(text), len(self.languages))), np.zeros(len(text))
+        Each text's sums are over its own n-grams alone, so equal texts have equal results.
+        """
+        total, known, count = np.zeros((len(text), len(self.languages))), np.zeros(len(text)), np.zeros(len(text))
         for number, bucket in GRAMS.buckets(text):
-            starts = np.searchsorted(number, np.arange(len(text) + 1))
-            sums = np.concatenate([np.zeros((1, total.shape[1])), np.cumsum(self.logits[bucket], axis=0, dtype=np.float64)])
-            total += sums[starts[1:]] - sums[starts[:-1]]
-            count += np.diff(starts)
-        return total / np.maximum(count, 1)[:, None] + self.bias
-
-    def predict(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language, score, rejected); ``und`` with score 0 where there is no letter."""
+            count += np.bincount(number, minlength=len(text))
+            hit = self.seen[bucket]
+            number, bucket = number[hit], bucket[hit]
+            own = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else np.zeros(0, dtype=np.int64)
+            if len(own):
+                total[number[own]] += np.add.reduceat(self.logits[bucket >> (GRAMS.bits - EMBEDDED_BITS)].astype(np.float64), own, axis=0)
+                known += np.bincount(number, minlength=len(text))
+        return total / np.maximum(known, 1)[:, None] + self.bias, count, known / np.maximum(count, 1)
+
+    def predict(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(language, score, rejected, share of seen n-grams); ``und`` with score 0 where there is no letter."""
         letters = np.array([has_letter(x) for x in text.to_pylist()], dtype=bool)
         if not self.languages:
-            return np.full(len(text), UNKNOWN, dtype=object), np.zeros(len(text)), np.ones(len(text), dtype=bool)
-        p = softmax(self.raw(text) / self.temperature)
+            return np.full(len(text), UNKNOWN, dtype=object), np.zeros(len(text)), np.ones(len(text), dtype=bool), np.zeros(len(text))
+        z, count, share = self.averages(text)
+        p = softmax(z / self.temperature)
         best = p.argmax(axis=1)
         score = np.where(letters, p[np.arange(len(p)), best], 0.0)
-        return np.where(letters, np.array(self.languages, dtype=object)[best], UNKNOWN), score, ~letters | (score < self.reject_below)
+        rejected = ~letters | (score < self.reject_below) | (share + leeway(self.seen_below, count) < self.seen_below)
+        return np.where(letters, np.array(self.languages, dtype=object)[best], UNKNOWN), score, rejected, share
+
+
+def leeway(bound: float, count: np.ndarray) -> np.ndarray:
+    """How far the share of a short text may lie under a bound by chance."""
+    return QUANTILE * np.sqrt(bound * (1 - bound) * OVERLAP / np.maximum(count, 1))
 
 
 def has_letter(text: str | None) -> bool:
@@ -68,10 +95,48 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def embedded(buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(embedded buckets, counts) of a text's buckets."""
+    rows, at = np.unique(buckets >> (GRAMS.bits - EMBEDDED_BITS), return_inverse=True)
+    return rows, np.bincount(at, weights=counts, minlength=len(rows))
+
+
+def seen_in(buckets: list[np.ndarray]) -> np.ndarray:
+    seen = np.zeros(1 << GRAMS.bits, dtype=bool)
+    for x in buckets:
+        seen[x] = True
+    return seen
+
+
+def seen_bound(buckets: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, aside: np.ndarray) -> float:
+    """The least share of seen n-grams of an accepted text.
+
+    It lies between what known languages reach and what a language reaches that is left out, nearer
+    to the former (NEARNESS), as a new language may be closer to these than they are to each other, and lets at most KNOWN_REJECTED of the calibration rows fall under it.
+    """
+    share = lambda i, seen: float(counts[i][seen[buckets[i]]].sum() / max(1, counts[i].sum()))
+    size = np.array([c.sum() for c in counts])
+    rows = [i for i in np.flatnonzero(aside) if size[i]]
+    if not rows:
+        return 0.0
+    all_seen = seen_in([x for x, a in zip(buckets, aside, strict=True) if not a])
+    known = np.array([share(i, all_seen) for i in rows])
+    foreign = []
+    for language in sorted(set(y)) if len(set(y)) > 1 else []:
+        others = seen_in([x for x, a, t in zip(buckets, aside, y, strict=True) if not a and t != language])
+        foreign += [share(i, others) for i in rows if y[i] == language]
+    least = np.quantile(known, KNOWN_REJECTED)
+    between = NEARNESS * least + (1 - NEARNESS) * np.quantile(foreign, FOREIGN_REJECTED) if foreign else least
+    # a calibration row passes while the bound is at most its share and leeway; the most that lets enough pass
+    sizes, steps = size[rows], np.linspace(0, 1, 401)
+    passing = [b for b in steps if np.mean(known + leeway(b, sizes) >= b) >= 1 - KNOWN_REJECTED]
+    return float(min(between, passing[-1] if passing else 0.0))
+
+
 def descend(buckets: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, k: int, epochs: int = EPOCHS, rate: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """(logits for each bucket, bias) after ``epochs`` passes of stochastic gradient descent."""
     random = np.random.default_rng(11)
-    embedding = random.normal(0, 1 / WIDTH, (1 << GRAMS.bits, WIDTH))
+    embedding = random.normal(0, 1 / WIDTH, (1 << EMBEDDED_BITS, WIDTH))
     layer, bias = random.normal(0, 1 / np.sqrt(WIDTH), (WIDTH, k)), np.zeros(k)
     shares = [c / c.sum() if len(c) else c for c in counts]
     steps, t = epochs * len(y), 0
@@ -99,14 +164,21 @@ def fit_languages(docs: DataFrame) -> LanguageModel:
     found, buckets, counts = sampled_buckets(docs, sample, GRAMS, counted=True)
     languages = sorted(set(found))
     if not languages:
-        return LanguageModel([], np.zeros((1 << GRAMS.bits, 0), dtype=np.float32), np.zeros(0))
+        return LanguageModel([], np.zeros((1 << EMBEDDED_BITS, 0), dtype=np.float32), np.zeros(0), np.zeros(1 << GRAMS.bits, dtype=bool))
     y = np.array([languages.index(x) for x in found])
     aside = calibration_part(len(y)) & (len(y) >= 50)
     take = lambda items, mask: [x for x, m in zip(items, mask, strict=True) if m]
-    logits, bias = descend(take(buckets, ~aside), take(counts, ~aside), y[~aside], len(languages))
-    model = LanguageModel(languages, logits, bias)
+    rows, weights = zip(*(embedded(x, c) for x, c in zip(take(buckets, ~aside), take(counts, ~aside), strict=True)), strict=True)
+    logits, bias = descend(list(rows), list(weights), y[~aside], len(languages))
+    model = LanguageModel(languages, logits, bias, seen_in(take(buckets, ~aside)))
     if aside.any():
-        z = np.stack([(c / max(1, c.sum())) @ logits[b] + bias for b, c in zip(take(buckets, aside), take(counts, aside), strict=True)])
+        model.seen_below = seen_bound(buckets, counts, y, aside)
+        z = []
+        for x, c in zip(take(buckets, aside), take(counts, aside), strict=True):
+            hit = model.seen[x]
+            at, weight = embedded(x[hit], c[hit])
+            z.append((weight / max(1, weight.sum())) @ logits[at] + bias)
+        z = np.stack(z)
         t = y[aside]
         loss = lambda s: -np.log(softmax(z / s)[np.arange(len(t)), t] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.05, 5, 60), key=loss))
@@ -120,10 +192,12 @@ def fit_languages(docs: DataFrame) -> LanguageModel:
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, rejected) of every whole text.
+    """(doc_id, held_out, lang_pred, score, rejected, seen_share) of every whole text.
 
     ``und`` with score 0, rejected, where the text is null or has no letter. A prediction whose
-    calibrated score is under the model's bound is rejected too, but keeps its language. Rows with
+    calibrated score, or whose share of n-grams that training has seen, is under the model's bound
+    is rejected too, but keeps its language; short texts fall under the second bound only by more
+    than chance. Rows with
     null doc_id are predicted, never learned from; repeated rows each get a row; without any
     labelled row all are ``und``; an empty table gives no rows.
     """
@@ -134,14 +208,19 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                language, score, rejected = model.value.predict(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(language, type=pa.string()), pa.array(np.round(score, 6)), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
+                language, score, rejected, share = model.value.predict(part.column(1))
+                columns = [part.column(0), part.column(2), pa.array(language, type=pa.string()), pa.array(np.round(score, 6)), pa.array(rejected), pa.array(np.round(share, 6))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "rejected", "seen_share"])
 
     rows = doc_columns(docs, "doc_id", "text").select("doc_id", "text", in_fold(*HELD_OUT).alias("held_out"))
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean, seen_share double")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, whose language is not rejected."""
+    """The documents, with all their columns, whose language is not rejected.
+
+    Null texts and those without a letter go; repeated rows are each judged alike; an empty table
+    gives no rows; where no row has a language to learn from, all go.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit_languages(docs))
     return keep_documents(docs, lambda text: ~model.value.predict(text)[2])

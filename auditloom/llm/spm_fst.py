@@ -57,14 +57,15 @@ class PieceTransducer:
         self.ids = {model.id_to_piece(i): i for i in range(n) if not special[i]}
         self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.lexicon = self.trie()
         self.unit = re.compile(self._unit_pattern())
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("a piece holds a blank after another character")
         self.output = [b"" if special[i] else model.id_to_piece(i).replace(BLANK, " ").encode() for i in range(n)]
         for b, i in enumerate(self.bytes):
             self.output[i] = bytes([b])
-        self._meets: dict[tuple[str, str], bool] = {}
+        self._meets: dict[str, dict[str, bool]] = {}
+        self._met = 0
         self._units: dict[str, bytes] = {}
 
     def _unit_pattern(self) -> str:
@@ -75,6 +76,18 @@ class PieceTransducer:
         first = f"{BLANK}*+[{letters}]++(?=[{BLANK}{apart}])|" if apart else ""
         return f"{first}{BLANK}*[^{BLANK}]+|{BLANK}+"
 
+    # P
+
+    def trie(self) -> dict:
+        """Nodes by character; under the empty one, where a piece ends, its arc."""
+        root: dict = {}
+        for piece in self.ids:
+            node = root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = (piece, 1.0 if self.merges else -self.scores[piece])
+        return root
+
     # N
 
     def normalised(self, text: str) -> str:
@@ -100,87 +113,63 @@ class PieceTransducer:
         """The weight of ``right`` after ``left``: 0 or infinite."""
         if not self.merges:
             return 0.0
-        key = (left, right)
-        met = self._meets.get(key)
+        known = self._meets.setdefault(right, {})
+        met = known.get(left)
         if met is None:
-            if len(self._meets) > CACHE_ENTRIES:
-                self._meets.clear()
-            met = self._meets[key] = self.merged(left + right) == [left, right]
+            if self._met > CACHE_ENTRIES:
+                self._meets, self._met = {right: {}}, 0
+                known = self._meets[right]
+            self._met += 1
+            met = known[left] = self.merged(left + right) == [left, right]
         return 0.0 if met else INFINITE
 
     # composition
 
     def arcs(self, unit: str, at: int) -> list[tuple[str, float]]:
-        """(piece, weight) of the lexicon's arcs from a place, longest first."""
-        found = []
-        for end in range(at + 1, len(unit) + 1):
-            piece = unit[at:end]
-            if piece not in self.prefixes:
+        """(piece, weight) of the lexicon's arcs from a place; a character that is no piece has one for its bytes."""
+        found, node = [], self.lexicon
+        for end in range(at, len(unit)):
+            node = node.get(unit[end])
+            if node is None:
                 break
-            if piece in self.ids:
-                found.append((piece, 1.0 if self.merges else -self.scores[piece]))
-        found.reverse()
-        if not found or len(found[-1][0]) > 1:
-            found.append((unit[at], 1.0 if self.merges else 1e4))  # byte fallback
+            if "" in node:
+                found.append(node[""])
+        if not found or len(found[0][0]) > 1:
+            found.append((unit[at], 1.0 if self.merges else 1e4))
         return found
 
     def shortest_path(self, unit: str) -> list[str]:
-        """The pieces on the best path of a unit through the composition.
+        """The pieces on the best path of a unit through the composition of P and G.
 
-        A merge model has finite weight on one path alone, so a search from the longest arcs that
-        never enters a state twice finds it; else the states are relaxed in order of place.
+        A state is a place in the unit and a state of G: the piece before it in a merge model, none
+        in a unigram model. States are composed lazily and relaxed in order of place, as all arcs
+        lead forward; an arc of infinite weight makes no state. Of equal paths the first stays.
         """
-        if self.merges:
-            return self._admissible_path(unit)
-        best: list[tuple[float, str | None]] = [(0.0, None)] + [(INFINITE, None)] * len(unit)
-        for at in range(len(unit)):
+        n, merges = len(unit), self.merges
+        states: list[dict[str, tuple[float, str, str]] | None] = [None] * (n + 1)  #: state of G: weight, piece, state before
+        states[0] = {"": (0.0, "", "")}
+        for at in range(n):
+            here = states[at]
+            if here is None:
+                continue
             for piece, weight in self.arcs(unit, at):
-                if best[at][0] + weight < best[at + len(piece)][0]:
-                    best[at + len(piece)] = (best[at][0] + weight, piece)
-        path, at = [], len(unit)
+                after, ahead, met = piece if merges else "", states[at + len(piece)], self._meets.get(piece, {})
+                for last, (so_far, _, _) in here.items():
+                    if last and not (met[last] if last in met else self.neighbours(last, piece) < INFINITE):
+                        continue  # infinite weight
+                    if ahead is None:
+                        ahead = states[at + len(piece)] = {}
+                    if after not in ahead or so_far + weight < ahead[after][0]:
+                        ahead[after] = (so_far + weight, piece, last)
+        if not states[n]:
+            raise ValueError(f"no path for {unit!r}")
+        state, at, path = min(states[n], key=lambda s: states[n][s][0]), n, []
         while at:
-            path.append(best[at][1])
-            at -= len(path[-1])
+            _, piece, before = states[at][state]
+            path.append(piece)
+            at, state = at - len(piece), before
         return path[::-1]
 
-    def _admissible_path(self, unit: str) -> list[str]:
-        """Depth-first from the longest arcs; ``dead`` holds the states without a way to the end."""
-        pieces, prefixes, meets, n = self.ids, self.prefixes, self._meets, len(unit)
-        path: list[str] = []
-        open_arcs: list[list[str]] = []
-        dead: set[tuple[int, str]] = set()
-        at = 0
-        while at < n:
-            if len(open_arcs) == len(path):  # a state is entered: its arcs, the longest last
-                arcs = [unit[at]]
-                end = at + 2
-                while end <= n and (piece := unit[at:end]) in prefixes:
-                    if piece in pieces:
-                        arcs.append(piece)
-                    end += 1
-                open_arcs.append(arcs)
-            arcs = open_arcs[-1]
-            last = path[-1] if path else None
-            while arcs:
-                piece = arcs.pop()
-                if last is not None:
-                    met = meets.get((last, piece))
-                    if met is None:
-                        met = self.neighbours(last, piece) == 0.0
-                    if not met:
-                        continue
-                if not dead or (at, piece) not in dead:
-                    path.append(piece)
-                    at += len(piece)
-                    break
-            else:
-                if not path:
-                    raise ValueError(f"no path for {unit!r}")
-                open_arcs.pop()
-                at -= len(path[-1])
-                dead.add((at, path.pop()))
-        return path
-
     def unit_ids(self, unit: str) -> bytes:
         known = self._units.get(unit)
         if known is None:

@@ -9,6 +9,9 @@ alike, are encoded whole.
 
 For a file that drops white space and lower-cases (``words``), white space is left out of chunks,
 and texts within Latin-1, which Python and the library lower-case alike, are lower-cased before.
+
+The library is used as it is after loading the file, so the string of a special token in a text
+becomes that token. Texts that hold such a string (or would in lower case) are encoded whole.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [token.content for token in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.cache: dict[str, bytes] = {}
         self.words = words
 
@@ -44,12 +48,16 @@ class ChunkTokenizer:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _whole(self, text: str) -> bool:
+        """Whether chunks may not be encoded apart."""
+        return bool(_UNSURE.search(text) or self.special.search(text) or self.words and self.special.search(text.lower()))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         cut = _WORD.findall if self.words else _CHUNK.findall
-        parts = [[] if not x or _UNSURE.search(x) else cut(_lower(x) if self.words else x) for x in texts]
+        parts = [[] if not x or self._whole(x) else cut(_lower(x) if self.words else x) for x in texts]
         new = list({c for p in parts for c in p}.difference(self.cache))
         known = self.cache
         long = {}

@@ -20,9 +20,7 @@ DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long,
 def library(path):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 def awkward_rows():
@@ -50,7 +48,7 @@ def empty(spark):
 @pytest.mark.parametrize(("path", "words"), [(BYTES, False), (WORDS, True)])
 def test_chunked_ids_are_those_of_the_library(path, words):
     random.seed(3)
-    pieces = ["a", "The", "don't", "IT'S", " ", "  ", "\n", "\t", "É", "日本", "\u0301", "Σ", "ΑΣ", "İ", "!", "'", "$$$", "123", "_", "\x1c", "\x85", "\u3000", "x'", "!!'ll", "<|endoftext|>"]
+    pieces = ["a", "The", "don't", "IT'S", " ", "  ", "\n", "\t", "É", "日本", "\u0301", "Σ", "ΑΣ", "İ", "!", "'", "$$$", "123", "_", "\x1c", "\x85", "\u3000", "x'", "!!'ll", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>"]
     texts = ["".join(random.choice(pieces) for _ in range(random.randint(0, 12))) for _ in range(4000)]
     expected = [np.asarray(e.ids, dtype="<u4").tobytes() for e in library(path).encode_batch(texts, add_special_tokens=False)]
     assert tokens.ChunkTokenizer(path, words).encode(texts) == expected
@@ -76,6 +74,41 @@ def test_packing_places_every_id_once(awkward):
         assert at <= 2048 and at & (at - 1) == 0  # no padding
 
 
+def test_ids_of_special_strings_are_those_of_the_library():
+    assert np.frombuffer(tokens.ChunkTokenizer(BYTES).encode(["a <|endoftext|> b"])[0], dtype="<u4").tolist() == library(BYTES).encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    assert 49407 in np.frombuffer(tokens.ChunkTokenizer(WORDS, True).encode(["Ends here<|endoftext|>"])[0], dtype="<u4")
+
+
+def test_documents_of_less_than_a_sequence_stay_whole():
+    random.seed(6)
+    sizes = {i: max(1, int(random.lognormvariate(5.5, 1.2))) for i in range(3000)}
+    packer, rows = packing.SequencePacker(2048, 7), []
+    for i, n in sizes.items():
+        rows += packer.add(i, np.arange(n, dtype="<u4").tobytes())
+    rows += packer.flush()
+    pieces, sequences = {}, {}
+    for doc, start, length, crc, n, number, offset in rows:
+        assert n == sizes[doc] and crc == zlib.crc32(np.arange(start, start + length, dtype="<u4").tobytes()) and number >= 7
+        pieces.setdefault(doc, []).append((start, length))
+        sequences.setdefault(number, []).append((offset, length))
+    for places, whole in [(p, sizes[d]) for d, p in pieces.items()] + [(s, sum(x for _, x in s)) for s in sequences.values()]:
+        at = 0
+        for begin, length in sorted(places):
+            assert begin == at
+            at += length
+        assert at == whole
+    assert len(pieces) == len(sizes) and all(n == 2048 or n & (n - 1) == 0 for n in (sum(x for _, x in s) for s in sequences.values()))
+    assert sum(sum(x for _, x in s) < 2048 for s in sequences.values()) <= 11
+    short = [len(p) for d, p in pieces.items() if sizes[d] <= 2048]
+    assert np.mean(np.array(short) == 1) > 0.97 and len(rows) < len(sizes) + len(sequences)
+
+
+def test_operators_leave_the_rows_of_batches_alone(spark, awkward):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    bitpack.token_files(awkward, WORDS)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_harmonic_classes_hold_a_fixed_count():
     bins = packing.HarmonicBins(100)
     closed = [x for i, n in enumerate([40, 60, 45, 34, 50, 33, 33, 33, 100]) for x in bins.add(n, i)]
@@ -245,6 +278,86 @@ def test_languages_are_learned(spark, awkward, empty):
     assert langid.predict_languages(empty).count() == 0
 
 
+def slow_hash(code: int) -> int:
+    """The finaliser of ``mixed`` on one number."""
+    mask = (1 << 64) - 1
+    for _ in range(2):
+        code = (code ^ code >> 32) * 0xD6E8FEB86659FD93 & mask
+    return code ^ code >> 32
+
+
+def slow_buckets(grams, text):
+    """The buckets of all n-grams of one text, one by one."""
+    data = (text.lower() if grams.letters else text).encode()
+    if grams.letters:
+        data = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in data)
+    found = []
+    for n in grams.orders:
+        for i in range(len(data) - n + 1):
+            gram = data[i : i + n]
+            if grams.letters and gram[:2] == b"  " and n > 1:
+                continue
+            found.append(slow_hash((int.from_bytes(gram, "big") + (n << 57)) & (1 << 64) - 1) >> (64 - grams.bits))
+    return found
+
+
+TEXTS = ["", "a", "Ab  c-d", "don't  Stop!! ", "Été à l'île", "x\n\n y", "日本 語", "the of the of"]
+
+
+@pytest.mark.parametrize("grams", [langid.GRAMS, toxicity.GRAMS, nbsvm.GRAMS])
+def test_buckets_are_the_slow_ones(grams):
+    import pyarrow as pa
+
+    found = [[] for _ in TEXTS]
+    for number, bucket in grams.buckets(pa.array(TEXTS)):
+        for i, b in zip(number.tolist(), bucket.tolist(), strict=True):
+            found[i].append(b)
+    assert [sorted(f) for f in found] == [sorted(slow_buckets(grams, t)) for t in TEXTS]
+
+
+def test_language_scores_are_the_slow_ones(spark):
+    import pyarrow as pa
+
+    model = langid.fit_languages(spark.read.parquet(f"{SF}/documents.parquet"))
+    z, count, share = model.averages(pa.array([*TEXTS, *TEXTS[::-1]]))
+    for i, text in enumerate([*TEXTS, *TEXTS[::-1]]):
+        own = slow_buckets(langid.GRAMS, text)
+        seen = [b for b in own if model.seen[b]]
+        mean = sum((model.logits[b >> 6].astype(float) for b in seen), np.zeros(len(model.languages))) / max(1, len(seen)) + model.bias
+        assert count[i] == len(own) and abs(share[i] - len(seen) / max(1, len(own))) < 1e-12 and np.abs(z[i] - mean).max() < 1e-9
+    assert (z[: len(TEXTS)] == z[len(TEXTS) :][::-1]).all()  # equal texts, whatever stands beside them
+    language, score, rejected, _ = model.predict(pa.array(TEXTS))
+    p = langid.softmax(z[: len(TEXTS)] / model.temperature)
+    for i, text in enumerate(TEXTS):
+        if not any(map(str.isalpha, text)):
+            assert (language[i], score[i], rejected[i]) == ("und", 0, True)
+        else:
+            assert language[i] == model.languages[p[i].argmax()] and score[i] == p[i].max()
+
+
+FOREIGN = ["これは日本語の文章です。とても長いです。", "Это предложение написано на русском языке.", "Questa frase è scritta in italiano, e non dovrebbe essere accettata dal modello.", "def f(x):\n    return [i for i in range(x)]\nimport os, sys\nprint(os.path)", "zzqx wvk jjhh pqz xxk vvb"]
+
+
+def test_foreign_texts_are_rejected_and_known_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    more = spark.createDataFrame([(10_000_000 + i, t, None, "s", len(t)) for i, t in enumerate(FOREIGN)], docs.schema)
+    rows = langid.predict_languages(docs.unionByName(more)).collect()
+    assert all(r.rejected for r in rows if r.doc_id >= 10_000_000)
+    assert np.mean([not r.rejected for r in rows if r.doc_id < 10_000_000]) >= 0.98
+    kept = {r.doc_id for r in langid.keep_known(docs.unionByName(more)).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in rows if not r.rejected}
+
+
+@pytest.mark.parametrize("left_out", ["de", "es", "fr"])
+def test_a_language_that_training_lacks_is_rejected(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rest = docs.selectExpr("doc_id", "text", f"case when lang <> '{left_out}' then lang end as lang")
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    rows = langid.predict_languages(rest).collect()
+    assert np.mean([r.rejected for r in rows if truth[r.doc_id] == left_out]) >= 0.9
+    assert np.mean([not r.rejected for r in rows if truth[r.doc_id] != left_out]) >= 0.98
+
+
 @pytest.fixture(scope="module")
 def marked(spark):
     random.seed(9)
@@ -282,6 +395,42 @@ def test_classifiers_on_awkward_rows(spark, awkward, empty, marked, score):
     assert {r.score for r in score(awkward, none).collect()} <= {0.0, 1e-9}
 
 
+@pytest.mark.parametrize(("grams", "labelled"), [(toxicity.GRAMS, 2), (nbsvm.GRAMS, 1)])
+def test_ratios_and_scores_are_the_slow_ones(marked, grams, labelled):
+    import pyarrow as pa
+
+    docs, _, truth = marked
+    rows = sorted((r.doc_id, r.text) for r in docs.limit(120).collect())
+    y = np.array([truth[i][labelled] for i, _ in rows])
+    sets = [set(slow_buckets(grams, t)) for _, t in rows]
+    buckets, ratio = linear.select_buckets([np.array(sorted(x)) for x in sets], y, grams.bits, 50)
+    n = [sum(y == c) + 2.0 for c in (0, 1)]
+    slow = {}
+    for b in set().union(*sets):
+        seen = [sum(b in x for x, t in zip(sets, y, strict=True) if t == c) for c in (0, 1)]
+        if sum(seen) >= 4:
+            r = np.log((seen[1] + 1) / n[1]) - np.log((seen[0] + 1) / n[0])
+            slow[b] = (abs(r) / np.sqrt(1 / (seen[0] + 1) + 1 / (seen[1] + 1)), r)
+    least = sorted(s for s, _ in slow.values())[-len(buckets)]
+    assert len(buckets) == min(50, sum(s > 0 for s, _ in slow.values()))
+    assert all(abs(slow[b][1] - r) < 1e-9 and slow[b][0] >= least - 1e-12 for b, r in zip(buckets.tolist(), ratio, strict=True))
+    weights = np.linspace(-1, 1, len(buckets))
+    model = linear.IndicatorModel(grams, linear.bucket_table(buckets, grams.bits), weights, 0.25, 2.0, -0.5)
+    for score, x in zip(model.scores(pa.array([t for _, t in rows])), sets, strict=True):
+        decision = sum(w for b, w in zip(buckets.tolist(), weights, strict=True) if b in x) + 0.25
+        assert abs(score - 1 / (1 + np.exp(-(2 * decision - 0.5)))) < 1e-9
+
+
+def test_calibration_is_the_likelihood_optimum():
+    rng = np.random.default_rng(3)
+    y = (rng.random(400) < 0.3).astype(int)
+    z, weight = 3 * (y - 0.4) + rng.normal(size=400), np.where(y == 1, 2.0, 1.0)
+    a, b = linear.fit_platt(z, y, weight)
+    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    loss = lambda a, b: -(weight * (target * np.log(linear.sigmoid(a * z + b)) + (1 - target) * np.log(1 - linear.sigmoid(a * z + b)))).sum()
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-2 for da in (-0.05, 0, 0.05) for db in (-0.05, 0, 0.05))
+
+
 def test_dual_coordinate_descent_reaches_the_primal_optimum():
     random = np.random.default_rng(0)
     dense = (random.random((80, 6)) < 0.5).astype(float)
@@ -321,7 +470,7 @@ def test_unigram_shortest_path_is_the_best_segmentation():
     machine.merges = False
     machine.scores = {"a": -3.0, "b": -3.0, "c": -2.5, "ab": -2.0, "bc": -4.0, "abc": -9.0}
     machine.ids = {p: i for i, p in enumerate(machine.scores)}
-    machine.prefixes = {p[:n] for p in machine.ids for n in range(1, len(p) + 1)}
+    machine._meets, machine._met, machine.lexicon = {}, 0, machine.trie()
 
     def cuts(text):
         return [[]] if not text else [[text[:n], *rest] for n in range(1, len(text) + 1) if text[:n] in machine.ids for rest in cuts(text[n:])]

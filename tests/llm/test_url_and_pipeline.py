@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__
 import corpus_pipeline
 from auditloom.llm import host_reputation, nbsvm
+from auditloom.llm import queries as training_data
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,6 +56,54 @@ def test_reputation_equals_sql(spark):
     assert sorted(map(str, got)) == sorted(map(str, expected))
 
 
+def pages_view():
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{SF}/pages.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("blocked", [3, 2000])
+def test_hosts_without_evidence_pass_whatever_the_table(spark, blocked):
+    urls = [f"http://h{i % 7}.example.com/en/{i}" for i in range(blocked)] + ["http://a.com/x", "http://b.com/x"]
+    urls += [f"http://h{i % 7}.net/fr/{i}" for i in range(blocked)] + ["http://h1.net/en/", "http://new.net/", "http://c.org/", "http://d.org/de/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = host_reputation.judge_urls(pages, evidenced=True).where("rule is null").collect()
+    assert len(rows) == 4 and {(r.verdict, r.bad_bound) for r in rows} == {("allow", None)}
+
+
+def test_evidence_still_blocks(spark):
+    pages = [(i, f"http://bad{i % 2}.example.org/{i}", 1) for i in range(40)] + [(100 + i, f"http://good.example.org/{i}", 0) for i in range(40)]
+    frame = spark.createDataFrame([*pages, (200, "http://bad0.example.org/new", None), (201, "http://new.example.org/", None)], "page_id long, url string, bad int")
+    rows = {r.page_id: r.verdict for r in host_reputation.judge_urls(frame, outcomes=frame.where("bad is not null").select("page_id", "bad"), evidenced=True).collect()}
+    assert rows[200] == "block" and rows[201] == "allow" and rows[100] == "allow"
+
+
+def test_evidenced_reputation_equals_sql(spark):
+    expected = pages_view().execute(f"select page_id, host, path, rule, verdict, bad_share, bad_bound from ({host_reputation.EVIDENCED_SQL})").fetchall()
+    got = training_data.queries()["op9_url_reputation_evidenced"](spark, SF).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, expected))
+    assert {r.verdict for r in got if r.rule is None} == {"allow"}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_both_verdicts_without_a_rule(spark, sf):
+    rows = [r for r in host_reputation.judge_urls(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")).collect() if r.rule is None]
+    assert {r.verdict for r in rows} == {"allow", "block"}
+    assert {r.verdict for r in rows if r.host.endswith(".org")} == {"allow"}
+
+
+def test_hosts_without_a_labelled_page_pass(spark):
+    urls = [*(f"http://h{i % 3}.net/fr/{i}" for i in range(40)), "http://h1.net/de/", "http://new.net/", "http://a.org/", "http://x.museum/", None]
+    rows = {r.page_id: r for r in host_reputation.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [rows[i].verdict for i in range(40, 45)] == ["block", "allow", "allow", "allow", "allow"]
+
+
+def test_repeated_outcomes_do_not_repeat_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/", 5), (2, "http://b.org/", None), (None, "http://a.org/", 1)], "page_id long, url string, n int")
+    outcomes = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (9, 1)], "page_id long, bad int")
+    assert host_reputation.judge_urls(pages, outcomes=outcomes).count() == 3
+
+
 def test_all_operators_are_registered():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
@@ -73,13 +122,24 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in pieces} == kept
 
 
-@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
-def test_stages_on_no_rows_and_awkward_rows(spark, stage):
+ODD = [(1, None, None, None, None, 1), (None, "some words here", "en", "s", 5, 1), (2, "", "en", "s", 0, 1), (2, "", "en", "s", 0, 1), (3, "word " * 3000, "en", "s", 1, None), (4, "word " * 3000, "en", "s", 1, None)]
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_stages_on_no_rows_and_awkward_rows(spark, name, stage):
     schema = "doc_id long, text string, lang string, source string, n_chars long, _gone long"
     empty = spark.createDataFrame([], schema)
     assert stage(spark, empty, SF).count() == 0
-    odd = spark.createDataFrame([(1, None, None, None, None, 1), (None, "some words here", "en", "s", 5, 1), (2, "", "en", "s", 0, 1), (2, "", "en", "s", 0, 1), (3, "word " * 3000, "en", "s", 1, None)], schema)
-    assert stage(spark, odd, SF).count() >= 0
+    rows = stage(spark, spark.createDataFrame(ODD, schema), SF).collect()
+    ids = sorted(str(r.doc_id) for r in rows)
+    if name == "language":  # what has letters in a language that was learned
+        assert set(ids) <= {"3", "4", "None"} and "3" in ids and "4" in ids
+    elif name == "quality":  # equal texts are judged alike
+        assert ids.count("3") == ids.count("4") and ids.count("2") in (0, 2)
+    elif name == "near_duplicates":  # one of each doc_id and of each group; texts without words are linked with nothing
+        assert ids == ["1", "2", "3", "None"]
+    else:
+        assert set(ids) == {"1", "2", "3", "4", "None"} and sum(r.length for r in rows) == sum({(r.doc_id, r.doc_tokens): r.doc_tokens for r in rows}.values()) + 1
 
 
 def test_rejected_quality_goes(spark):
