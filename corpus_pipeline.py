@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: each stage applies one operator to all rows it gets."""
+"""From raw documents to packed sequences: each stage applies one operator to all rows it gets.
+
+Every stage takes an empty table to an empty one and carries further columns along, whatever
+their names; rows are judged one by one, so repeated rows stay or go together up to the third stage.
+"""
 
 from __future__ import annotations
 
@@ -10,22 +14,34 @@ from auditloom.llm._common import stored, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or whose score is under the calibrated bound, go."""
+    """Language ID: documents that it rejects go.
+
+    These are null texts, texts without a letter, and those whose score or whose share of n-grams
+    known from training is under its calibrated bound. Null languages are not learned from.
+    """
     return langid.keep_known(docs)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier, learned from the labels of documents that got here; rejected ones go."""
+    """Quality classifier, learned from the labels of documents that got here; rejected ones go.
+
+    Null and empty texts get the score of a text without n-grams. Without labels of both kinds the
+    score is the share of good ones, so all go or all stay.
+    """
     return nbsvm.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each linked group the document of least doc_id stays."""
+    """N-gram Jaccard join: of each linked group the document of least doc_id stays.
+
+    Texts without words link with nothing; of rows with the same doc_id the one of least text
+    stays; rows with a null doc_id all stay.
+    """
     return ngram_join.keep_one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Harmonic packing of the documents that are left."""
+    """Harmonic packing of the documents that are left, null texts as empty ones."""
     return packing.harmonic_pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
