@@ -24,10 +24,12 @@ def _ranked(rows: DataFrame, keys: list[str], order) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_rank = 1").drop("_rank")
 
 
-def snapshot(tools: DataFrame, interop: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(servers, tools) of a baseline. A server without tools may be added to the first by hand."""
+def snapshot(tools: DataFrame, interop: bool = False, servers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(servers, tools) of a baseline. ``servers``: those to approve beside the tools', as some have none."""
     kept = last_of_each(tools, ["server", "name"], "ord")
-    return kept.select("server").distinct(), fingerprints(kept, interop)
+    known = kept.select("server")
+    known = known if servers is None else known.unionByName(servers.select(F.col("name").alias("server")))
+    return known.distinct(), fingerprints(kept, interop)
 
 
 def drift(tools: DataFrame, baseline: tuple[DataFrame, DataFrame] | None, interop: bool = False, servers: DataFrame | None = None) -> DataFrame:

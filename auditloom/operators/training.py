@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from auditloom.operators.features import FEATURES
 from auditloom.operators.scoring import LogisticModel
 
-#: Features that the ablation silences: the word lists.
-LEXICON = ("injection_markers", "concealment", "exfiltration", "credentials", "fs_targets", "cross_tool", "urgency", "directive", "hidden_recipient", "hardcoded_recipient", "redaction_language", "markup_injection", "imperative_density")
+#: Features that the ablation silences, those that rest on words of one language.
+LEXICON = ("injection_markers", "concealment", "cross_tool", "urgency", "directive", "imperative_density", "hidden_recipient", "redaction_language", "conceal_x_exfil", "cred_x_exfil", "fs_x_exfil", "cross_x_urgency", "recipient_x_exfil")
 
 
 def feature_stats(rows: DataFrame, names=FEATURES) -> DataFrame:
@@ -77,7 +77,7 @@ def folds(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
 
 def cross_validate(rows: DataFrame, key: str, k: int = 5, l2: float = 1e-3, names=FEATURES, by: tuple[str, ...] = ()) -> DataFrame:
     """The pooled confusion matrix of k models, each on the rows it was not trained on."""
-    parts = folds(rows, key, k).cache()
+    parts = folds(rows, key, k)
     scored = None
     for fold in range(k):
         model = train(parts.where(F.col("fold") != fold), l2, names)

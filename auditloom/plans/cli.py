@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import argparse
 import sys
+import tempfile
+import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +15,8 @@ from auditloom.operators import ranking, training
 from auditloom.operators.drift import snapshot
 from auditloom.operators.features import with_features
 from auditloom.plans import engine, report
-from auditloom.relations import SEVERITIES, TOOLS
-from auditloom.sources import configs, probe, sinks
+from auditloom.relations import SEVERITIES, TOOLS, with_advice
+from auditloom.sources import configs, corpus, probe, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -39,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     scan.add_argument("--strict", action="store_true")
     made["baseline"].add_argument("--out", default="baseline")
     made["capture"].add_argument("--out", default="tools.json")
-    made["train"].add_argument("--labelled", required=True, help="Parquet with text and label")
+    made["train"].add_argument("--labelled", help="Parquet with text and label; without it the corpus of the engine")
     made["train"].add_argument("--out", default="model.json")
     made["train"].add_argument("--l2", type=float, default=1e-3)
     made["train"].add_argument("--cv", type=int, default=5)
@@ -69,8 +72,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("auditloom").getOrCreate()
     try:
         return {"scan": _scan, "baseline": _baseline, "capture": _capture, "train": _train}[args.command](spark, args)
-    except ValueError as e:
-        print(f"error: {e}", file=sys.stderr)
+    except (ValueError, PySparkException) as e:
+        print(f"error: {str(e).splitlines()[0]}", file=sys.stderr)
         return 2
 
 
@@ -78,12 +81,12 @@ def _scan(spark, args) -> int:
     engine.choose(args.enable, args.disable)
     frames, errors = relations(spark, args)
     baseline = sinks.load_baseline(spark, args.baseline) if args.baseline else None
-    model = configs.read_model(args.model) if args.model else None
-    if args.model and model is None:
-        raise ValueError(f"no model in {args.model}")
+    model = configs.named_model(args.model) if args.model else configs.default_model()
     context = engine.Context(baseline, model, args.semantic_threshold, args.strict)
-    findings, failed = engine.scan(frames, context, args.enable, args.disable)
-    findings, errors = findings.cache(), errors + failed
+    # each detector runs at once and apart: one that fails is an error of the report, the others count
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="auditloom-")
+    findings, failed = engine.scan(frames, context, args.enable, args.disable, f"{folder.rstrip('/')}/scan-{uuid.uuid4().hex}")
+    findings, errors = with_advice(findings).cache(), errors + failed
     if args.format == "json":
         text = report.render_json(findings, frames.servers, frames.tools, errors)
     else:
@@ -93,6 +96,10 @@ def _scan(spark, args) -> int:
             out.write(text)
     else:
         print(text)
+    for message in errors:
+        print(f"error: {message}", file=sys.stderr)
+    if failed or args.config and errors:
+        return 2
     return 0 if args.fail_on == "never" else ranking.gate(findings, args.fail_on)
 
 
@@ -100,7 +107,7 @@ def _baseline(spark, args) -> int:
     frames, _ = relations(spark, args)
     if frames.tools.isEmpty():
         raise ValueError("no tools: a baseline would approve nothing")
-    sinks.write_baseline(snapshot(frames.tools), args.out)
+    sinks.write_baseline(snapshot(frames.tools, servers=frames.servers), args.out)
     return 0
 
 
@@ -111,10 +118,16 @@ def _capture(spark, args) -> int:
 
 
 def _train(spark, args) -> int:
-    rows = spark.read.parquet(args.labelled).select(F.lit("").alias("name"), F.col("text").alias("description"), F.lit("{}").alias("input_schema"), "label", F.sha2("text", 256).alias("key"))
-    ready = with_features(rows).cache()
-    model = training.train(ready, args.l2)
-    model.metrics = {"train": training.confusion(ready, model.probability()).first().asDict(), "cv": training.cross_validate(ready, "key", args.cv, args.l2).first().asDict(), "auc": training.roc_auc(ready, model.probability()).first().auc}
+    """Train on labelled texts, or on the corpus that comes with the engine, and measure by folds and on its holdout."""
+    labelled = corpus.corpus(spark) if not args.labelled else spark.read.parquet(args.labelled).select("text", "label", F.lit("train").alias("split"), F.sha2("text", 256).alias("key"))
+    ready = with_features(corpus.as_tools(labelled)).cache()
+    rows, held = ready.where("split = 'train'"), ready.where("split = 'holdout'")
+    model = training.train(rows, args.l2)
+    rates = lambda frame: training.confusion(frame, model.probability()).first().asDict() | {"auc": training.roc_auc(frame, model.probability()).first().auc}
+    model.metrics = {"train": rates(rows), "cv": training.cross_validate(rows, "key", args.cv, args.l2).first().asDict()}
+    if not held.isEmpty():
+        model.metrics["holdout"] = rates(held)
+    ready.unpersist()
     sinks.write_model(model, args.out)
     print(model.metrics)
     return 0

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +68,6 @@ def scan(relations: Relations, context: Context | None = None, enable: Iterable[
                 found.write.mode("overwrite").parquet(f"{isolate}/{name}")
                 found = spark.read.parquet(f"{isolate}/{name}")
             parts.append(found)
-        except (PySparkException, ValueError) as e:
+        except (PySparkException, Py4JError, ValueError) as e:
             errors.append(f"{name}: {type(e).__name__}: {str(e).splitlines()[0]}")
     return reduce(DataFrame.unionByName, parts), errors

@@ -16,7 +16,7 @@ from auditloom.operators import drift, features, flows, pinning, ranking, scorin
 from auditloom.plans import engine, report
 from auditloom.plans import sql as Q
 from auditloom.relations import qualified_name, tools_of
-from auditloom.sources import configs, sinks, tables
+from auditloom.sources import configs, corpus, sinks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -601,6 +601,32 @@ def mean_log_loss(spark, sf_dir):
     return labelled_features(spark, sf_dir).select(scoring.log_loss(FIXED_MODEL.probability(), F.col("label")).alias("loss")).agg(F.round(F.avg("loss"), 6).alias("loss"))
 
 
+CORPUS_SQL = tables.sql_rows("corpus", "text, label, split", corpus.rows())
+
+
+@query("corpus_stats", f"WITH {CORPUS_SQL} SELECT split, CAST(label AS INT) AS label, count(*) AS n FROM corpus GROUP BY ALL")
+def corpus_stats(spark, sf_dir):
+    return corpus.corpus_stats(corpus.corpus(spark))
+
+
+@query("corpus_overlap", f"""WITH {CORPUS_SQL}, more AS (SELECT * FROM corpus UNION ALL SELECT '  ' || upper(r_name), '0', 'holdout' FROM region UNION ALL SELECT lower(r_name) || ' ', '0', 'train' FROM region WHERE length(r_name) > 4)
+SELECT text, CAST(label AS INT) AS label FROM more WHERE split = 'holdout' AND trim(lower(text)) IN (SELECT trim(lower(text)) FROM more WHERE split = 'train')""")
+def corpus_overlap(spark, sf_dir):
+    """Texts of the holdout that training has: none of the corpus, some names of regions put in to be found."""
+    names = tables.read(spark, sf_dir, "region")
+    row = lambda text, split: names.select(text.alias("text"), F.lit(0).alias("label"), F.lit(split).alias("split"))
+    more = row(F.concat(F.lit("  "), F.upper("r_name")), "holdout").unionByName(row(F.concat(F.lower("r_name"), F.lit(" ")), "train").where("length(trim(text)) > 4"))
+    return corpus.overlap(corpus.corpus(spark).drop("key").unionByName(more))
+
+
+@query("train_on_corpus")
+def train_on_corpus(spark, sf_dir):
+    """Rates on the holdout of the corpus, of a model trained on the rest."""
+    rows = features.with_features(corpus.as_tools(corpus.corpus(spark)))
+    model = training.train(rows.where("split = 'train'"))
+    return training.confusion(rows.where("split = 'holdout'"), model.probability())
+
+
 # ---------------------------------------------------------------- findings as a whole
 
 

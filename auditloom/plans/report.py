@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators.ranking import by_severity, ranked, summary
-from auditloom.relations import SEVERITIES
+from auditloom.relations import SEVERITIES, with_advice
 
 TOOL, VERSION = "auditloom", "1.0"
 # Fixed values of the SARIF format.
@@ -24,6 +24,10 @@ DESCRIPTIONS = {
 }
 
 
+def advised(findings: DataFrame) -> DataFrame:
+    return findings if "detail" in findings.columns else with_advice(findings)
+
+
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """(rule_id, name, level, results): a rule for each detector; its level is that of its worst finding."""
     worst = findings.groupBy("detector").agg(F.max("severity_rank").alias("rank"), F.count("*").alias("results"))
@@ -41,8 +45,8 @@ def sarif_results(findings: DataFrame, uri: str = "mcp.json") -> DataFrame:
     """One JSON object for each finding, in rank order."""
     level = F.get(F.array(*(F.lit(SARIF_LEVELS[s]) for s in SEVERITIES)), F.col("severity_rank"))
     place = F.array(F.struct(F.struct(F.struct(F.lit(uri).alias("uri")).alias("artifactLocation"), F.struct(F.lit(1).alias("startLine"), F.struct(F.col("location").alias("text")).alias("snippet")).alias("region")).alias("physicalLocation")))
-    result = F.struct(F.concat(F.lit(f"{TOOL}/"), "detector").alias("ruleId"), level.alias("level"), F.struct(F.col("title").alias("text")).alias("message"), place.alias("locations"), F.struct("severity", "server", "tool", F.try_parse_json("evidence").alias("evidence")).alias("properties"))
-    return ranked(findings).select(F.to_json(result).alias("json"))
+    result = F.struct(F.concat(F.lit(f"{TOOL}/"), "detector").alias("ruleId"), level.alias("level"), F.struct(F.col("title").alias("text")).alias("message"), place.alias("locations"), F.struct("severity", "server", "tool", "detail", "remediation", F.try_parse_json("evidence").alias("evidence")).alias("properties"))
+    return ranked(advised(findings)).select(F.to_json(result).alias("json"))
 
 
 def render_sarif(findings: DataFrame, errors: list[str] = (), uri: str = "mcp.json") -> str:
@@ -61,7 +65,7 @@ def render_sarif(findings: DataFrame, errors: list[str] = (), uri: str = "mcp.js
 def render_json(findings: DataFrame, servers: DataFrame, tools: DataFrame, errors: list[str] = ()) -> str:
     head = summary(findings, servers, tools).first()
     counts = {r.severity: r.n for r in by_severity(findings).collect()}  # a row for each severity
-    rows = [{k: v for k, v in r.asDict().items() if k != "severity_rank"} for r in ranked(findings).toLocalIterator()]
+    rows = [{k: v for k, v in r.asDict().items() if k != "severity_rank"} for r in ranked(advised(findings)).toLocalIterator()]
     for row in rows:
         row["evidence"] = json.loads(row["evidence"])
     listed = [r.asDict() for r in servers.select("name", "transport", "command", "args", "url").orderBy("name").toLocalIterator()]
@@ -71,9 +75,11 @@ def render_json(findings: DataFrame, servers: DataFrame, tools: DataFrame, error
 
 def render_text(findings: DataFrame, errors: list[str] = (), width: int = 92, most: int | None = None, evidence: bool = False) -> str:
     """All findings, or the worst ``most`` with how many were left out, and the counts, wrapped for a console."""
-    lines, rows = [], ranked(findings)
+    lines, rows = [], ranked(advised(findings))
     for r in (rows if most is None else rows.limit(most)).toLocalIterator():
         lines += [f"[{r.severity.upper()}] {r.detector}  {r.location}", *textwrap.wrap(r.title, width, initial_indent="  ", subsequent_indent="  ")]
+        for said in (r.detail, r.remediation):
+            lines += textwrap.wrap(said, width, initial_indent="    ", subsequent_indent="    ")
         if evidence and r.evidence != "{}":
             lines += textwrap.wrap(r.evidence, width, initial_indent="    ", subsequent_indent="    ")
     counts = {r.severity: r.n for r in by_severity(findings).collect()}

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -102,9 +103,13 @@ def _config_json(paths: pd.Series, texts: pd.Series) -> pd.DataFrame:
 
 
 def read_configs(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(servers, errors) of configuration files; files are parsed on the executors."""
-    texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return servers_of(texts)
+    """(servers, errors) of configuration files; files are parsed on the executors, a missing one is an error row."""
+    missing = [p for p in paths if "://" not in p and not Path(p).is_file()]
+    servers, errors = servers_of(spark.createDataFrame([], "path string, value string"))
+    if found := [p for p in paths if p not in missing]:
+        servers, errors = servers_of(spark.read.text(found, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+    absent = spark.createDataFrame([(f"{p}: no such file",) for p in missing], "message string")
+    return servers, errors.unionByName(absent)
 
 
 def servers_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,9 +131,22 @@ def servers_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 DUMP = "servers array<struct<name:string,transport:string,command:string,args:array<string>,env:map<string,string>,url:string,tools:array<variant>>>"
 
 
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    """The whole text of a file; a missing or unreadable one is a ValueError."""
+    try:
+        return spark.read.text(path, wholetext=True)
+    except PySparkException as e:
+        raise ValueError(f"{path}: cannot be read: {str(e).splitlines()[0]}") from e
+
+
 def read_tool_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(servers, tools) of captured definitions. Entries without a name are skipped."""
-    return dump_relations(spark.read.text(path, wholetext=True))
+    """(servers, tools) of captured definitions. Entries without a name are skipped; what is no dump is a ValueError."""
+    texts = _texts(spark, path)
+    whole = F.try_parse_json("value")
+    bad = texts.where(whole.isNull() | F.try_variant_get(whole, "$.servers", "array<variant>").isNull())
+    if texts.isEmpty() or not bad.isEmpty():
+        raise ValueError(f"{path}: no dump: JSON with a list of servers is expected")
+    return dump_relations(texts)
 
 
 def dump_relations(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,20 +166,36 @@ def read_baseline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """(servers, tools) of a JSON baseline; another format than 1 is an error."""
     fields = ("fingerprint", "description_fingerprint", "schema_fingerprint", "annotations_fingerprint", "preview")
     kind = f"format int, servers map<string,map<string,struct<{','.join(f + ':string' for f in fields)}>>>"
-    data = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("b")).where(F.assert_true(F.coalesce(F.col("b.format") == BASELINE_FORMAT, F.lit(False)), "unknown baseline format").isNull())
+    data = _texts(spark, path).select(F.from_json("value", kind).alias("b")).where(F.assert_true(F.coalesce(F.col("b.format") == BASELINE_FORMAT, F.lit(False)), "unknown baseline format").isNull())
     servers = data.select(F.explode("b.servers").alias("server", "tools"))
     tools = servers.select("server", F.explode("tools").alias("tool", "r")).select("server", "tool", *(F.coalesce(f"r.{f}", F.lit("")).alias(f) for f in fields))
     return servers.select("server"), tools
 
 
+#: The model that a scan uses where none is named, trained on ``sources.corpus``.
+DEFAULT_MODEL = Path(__file__).with_name("default_model.json")
+
+
 def read_model(path: str) -> LogisticModel | None:
     """A model file, or None where it is missing or not a model."""
     try:
-        return LogisticModel.from_json(Path(path).read_text(encoding="utf-8"))
-    except (OSError, ValueError, TypeError):
+        return named_model(path)
+    except ValueError:
         return None
 
 
+def named_model(path: str) -> LogisticModel:
+    """A model file; a missing or broken one is a ValueError."""
+    try:
+        return LogisticModel.from_json(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError, TypeError) as e:
+        raise ValueError(f"no model in {path}: {e}") from e
+
+
+def default_model() -> LogisticModel | None:
+    return read_model(str(DEFAULT_MODEL))
+
+
 def rpc_tools(payloads: DataFrame) -> DataFrame:
     """TOOLS from (server, payload): JSON-RPC results that list tools or prompts; the first of a name counts."""
     parsed = payloads.select("server", F.from_json("payload", "result struct<tools:array<variant>,prompts:array<variant>>")["result"].alias("r"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators.scoring import LogisticModel
-from auditloom.sources.configs import BASELINE_FORMAT
+from auditloom.sources.configs import BASELINE_FORMAT, read_baseline
 
 
 def tool_dump(servers: DataFrame, tools: DataFrame) -> DataFrame:
@@ -30,13 +31,22 @@ def write_tool_dump(servers: DataFrame, tools: DataFrame, path: str) -> None:
 
 
 def write_baseline(baseline: tuple[DataFrame, DataFrame], path: str) -> None:
-    """Parquet: ``path/servers`` and ``path/tools``."""
+    """Parquet: ``path/servers`` and ``path/tools``; one JSON file where ``path`` ends so."""
+    if path.endswith(".json"):
+        Path(path).write_text(baseline_json(baseline).first().value, encoding="utf-8")
+        return
     for frame, name in zip(baseline, ("servers", "tools"), strict=True):
         frame.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_baseline(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/servers"), spark.read.parquet(f"{path}/tools")
+    """A baseline, as Parquet or (``.json``) in the form for other tools; a missing one is a ValueError."""
+    if path.endswith(".json"):
+        return read_baseline(spark, path)
+    try:
+        return spark.read.parquet(f"{path}/servers"), spark.read.parquet(f"{path}/tools")
+    except PySparkException as e:
+        raise ValueError(f"{path}: no baseline: {str(e).splitlines()[0]}") from e
 
 
 def baseline_json(baseline: tuple[DataFrame, DataFrame], version: str = "1") -> DataFrame:
