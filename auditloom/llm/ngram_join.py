@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditloom.llm._common import doc_columns, mixed, slices, small_batches, stored, utf8
 from auditloom.llm.components import components
@@ -409,6 +410,11 @@ def ngram_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     nothing. A row with a null doc_id gets a null component_id and links with nothing. Repeated
     rows each get a row; an empty table gives no rows; other columns are ignored.
     """
+    return _grouped(docs, words).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, words: int) -> DataFrame:
+    """``ngram_groups`` with the class of each row (id) and of its group (root; null where nothing can link)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = doc_columns(docs, "doc_id", "text")
@@ -447,21 +453,49 @@ def ngram_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     named = classes.join(groups, "id", "left").select("id", "rep", F.coalesce("root", "id").alias("root"))
     least_doc = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = named.join(least_doc, "root").select("id", "component_id")
-    return rows.join(labels, "id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    labels = named.join(least_doc, "root").select("id", "root", "component_id")
+    linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
+    return rows.join(labels, "id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "id", F.when(linkable, F.col("root")).alias("root"))
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return _orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
+
+
+def _with_class(texts: DataFrame, words: int) -> DataFrame:
+    """(text, id) of the rows of ``texts`` (text)."""
+
+    def classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield _typed(text=(part.column(0), pa.string()), id=([class_id(s) for s in shingle_sets(part.column(0), words)], pa.int64()))
+
+    return texts.mapInArrow(classes, "text string, id long")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The documents, with all their columns, without those that link to one of a lesser doc_id.
 
-    Of rows with the same doc_id in a group the one of least text stays; rows with null doc_id stay.
+    Of rows with the same doc_id in a group the one of least text stays (then of least other
+    columns, as far as they have an order), and so of those without words; rows with the same
+    doc_id in different groups are judged apart; rows with null doc_id stay.
     """
-    groups = ngram_groups(docs, words)
+    groups = stored(_grouped(docs, words), "groups")
+    key = docs["doc_id"].cast("bigint")
+    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
-        return kept
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    repeated = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
+        return docs.join(gone, key == gone["_gone"], "left_anti")
+    others = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in ("doc_id", "text") and _orderable(f.dataType)]
+    repeated = docs.join(again, key == again["_again"], "left_semi")
+    rows = repeated.groupBy(key.alias("doc_id"), F.col("text").cast("string").alias("text")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.lit(0), *others)).alias("row"))
+    rows = stored(rows, "repeated")
+    classed = rows.join(_with_class(rows.select("text").distinct(), words).withColumnRenamed("text", "_text"), F.col("text").eqNullSafe(F.col("_text")))
+    members = groups.join(again, groups["doc_id"] == again["_again"], "left_semi").select("doc_id", "id", "root", "component_id").distinct()
+    stay = classed.join(members.where("doc_id = component_id"), ["doc_id", "id"]).groupBy("doc_id", "root").agg(F.min_by("row", F.struct("text")).alias("row"))
+    kept = stay.select("row.*")
+    alone = docs.join(gone, key == gone["_gone"], "left_anti").join(again, key == again["_again"], "left_anti")
+    return alone.unionByName(kept)

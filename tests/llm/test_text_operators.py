@@ -255,6 +255,15 @@ def test_one_of_each_group_stays(awkward):
     assert ids == sorted(str(i) for i in (None, -5, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 13))
 
 
+def test_rows_of_one_doc_id_are_judged_by_their_groups(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, one, 1), (2, one, 2), (2, two, 3), (2, two + " end", 4), (2, two, 2), (3, two, 5), (4, three, 6), (4, None, 7), (4, None, 1), (4, "", 8), (5, None, 9)]
+    docs = spark.createDataFrame([(i, t, {"n": n}, n) for i, t, n in rows], "doc_id long, text string, props map<string,int>, _again int")
+    kept = ngram_join.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "", r.props["n"]) for r in kept.collect()) == [(1, one, 1), (2, two, 2), (4, "", 1), (4, three, 6), (5, "", 9)]
+
+
 def test_bitmaps_bound_the_difference():
     random = np.random.default_rng(2)
     for _ in range(50):
