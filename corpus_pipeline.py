@@ -34,8 +34,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each linked group the document of least doc_id stays.
 
-    Texts without words link with nothing; of rows with the same doc_id the one of least text
-    stays; rows with a null doc_id all stay.
+    Texts without words link with nothing; of rows with the same doc_id in a group the one of
+    least text stays, in different groups each is judged by its own; rows with a null doc_id all stay.
     """
     return ngram_join.keep_one_of_each(docs)
 
