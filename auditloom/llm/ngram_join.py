@@ -11,7 +11,9 @@ classes share; two classes link when that count reaches what the similarity asks
    are left in both rows after the shared one, cannot reach the overlap asked for.
 3. In a column with many rows, the row that holds it earliest leads: it is paired with all others
    first. Pairs of others count only where their links left them in different groups, so a large
-   group of copies costs as many pairs as it has members.
+   group of copies costs as many pairs as it has members. The rows of a column that is known
+   to have very many are dealt over several tasks; each part has a leader, and these are led too.
+   Second looks are taken only at columns whose rows are in different groups, in parts as well.
 4. A pair is discarded where the parity bitmaps of its rows (a bit or two for each shingle) differ
    in more bits than the symmetric difference of linked sets of these sizes may have items.
 5. Overlaps of the pairs that are left are counted over whole rows, each led row beside its leader.
@@ -44,6 +46,8 @@ BLOCK_ENTRIES = 1 << 21
 SEND_ENTRIES = 1 << 20
 #: Rows above which a column is led.
 LED_ROWS = 8
+#: Rows of one column that a task should hold, above that they are dealt over several.
+PART_ROWS = 1 << 12
 #: Led rows that are verified in one task.
 LED_PER_TASK = 512
 #: Rows of wanted sets up to which they are broadcast to the documents instead of joined by a shuffle.
@@ -167,25 +171,32 @@ class ColumnOrder:
         self.maybe = np.zeros(1 << 22, dtype=bool)
         self.maybe[(columns >> np.uint64(42)).astype(np.int64)] = True
 
+    def seen(self, shingles: np.ndarray) -> np.ndarray:
+        """The count of each shingle, 0 for those not known to be frequent."""
+        count = np.zeros(len(shingles), dtype=np.int64)
+        some = np.flatnonzero(self.maybe[(shingles >> np.uint64(42)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.columns, shingles[some]), len(self.columns) - 1)
+            known = self.columns[at] == shingles[some]
+            count[some[known]] = self.counts[at[known]]
+        return count
+
     def first(self, shingles: np.ndarray, length: int) -> np.ndarray:
         """The ``length`` first of a sorted set of shingles."""
-        some = np.flatnonzero(self.maybe[(shingles >> np.uint64(42)).astype(np.int64)])
-        if not len(some):
-            return shingles[:length]
-        at = np.minimum(np.searchsorted(self.columns, shingles[some]), len(self.columns) - 1)
-        known = self.columns[at] == shingles[some]
-        count = np.zeros(len(shingles), dtype=np.int64)
-        count[some[known]] = self.counts[at[known]]
-        return shingles[np.argsort(count, kind="stable")[:length]]
+        return shingles[np.argsort(self.seen(shingles), kind="stable")[:length]]
 
 
 # ---------------------------------------------------------------- blocks of columns
 
-_BLOCK = "block int, ids binary, sizes binary, columns binary, rows binary, places binary"
+_BLOCK = "block int, home int, ids binary, sizes binary, columns binary, rows binary, places binary"
 
 
-def _send_blocks(docs: DataFrame, order, blocks: int, words: int) -> DataFrame:
-    """The prefix of every class, cut into blocks of columns; a task sends each class once."""
+def _send_blocks(docs: DataFrame, order, blocks: int, words: int, part_rows: int) -> DataFrame:
+    """The prefix of every class, cut into blocks of columns; a task sends each class once.
+
+    A column of more than ``part_rows`` rows is dealt over blocks by its rows; ``home`` is then the
+    block that names the column (else -1).
+    """
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = set(), [], 0
@@ -211,33 +222,38 @@ def _send_blocks(docs: DataFrame, order, blocks: int, words: int) -> DataFrame:
         rows = np.repeat(np.arange(len(held)), lengths)
         places = np.arange(len(columns)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         block = (columns % np.uint64(blocks)).astype(np.int64)
-        by = np.argsort(block, kind="stable")
-        cuts = np.searchsorted(block[by], np.arange(blocks + 1))
-        for b in range(blocks):
-            own = by[cuts[b] : cuts[b + 1]]
-            if len(own):
-                used, local = np.unique(rows[own], return_inverse=True)
-                fields = [ids[used], sizes[used], (columns[own] >> np.uint64(32)).astype(np.uint32), local.astype(np.uint32), np.minimum(places[own], 65535).astype(np.uint16)]
-                yield pa.RecordBatch.from_arrays([pa.array([b], type=pa.int32()), *(pa.array([f.tobytes()], type=pa.binary()) for f in fields)], names=[x.split()[0] for x in _BLOCK.split(", ")])
+        home = np.full(len(columns), -1, dtype=np.int64)
+        seen = order.value.seen(columns)
+        dealt = np.flatnonzero(seen > part_rows)
+        home[dealt] = block[dealt]
+        part = ids[rows[dealt]].view(np.uint64) % (-(-seen[dealt] // part_rows)).astype(np.uint64)
+        block[dealt] = (mixed(columns[dealt] + part * _STEP) % np.uint64(blocks)).astype(np.int64)
+        by = np.lexsort((home, block))
+        cuts = np.flatnonzero(np.r_[True, (block[by][1:] != block[by][:-1]) | (home[by][1:] != home[by][:-1]), True])
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            own = by[s:e]
+            used, local = np.unique(rows[own], return_inverse=True)
+            fields = [ids[used], sizes[used], (columns[own] >> np.uint64(32)).astype(np.uint32), local.astype(np.uint32), np.minimum(places[own], 65535).astype(np.uint16)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[own[0]]], type=pa.int32()) for x in (block, home)), *(pa.array([f.tobytes()], type=pa.binary()) for f in fields)], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
     return docs.mapInArrow(send, _BLOCK)
 
 
 def _read_block(batches: Iterable[pa.RecordBatch]) -> list[np.ndarray]:
-    """columns, ids, sizes and places of the entries of a block, one for each column and class."""
+    """columns, ids, sizes, places and homes of the entries of a block, one for each column and class."""
     kinds = (np.int64, np.int32, np.uint32, np.uint32, np.uint16)
     parts = []
     for batch in batches:
         for r in range(batch.num_rows):
-            ids, sizes, columns, rows, places = (np.frombuffer(batch.column(c + 1)[r].as_buffer(), dtype=k) for c, k in enumerate(kinds))
-            parts.append((columns, ids[rows], sizes[rows], places))
+            ids, sizes, columns, rows, places = (np.frombuffer(batch.column(c + 2)[r].as_buffer(), dtype=k) for c, k in enumerate(kinds))
+            parts.append((columns, ids[rows], sizes[rows], places, np.full(len(rows), batch.column(1)[r].as_py(), dtype=np.int32)))
     if not parts:
-        return [np.zeros(0, dtype=np.int64)] * 4
-    columns, ids, sizes, places = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((ids, columns))
-    columns, ids, sizes, places = columns[order], ids[order], sizes[order], places[order]
-    new = np.r_[True, (columns[1:] != columns[:-1]) | (ids[1:] != ids[:-1])]  # a class of several tasks comes once
-    return [columns[new], ids[new], sizes[new].astype(np.int64), places[new].astype(np.int64)]
+        return [np.zeros(0, dtype=np.int64)] * 5
+    columns, ids, sizes, places, homes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((ids, columns, homes))
+    columns, ids, sizes, places, homes = columns[order], ids[order], sizes[order], places[order], homes[order]
+    new = np.r_[True, (columns[1:] != columns[:-1]) | (ids[1:] != ids[:-1]) | (homes[1:] != homes[:-1])]  # a class of several tasks comes once
+    return [columns[new], ids[new], sizes[new].astype(np.int64), places[new].astype(np.int64), homes[new].astype(np.int64)]
 
 
 def _reach(n, m, p, q) -> np.ndarray:
@@ -257,33 +273,36 @@ def _pairs_within(starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.n
 
 
 def _block_product(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a leads b), and the entries of led columns (column, id, n, place)."""
-    columns, ids, sizes, places = _read_block(batches)
-    starts = np.flatnonzero(np.r_[True, columns[1:] != columns[:-1]]) if len(columns) else np.zeros(0, dtype=np.int64)
+    """Candidate pairs (a leads b), and the entries of led and dealt columns (column, id, n, place; lead: 1 for the leader)."""
+    columns, ids, sizes, places, homes = _read_block(batches)
+    starts = np.flatnonzero(np.r_[True, (columns[1:] != columns[:-1]) | (homes[1:] != homes[:-1])]) if len(columns) else np.zeros(0, dtype=np.int64)
     counts = np.diff(np.r_[starts, len(columns)])
+    kept = (counts > LED_ROWS) | (homes[starts] >= 0)
+    leads = np.zeros(len(columns), dtype=np.int64)
     found = [np.zeros((0, 2), dtype=np.int64)]
     few = (counts > 1) & (counts <= LED_ROWS)
     for i, j in _pairs_within(starts[few], counts[few]):
         ok = _reach(sizes[i], sizes[j], places[i], places[j])
         found.append(np.stack([ids[i[ok]], ids[j[ok]]], axis=1))
-    led = np.flatnonzero(counts > LED_ROWS)
-    for s, k in zip(starts[led], counts[led], strict=True):
+    for s, k in zip(starts[kept], counts[kept], strict=True):
         rows = slice(s, s + k)
         leader = s + int(np.lexsort((ids[rows], places[rows] / sizes[rows]))[0])
+        leads[leader] = 1
+        if k <= LED_ROWS:  # all pairs are there
+            continue
         ok = _reach(sizes[rows], sizes[leader], places[rows], places[leader]) & (ids[rows] != ids[leader])
         found.append(np.stack([np.full(int(ok.sum()), ids[leader]), ids[rows][ok]], axis=1))
     pairs = np.unique(np.concatenate(found), axis=0) if len(found) > 1 else found[0]
     for a in range(0, len(pairs), 1 << 16):
         some = pairs[a : a + (1 << 16)]
         yield _entry(a=some[:, 0], b=some[:, 1])
-    entries = np.repeat(counts > LED_ROWS, counts)
-    where = np.flatnonzero(entries)
+    where = np.flatnonzero(np.repeat(kept, counts))
     for a in range(0, len(where), 1 << 16):
         w = where[a : a + (1 << 16)]
-        yield _entry(column=columns[w].astype(np.int64), id=ids[w], n=sizes[w], place=places[w])
+        yield _entry(column=columns[w].astype(np.int64), id=ids[w], n=sizes[w], place=places[w], home=homes[w], lead=leads[w])
 
 
-_ENTRY = ("a", "b", "column", "id", "n", "place")
+_ENTRY = ("a", "b", "column", "id", "n", "place", "home", "lead")
 
 
 def _entry(**columns) -> pa.RecordBatch:
@@ -291,44 +310,75 @@ def _entry(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], type=pa.int64()) if c in columns else pa.nulls(size, pa.int64()) for c in _ENTRY], names=list(_ENTRY))
 
 
+def _leader_pairs(made: DataFrame) -> DataFrame:
+    """(a, b): the leaders of the parts of a dealt column, led by the earliest of them."""
+    leaders = made.where("home >= 0 and lead = 1").select("block", "column", "id", "n", "place")
+    first = leaders.groupBy("block", "column").agg(F.min_by(F.struct("id", "n", "place"), F.struct(F.col("place") / F.col("n"), "id")).alias("first"))
+    reach = F.expr("100 * least(n, first.n) >= 75 * greatest(n, first.n) and least(n - place, first.n - first.place) >= (75 * (n + first.n) + 174) div 175")
+    return leaders.join(first, ["block", "column"]).where(F.col("id") != F.col("first.id")).where(reach).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+
+
+def _second_look(entries: DataFrame, part_rows: int) -> DataFrame:
+    """The entries of columns whose rows are in different groups, dealt over parts of about ``part_rows`` rows.
+
+    Rows of the largest group of a column (main) go to one part each, the others to all parts and
+    are own in one of them.
+    """
+    by_group = entries.groupBy("block", "column", "group").agg(F.count("*").alias("rows"))
+    columns = by_group.groupBy("block", "column").agg(F.sum("rows").alias("all"), F.max(F.struct("rows", "group")).alias("most")).where("all > most.rows")
+    columns = stored(columns.select("block", "column", F.col("most.group").alias("largest"), F.ceil(F.col("all") / part_rows).cast("int").alias("parts")), "columns")
+    if columns.count() <= BROADCAST_ROWS:
+        columns = F.broadcast(columns)
+    home = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    rows = entries.join(columns, ["block", "column"]).withColumn("main", (F.col("group") == F.col("largest")).cast("int")).withColumn("own_part", home)
+    rows = rows.withColumn("part", F.explode(F.when(F.col("main") == 1, F.array("own_part")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    return rows.select("block", "column", "part", "main", (F.col("part") == F.col("own_part")).cast("int").alias("own"), "group", "id", "n", "place")
+
+
 def _pairs_between(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of led columns that are in different groups, from entries sorted by column."""
-    held: list[pa.RecordBatch] = []
+    """Pairs of rows of different groups, from the entries of ``_second_look`` sorted by column and part."""
 
     def product(parts):
-        block, column, group, ids, n, place = (np.concatenate([np.asarray(p.column(c)) for p in parts]) for c in range(6))
-        starts = np.flatnonzero(np.r_[True, (column[1:] != column[:-1]) | (block[1:] != block[:-1])])
-        for s, e in zip(starts, np.r_[starts[1:], len(column)], strict=True):
-            g = group[s:e]
-            if g.min() == g.max():
-                continue
-            # the largest group is met by the rows outside it; they also meet each other
-            names, inverse, counts = np.unique(g, return_inverse=True, return_counts=True)
-            outside = np.flatnonzero(inverse != counts.argmax()) + s
-            for i in outside:
-                other = np.arange(s, e)
-                other = other[(group[s:e] != group[i]) & ((inverse == counts.argmax()) | (other > i))]
-                ok = _reach(np.full(len(other), n[i]), n[other], place[i], place[other])
-                if ok.any():
-                    j = other[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[i])), pa.array(ids[j])], names=["a", "b"])
-
-    seen = set()
+        key, (main, own, group, ids, n, place) = _keys(parts), (np.concatenate([np.asarray(p.column(c)) for p in parts]) for c in range(3, 9))
+        starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        found, size = [], 0
+        for s, e in zip(starts, np.r_[starts[1:], len(main)], strict=True):
+            for i in s + np.flatnonzero(main[s:e] == 0):
+                # rows of the largest group are met by all others, which meet each other in the part of the one of lesser id
+                j = s + np.flatnonzero((group[s:e] != group[i]) & ((main[s:e] == 1) | ((own[i] == 1) & (ids[s:e] > ids[i]))))
+                j = j[_reach(np.full(len(j), n[i]), n[j], place[i], place[j])]
+                if len(j):
+                    found.append((np.full(len(j), ids[i]), ids[j]))
+                    size += len(j)
+                if size > 1 << 16:
+                    yield _typed(a=(np.concatenate([a for a, _ in found]), pa.int64()), b=(np.concatenate([b for _, b in found]), pa.int64()))
+                    found, size = [], 0
+        if found:
+            yield _typed(a=(np.concatenate([a for a, _ in found]), pa.int64()), b=(np.concatenate([b for _, b in found]), pa.int64()))
+
+    held: list[pa.RecordBatch] = []
+    seen: set = set()
     for batch in batches:
+        key = _keys([batch])
+        if held and (key[:, :1] != _keys([held[-1].slice(held[-1].num_rows - 1)])).any():
+            for out in product(held):
+                yield from _unseen(out, seen)
+            held = []
+        new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        if len(new):
+            for out in product([*held, batch.slice(0, int(new[-1]))]):
+                yield from _unseen(out, seen)
+            held, batch = [], batch.slice(int(new[-1]))
         held.append(batch)
-        column = np.asarray(batch.column(1))
-        if column[0] != column[-1] or sum(b.num_rows for b in held) > SEND_ENTRIES:  # cut before the last column of the batch
-            cut = int(np.searchsorted(column, column[-1])) if column[0] != column[-1] else 0
-            if cut:
-                parts = [*held[:-1], batch.slice(0, cut)]
-                held = [batch.slice(cut)]
-                for out in product(parts):
-                    yield from _unseen(out, seen)
     if held:
         for out in product(held):
             yield from _unseen(out, seen)
 
 
+def _keys(parts: list[pa.RecordBatch]) -> np.ndarray:
+    return np.stack([np.concatenate([np.asarray(p.column(c)).astype(np.int64) for p in parts]) for c in range(3)])
+
+
 def _unseen(batch: pa.RecordBatch, seen: set) -> Iterator[pa.RecordBatch]:
     keep = []
     for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -402,18 +452,19 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int)
     return beside.mapInArrow(overlaps, "a long, b long").distinct()
 
 
-def ngram_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def ngram_groups(docs: DataFrame, words: int = WORDS, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
     component_id is the least doc_id that links lead to. A document of under ``words`` words has
     its whole sequence as its one shingle; null, empty and blank texts have none and link with
     nothing. A row with a null doc_id gets a null component_id and links with nothing. Repeated
-    rows each get a row; an empty table gives no rows; other columns are ignored.
+    rows each get a row; an empty table gives no rows; other columns are ignored. ``part_rows`` only
+    deals the work.
     """
-    return _grouped(docs, words).select("doc_id", "n_shingles", "component_id")
+    return _grouped(docs, words, part_rows).select("doc_id", "n_shingles", "component_id")
 
 
-def _grouped(docs: DataFrame, words: int) -> DataFrame:
+def _grouped(docs: DataFrame, words: int, part_rows: int = PART_ROWS) -> DataFrame:
     """``ngram_groups`` with the class of each row (id) and of its group (root; null where nothing can link)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -438,15 +489,15 @@ def _grouped(docs: DataFrame, words: int) -> DataFrame:
     order = spark.sparkContext.broadcast(ColumnOrder(np.asarray(often["column"]).view(np.uint64), np.asarray(often["seen"])))
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * (100 - SIMILARITY) // 100 // BLOCK_ENTRIES))
 
-    sent = _send_blocks(docs_with_id, order, blocks, words)
-    made = stored(sent.repartitionById(blocks, F.col("block")).mapInArrow(_block_product, ", ".join(f"{c} long" for c in _ENTRY)).withColumn("block", F.spark_partition_id()), "candidates")
+    sent = _send_blocks(docs_with_id, order, blocks, words, part_rows)
+    made = stored(sent.repartitionById(blocks, F.col("block")).mapInArrow(_block_product, ", ".join(f"{c} long" for c in _ENTRY)).withColumn("block", F.when(F.col("home") >= 0, F.col("home").cast("int")).otherwise(F.spark_partition_id())), "candidates")
     once = lambda p: p.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-    first = stored(_verified(docs_with_id, classes, once(made.where("a is not null")), words), "links")
+    first = stored(_verified(docs_with_id, classes, once(made.where("a is not null").select("a", "b").unionByName(_leader_pairs(made))), words), "links")
     groups = components(first)
 
     led = made.where("column is not null").select("block", "column", "id", "n", "place")
     entries = led.join(groups, "id", "left").select("block", "column", F.coalesce("root", "id").alias("group"), "id", "n", "place")
-    between = entries.repartition("block", "column").sortWithinPartitions("block", "column").mapInArrow(_pairs_between, "a long, b long")
+    between = _second_look(entries, part_rows).repartition("block", "column", "part").sortWithinPartitions("block", "column", "part").mapInArrow(_pairs_between, "a long, b long")
     left = stored(once(between), "candidates")
     if not left.isEmpty():
         groups = components(groups.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(_verified(docs_with_id, classes, left, words)))

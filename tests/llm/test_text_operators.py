@@ -235,10 +235,10 @@ def near_copies(seed, copies):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups_of_near_copies_are_those_of_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "part_rows"), [(1, ngram_join.PART_ROWS), (2, 64), (3, 7)])
+def test_groups_of_near_copies_are_those_of_brute_force(spark, seed, part_rows):
     rows = near_copies(seed, 120)
-    got = ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string"), part_rows=part_rows).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_force_groups(rows)
 
 
