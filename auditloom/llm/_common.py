@@ -92,6 +92,34 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is frequent with more than this share of the rows, so at most so many keys are.
+FREQUENT = 256
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, more: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns ``more`` of ``facts``, which has one row for each key.
+
+    ``count`` is the number of rows that have the key. Keys with more than a 256th of the counted
+    rows, of which there are at most 256, are broadcast, and rows that hold one are dealt over all
+    tasks; the others are joined by a shuffle. Null keys match nothing. ``facts`` should be stored,
+    as it is read twice.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    least = max(1, total // FREQUENT)
+    facts = facts.select(*keys, *more, F.col(count).alias("_count"))
+    named = lambda f, mark: f.select(*(F.col(c).alias(f"_{mark}_{c}") for c in (*keys, *more)), F.lit(True).alias(f"_{mark}"))
+    same = lambda mark: [F.col(k) == F.col(f"_{mark}_{k}") for k in keys]
+    frequent, others = named(facts.where(F.col("_count") > least), "often"), named(facts.where(F.col("_count") <= least), "else")
+    rows = rows.withColumn("_number", F.monotonically_increasing_id())
+    first = rows.join(F.broadcast(frequent), same("often"), "left")
+    first = first.withColumn("_dealt", F.when(F.col("_often"), F.xxhash64("_number")).otherwise(F.lit(0).cast("long")))
+    both = first.join(others.withColumn("_none", F.lit(0).cast("long")), [*same("else"), F.col("_dealt") == F.col("_none")], "left")
+    if how == "inner":
+        both = both.where(F.coalesce("_often", "_else"))
+    kept = [c for c in rows.columns if c != "_number"]
+    return both.select(*kept, *(F.when(F.col("_often"), F.col(f"_often_{c}")).otherwise(F.col(f"_else_{c}")).alias(c) for c in more))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice have ``limit`` bytes, or are a single text."""
     text = batch.column(batch.schema.get_field_index(column))

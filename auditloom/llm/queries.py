@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import bitpack, host_reputation, isomedia, langid, nbsvm, ngram_join, order_minhash, packing, spm_fst, toxicity
+from auditloom.llm import bitpack, host_reputation, isomedia, langid, nbsvm, ngram_join, order_minhash, packing, spm_fst, substring_dedup, toxicity
 from auditloom.llm._common import table
 
 
@@ -55,6 +55,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomedia.media_table(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -68,8 +72,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_reputation": op9_url_reputation,
         "op9_url_reputation_evidenced": op9_url_reputation_evidenced,
         "op10_media": op10_media,
+        "op11_substring_dedup": op11_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_reputation": host_reputation.ORACLE_SQL, "op9_url_reputation_evidenced": host_reputation.EVIDENCED_SQL}
+    return {
+        "op9_url_reputation": host_reputation.ORACLE_SQL,
+        "op9_url_reputation_evidenced": host_reputation.EVIDENCED_SQL,
+        "op11_substring_dedup": substring_dedup.ORACLE_SQL,
+    }
