@@ -96,15 +96,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 FREQUENT = 256
 
 
-def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, more: list[str], how: str = "inner") -> DataFrame:
+def join_counted(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, more: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` with the columns ``more`` of ``facts``, which has one row for each key.
 
     ``count`` is the number of rows that have the key. Keys with more than a 256th of the counted
     rows, of which there are at most 256, are broadcast, and rows that hold one are dealt over all
     tasks; the others are joined by a shuffle. Null keys match nothing. ``facts`` should be stored,
-    as it is read twice.
+    as it is read twice; ``total`` is the sum of its counts where the caller has it.
     """
-    total = facts.agg(F.sum(count)).first()[0] or 0
+    total = facts.agg(F.sum(count)).first()[0] or 0 if total is None else total
     least = max(1, total // FREQUENT)
     facts = facts.select(*keys, *more, F.col(count).alias("_count"))
     named = lambda f, mark: f.select(*(F.col(c).alias(f"_{mark}_{c}") for c in (*keys, *more)), F.lit(True).alias(f"_{mark}"))

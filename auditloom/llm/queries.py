@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import bitpack, host_reputation, isomedia, langid, nbsvm, ngram_join, order_minhash, packing, spm_fst, substring_dedup, toxicity, whitening
+from auditloom.llm import bitpack, host_reputation, isomedia, langid, nbsvm, ngram_join, order_minhash, packing, prefix_trie, spm_fst, substring_dedup, toxicity, whitening
 from auditloom.llm._common import table
 
 
@@ -59,6 +59,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_reputation_evidenced": op9_url_reputation_evidenced,
         "op10_media": op10_media,
         "op11_substring_dedup": op11_substring_dedup,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_whitening": op13_whitening,
     }
 
@@ -86,4 +91,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_url_reputation": host_reputation.ORACLE_SQL,
         "op9_url_reputation_evidenced": host_reputation.EVIDENCED_SQL,
         "op11_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     }
