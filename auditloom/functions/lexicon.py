@@ -1,24 +1,34 @@
-"""Phrases that decide what a description does, as rules over the word classes of its clauses.
-
-A text is folded, lower-cased and cut into words and clause ends. Every word is looked up once in
-a dictionary and becomes one character (its class: the set of phrase places it can take), so a
-text becomes a short string, its codes. A rule is a phrase over classes, an order and distances
-of words within a clause, and runs as a plain regular expression over the codes: no flags, no
-look-around, and the same in every engine.
-
-Phrases are written as words: ``a/b`` is one of two words, ``NAME`` one of a set, ``x?`` and
-``x*`` as usual, ``!NAME`` a word outside a set, ``..7`` up to seven words of the same clause,
-``..7!NAME`` such words outside a set, ``^`` the start of a clause (after a joining word, a colon
-or a bullet, too), ``$!NAME`` the rest of the clause without a word of the set. A clause ends with
-a full stop or the line.
+"""Phrases that decide what a description does, as rules over the words of its clauses.
+
+A text is folded, lower-cased and rewritten, character for character, into its codes: a word
+becomes the character of its class (the set of phrase places it can take) and fillers for the rest
+of it, a blank stays a blank, and ends of sentences, lines and other marks have characters of their
+own. As codes are as long as the text, a distance in a rule is one in characters. A rule is
+a phrase over classes and distances within a clause, and runs as a plain regular expression over
+the codes: no flags, no look-around, and the same in every engine.
+
+Phrases are written as words: ``a/b`` is one of two words, ``NAME`` one of a set, ``a+`` any word
+that begins so, ``x?`` and ``x*`` as usual, ``_?`` any word or none, ``..40`` up to 40 characters
+of the same clause, ``..40!NAME`` such without a word of the set, ``,,40`` up to 40 characters
+without a full stop (lines may end in between), ``!BODY`` anything but a mark that opens a body,
+``^`` the start of a clause (after a mark, a joining word or a bullet), ``$`` that no excuse
+follows within 80 characters of the clause and no quotation within 40. A clause ends with a full
+stop and a blank, or with the line. Words joined by hyphens, slashes or dots are looked up as a
+whole and by their parts.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
 # Nouns, paths and phrases that count wherever they stand, as parts of words too.
 SECRETS = ("credentials?", "api[-_ ]?keys?", "access[-_ ]?tokens?", "auth[-_ ]?tokens?", "bearer", "passwords?", "passwd", r"secrets?\b", "private[-_ ]?key", "ssh[-_ ]?key", "id_rsa", r"\.env\b", r"\.aws/credentials", "keychain", "keyring", "aws_secret", "gh_token", "github_token", "npm_token", "dotenv")
@@ -38,24 +48,12 @@ TOXIC_PAIRS = (
 )
 
 
-def forms(*verbs: str) -> str:
-    """Verbs and their -s, -ed and -ing forms, as words apart by blanks."""
-    found = []
-    for verb in verbs:
-        stem = verb[:-1] if verb.endswith("e") else verb
-        doubled = verb + verb[-1] if re.fullmatch(r"[^aeiou]+[aeiou][^aeiouwxy]|.*mit", verb) else stem
-        third = verb[:-1] + "ies" if re.search("[^aeiou]y$", verb) else verb + ("es" if re.search("(s|x|ch|sh)$", verb) else "s")
-        past = verb[:-1] + "ied" if re.search("[^aeiou]y$", verb) else doubled + "ed"
-        found += [verb, third, past, doubled + "ing"]
-    return " ".join(dict.fromkeys(found))
-
+#: Tokens that are no words: web addresses, collectors among them, mail addresses, words with an ``@``, ``@file``.
+URL, HOOK, MAIL, AT_WORD, AT_FILE = "<url>", "<hook>", "<mail>", "<@>", "<@file>"
 
-#: Tokens that are no words: ends of clauses, web addresses, collectors among them, mail addresses, ``@file``.
-END, URL, HOOK, MAIL, AT_FILE = "<end>", "<url>", "<hook>", "<mail>", "<@file>"
-
-# Sets of words.
+# Sets of words; ``+`` stands for any ending.
 SETS = {
-    "JOIN": "and then but also finally instead otherwise so : ;",
+    "JOIN": "and then but also finally instead otherwise so",
     "BULLET": "-",
     "FILL": "all any every of the these those your",
     "EARLIER": "above previous prior earlier",
@@ -63,91 +61,102 @@ SETS = {
     "EDIT": "override replace rewrite append prepend inject insert put",
     "READER": "user them him her anyone",
     "HIDE": "mention reveal disclose notify",
-    "EXCUSE": "as unless because \" '",
+    "EXCUSE": "as unless because",
     "QUIETLY": "silently secretly",
     "TELL": "telling informing notifying mentioning",
     "TELL_FR": "prevenir informer mentionner signaler notifier",
-    "SAY_FR": "mentionner mentionne mentionnez mentionnes reveler revele revelez indiquer indique indiquez informer informe informez signaler signale signalez dites dis",
-    "READER_FR": "lutilisateur utilisateur utilisateurs client clients",
+    "SAY_FR": "mentionn+ revel+ indiqu+ inform+ signal+ dites dis",
+    "READER_FR": "l'utilisateur lutilisateur utilisateur utilisateurs client clients",
     "MOVE": "send upload forward copy post transmit mirror delete remove store log",
     "SEND": "send post upload forward transmit leak exfiltrate mirror relay",
     "SINK": "webhook collector attacker pastebin third-party backup-server",
     "SHELL": "sh bash zsh",
     "EXAMPLE": "form format e.g example pattern syntax such",
-    "BODY": ": { [ form format e.g example pattern syntax such",
-    "CARRIED": forms("upload", "exfiltrate") + " exfiltration payload payloads",
+    "CARRIED": "upload uploads exfiltrat+ payload payloads",
     "ANYWHERE": f"{URL} {HOOK}",
+    "AT": f"{MAIL} {AT_WORD}",
     "PLACE": "address endpoint server webhook bucket folder archive mailbox",
-    "MAILING": "send forward copy cc bcc mail deliver route post upload transmit notify envoye envoyer envoyes transmettre adresse adresser adressee expedie expedier copier transfere transferer router notifier mettre",
+    "MAILING": "send forward copy cc bcc mail deliver route post upload transmit notify envoye envoyer envoyee transmettre adresse adresser adressee expedie expedier copier transfere transferer router notifier mettre",
     "MODEL": "model assistant ai llm agent",
     "MUST": "must shall should always never ensure require requires required",
-    "READING": forms("read", "list", "get", "open", "load", "fetch", "cat") + " reader listing",
-    "WRITING": forms("write", "create", "save", "delete", "remove", "move", "rename", "append", "overwrite"),
+    "READING": "read+ list+ get+ open+ load+ fetch+ cat+",
+    "WRITING": "write+ create+ save+ delete+ remove+ move+ rename+ append+ overwrite+",
     "FILES": "file files directory directories folder folders path paths",
-    "SENDING": forms("send", "post", "upload", "forward", "publish", "transmit", "submit", "call", "request"),
+    "SENDING": "send+ post+ upload+ forward+ publish+ transmit+ submit+ call+ request+",
     "NET": "url endpoint api http server webhook host",
-    "RUNNING": forms("run") + " runner",
+    "RUNNING": "run+ ran",
     "RUNNABLE": "command commands script scripts program programs binary binaries process processes executable executables code query queries",
+    "STARTING": "execut+ exec+ spawn+ subprocess+ eval+ invok+",
     "CHANGING": "insert update delete drop alter truncate upsert",
     "ROWS": "table tables row rows record records database databases schema schemas column columns",
+    "NOT": "dont don't never",
 }
 
-# The ways to say no, each of one or two words.
-SEQUENCES = {"NOT": ("do not", "dont/never")}
-
-# Phrases for each count.
+# The phrases of each count, by what they do.
 PHRASES = {
-    "injection_markers": (
-        "ignore/disregard FILL* EARLIER", "override the? system/previous/your", "new instruction/instructions", "forget everything/all/your", "from now on you",
-        "you are now a/an/the/in/free/unrestricted", "you are now no longer", "you are now operating as", "^ EDIT ..7 system prompt/message",
-        "instead of what the? user/they/you asked/said/wanted/requested", "instead of the/your/these/those original/EARLIER? ORDERS", "instead of the/your/these/those system message",
-        "do not follow your", "add/write/store a permanent/persistent rule", "always remember that/to", "follow the instructions it/they/that contain",
-    ),
-    "concealment": (
-        "^ NOT ever? tell/inform a/the? READER $!EXCUSE", "^ NOT ever? report ..7 to a/the? READER $!EXCUSE", "^ NOT ever? HIDE $!EXCUSE", "without TELL a/the? READER",
-        "sans TELL_FR le/les? READER_FR", "ne pas? SAY_FR pas ..10 a/au/aux READER_FR", "QUIETLY MOVE", "keep this? a? secret", "no need to mention/tell/inform",
-    ),
-    "exfiltration": (
-        "SEND ANYWHERE", "SEND !BODY ..9!EXAMPLE ANYWHERE", "ANYWHERE ..7 CARRIED", f"SEND ..7 to/at/into ANYWHERE/{MAIL}", "SEND ..7 to/at/into ..2 SINK", "SEND ..7 to/at/into ..2 third party", "SEND ..7 to/at/into ..2 backup server",
-        "curl/wget ..12 | sudo? SHELL", f"curl ..10 -d/-f/-t/--data/--data-raw/--data-binary {AT_FILE}", "netcat", "nc -e", "base64 -d",
-    ),
-    "hidden_recipient": (
-        "bcc", "blind carbon copy", "hidden recipient/copy", f"copy of every/each/all/the ..14 to/into ANYWHERE/{MAIL}", "copy of every/each/all/the ..14 to/into a/an .. PLACE", "also/additionally send/forward/cc/post/mirror",
-        "in addition send/forward/cc/post/mirror", "mirror/mirrors/mirrored to", "forward a copy ..7 to", "forward it/the ..7 to", "must always? be? included/added/sent/forwarded to", "must always? be? included/added/sent/forwarded in the bcc",
-    ),
-    "email_target": (f"MAILING {MAIL}", f"MAILING !BODY ..9 {MAIL}"),
-    "collector_url": (HOOK,),
-    "urgency": ("urgent/urgently/immediately/critical/critically/mandatory/non-negotiable", "right now", "at all costs", "you must", "you need to", "it is essential", "failure to do/comply"),
-    "redaction_language": (
-        "redact/redacted/redaction/mask/masked/revoked/allow-list/allowlist/read-only/readonly", "never return/returns/stored/persisted/logged/written/exposed/accessible", "not returned/logged", "is hashed", "hashed before",
-        "require/requires a separate", "audited call", "only by name", "no secret/secrets/credential/credentials are/is",
-    ),
-    "imperatives": ("MUST", "do not"),
-    "cross_tool": (
-        "first/then/before/after you? call/invoke/use/run", "call this/the function/tool first/before", "other tools/servers/functions", "this/the tool/function/server will/must be called/used/invoked",
-        "as a prerequisite", "as a required step", "must be called first/before", "chain/chained with/to",
-    ),
-    "directive": ("assistant/system/ai :", "note to the? model/assistant", "language model", "as an ai", "attention model/assistant", "instruction/instructions for the? model/assistant/ai"),
-    "cross_server_claim": ("before using/calling? any/all/every other? mcp? tool/tools/server/servers", "prior/ahead to/of using/calling? any/all/every other? mcp? tool/tools/server/servers", "must/should always? be called/used first? before any/all/every other? mcp? tool/tools/server/servers"),
-    "model_directed": (
-        "note/notes/attention/message/messages/instruction/instructions/reminder/reminders to/for the? MODEL", "your real/actual/true? task is", "as a/an? ai/assistant/model ..7 must/should/will", "you are a/an? ai/assistant/model ..7 must/should/will",
-        "ignore/ignorer/ignorez les/all/any/the? instruction/instructions? precedent/precedents/precedente/precedentes", "ignore all/any? previous instruction/instructions",
-    ),
+    "injection_markers": {
+        "earlier orders are set aside": ("ignore/disregard FILL* EARLIER", "forget everything/all/your", "do not follow your", "override the? system/previous/your", "instead of what the? user/they/you asked/said/wanted/requested", "instead of the/your/these/those original/EARLIER? ORDERS", "instead of the/your/these/those system message"),
+        "other orders take their place": ("new instruction/instructions", "from now on you", "add/write/store a permanent/persistent rule", "always remember that/to", "follow the instructions it/they/that contain"),
+        "the model gets a role": ("you are now a/an/the/in/free/unrestricted", "you are now no longer", "you are now operating as"),
+        "its prompt is edited": ("^ EDIT ..40 system prompt/message",),
+    },
+    "concealment": {
+        "orders not to tell someone": ("^ NOT ever? tell/inform a/the? READER $", "^ do not ever? tell/inform a/the? READER $", "^ NOT ever? report ..40 to a/the? READER $", "^ do not ever? report ..40 to a/the? READER $"),
+        "orders not to say": ("^ NOT ever? HIDE $", "^ do not ever? HIDE $", "keep this? a? secret", "no need to mention/tell/inform"),
+        "the same in French": ("sans TELL_FR le/les? READER_FR", "ne pas? SAY_FR pas ..60 a/au/aux READER_FR"),
+        "done without a word": ("without TELL a/the? READER", "QUIETLY MOVE"),
+    },
+    "exfiltration": {
+        "a transfer to an address": ("SEND ANYWHERE", "SEND !BODY ..60!EXAMPLE ANYWHERE", "SEND ..40 to/at/into ANYWHERE/AT"),
+        "a transfer to a sink": ("SEND ..40 to/at/into _? _? SINK", "SEND ..40 to/at/into _? _? third party", "SEND ..40 to/at/into _? _? backup server"),
+        "an address that takes a payload": ("ANYWHERE ..40 CARRIED",),
+        "commands": ("curl/wget ..80 | sudo? SHELL", f"curl ..60 -d/-f/-t/--data/--data-raw/--data-binary {AT_FILE}", "netcat", "nc -e", "base64 -d"),
+    },
+    "hidden_recipient": {
+        "named as hidden": ("bcc", "blind carbon copy", "hidden recipient/copy"),
+        "copies that go somewhere": ("copy of every/each/all/the ..80 to/into ANYWHERE/AT", "copy of every/each/all/the ..80 to/into a/an _? PLACE", "mirror/mirrors/mirrored to", "forward a copy ..40 to", "forward it/the ..40 to"),
+        "one more transfer": ("also/additionally send/forward/cc/bcc/post/mirror", "in addition send/forward/cc/bcc/post/mirror", "must always? be? included/added/sent/forwarded to", "must always? be? included/added/sent/forwarded in the bcc"),
+    },
+    "email_target": {"a transfer to a mailbox": (f"MAILING {MAIL}", f"MAILING !BODY ..60 {MAIL}")},
+    "collector_url": {"an address that collects": (HOOK,)},
+    "urgency": {
+        "at once": ("urgent/urgently/immediately", "right now", "at all costs"),
+        "without a choice": ("critical/critically/mandatory/non-negotiable", "you must", "you need to", "it is essential", "failure to do/comply"),
+    },
+    "redaction_language": {
+        "hidden on purpose": ("redact/redacted/redaction/mask/masked/revoked", "is hashed", "hashed before", "never return/returns/stored/persisted/logged/written/exposed/accessible", "not returned/logged", "no secret/secrets/credential/credentials are/is"),
+        "let in by rule": ("allow-list/allowlist/read-only/readonly", "require/requires a separate", "audited call", "only by name"),
+    },
+    "imperatives": {"orders": ("MUST", "do not")},
+    "cross_tool": {
+        "an order of calls": ("first/then/before/after you? call/invoke/use/run", "call this/the function/tool first/before", "must be called first/before", "as a prerequisite", "as a required step", "chain/chained with/to"),
+        "other tools": ("other tools/servers/functions", "this/the tool/function/server will/must be called/used/invoked"),
+    },
+    "directive": {
+        "spoken to a model": ("note to the? model/assistant", "attention model/assistant", "instruction/instructions for the? model/assistant/ai", "language model", "as an ai"),
+        "spoken as a role": ("assistant/system/ai :",),
+    },
+    "cross_server_claim": {
+        "first of all": ("before using/calling? any/all/every other? mcp? tool/tools/server/servers", "prior/ahead to/of using/calling? any/all/every other? mcp? tool/tools/server/servers"),
+        "required first": ("must/should always? be called/used first? before any/all/every other? mcp? tool/tools/server/servers",),
+    },
+    "model_directed": {
+        "a word to the model": ("note/notes/attention/message/messages/instruction/instructions/reminder/reminders to/for the? MODEL", "as/are a/an? ai/assistant/model ,,40 must/should/will"),
+        "another task": ("your real/actual/true? task is", "ignore all/any? previous instruction/instructions", "ignore/ignorer/ignorez les/all/any/the? instruction/instructions? precedent/precedents/precedente/precedentes"),
+    },
 }
 
 # Capability tags of a tool, over its name and description.
 CAPABILITIES = {
     "read_secret": ("credential/secret/password/keychain/keyring/vault/id_rsa/apikey/api-key/api_key/accesstoken/access-token/access_token/authtoken/auth-token/auth_token/privatekey/private-key/private_key/.env/.aws/.npmrc/.netrc", "api key", "access/auth token", "private key"),
-    "read_fs": ("READING ..7 FILES",),
-    "read_env": ("environment variable", "env var", "process.env", "os.environ"),
-    "network_out": ("SENDING ..5 NET", "http request", "webhook/curl/wget/outbound"),
-    "exec": (forms("execute", "exec", "spawn", "eval", "invoke").replace(" ", "/") + "/subprocess/shell/bash/powershell/zsh/terminal", "command line", "RUNNING ..5 RUNNABLE"),
-    "write_fs": ("WRITING ..7 FILES",),
-    "db_write": ("CHANGING ..7 ROWS", "create table ..7 ROWS"),
+    "read_fs": ("READING ,,40 FILES",),
+    "read_env": ("environment variable", "env var", "process.env+/os.environ+"),
+    "network_out": ("SENDING ,,30 NET", "http request", "webhook/curl/wget/outbound"),
+    "exec": ("STARTING", "shell/bash/powershell/zsh/terminal", "command line", "RUNNING ,,30 RUNNABLE"),
+    "write_fs": ("WRITING ,,40 FILES",),
+    "db_write": ("CHANGING ,,40 ROWS", "create table ,,40 ROWS"),
     "send_email": ("email/e-mail/smtp/mail/bcc/cc/recipient/slack/discord/sms/message",),
 }
-#: Beginnings that stand for the whole word, as names of tools go on after them.
-BEGINNINGS = {"exec": "exec", "spawn": "spawn", "subprocess": "subprocess", "eval": "eval", "invok": "invoke", "process.env": "process.env", "os.environ": "os.environ"}
 
 PRIVATE_HOST = r"^https?://(?:localhost|127\.|0\.0\.0\.0|10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)"
 COLLECTOR = r"[^a-z0-9](?:webhooks?|hooks?|collector|ingest|exfil|pastebin|paste\.ee)(?:[^a-z0-9]|$)|^https?://[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
@@ -156,6 +165,13 @@ MAIL_ADDRESS = r"^[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
 # ---------------------------------------------------------------- classes and rules
 
 _ATOM = re.compile(r"^(?P<words>.+?)(?P<times>[?*])?$")
+#: Codes that are no classes: ends of sentences and of lines, other marks, those with a full stop, colons, opening braces, quotes.
+SENTENCE, LINE, MARK, DOTTED_MARK, COLON, OPEN, QUOTE = "|", "/", ";", "!", ":", "{", '"'
+#: The rest of a word, a dot in it, a word of no class.
+FILLER, DOT, OTHER = "~", ",", "."
+_ENDS = f"{SENTENCE}{LINE}"
+_NO_WORD = f" {_ENDS}{MARK}{DOTTED_MARK}{COLON}{OPEN}{QUOTE}"
+_REST = f"[^{_NO_WORD}]*"
 
 
 def _words_of(atom: str) -> frozenset[str]:
@@ -165,74 +181,68 @@ def _words_of(atom: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def _spelled(phrases: tuple[str, ...]) -> list[str]:
-    """The phrases with each sequence written out."""
-    found = list(phrases)
-    for name, ways in SEQUENCES.items():
-        found = [q for p in found for q in ([re.sub(rf"\b{name}\b", w, p) for w in ways] if name in p.split() else [p])]
-    return found
+def _phrases(name: str) -> list[str]:
+    """The phrases of a count or capability."""
+    return [p for some in PHRASES[name].values() for p in some] if name in PHRASES else list(CAPABILITIES[name])
 
 
 def _parts(phrase: str) -> list[tuple[str, str]]:
-    """(kind, text) of each place of a phrase: start, rest, gap or words, the last two with their number."""
-    found = []
-    for part in phrase.split():
-        if part == "^":
-            found.append(("start", ""))
-        elif part.startswith("$!"):
-            found.append(("rest", part[2:]))
-        elif part.startswith("!"):
-            found.append(("other", part[1:]))
-        elif part.startswith(".."):
-            found.append(("gap", part[2:] or "1"))
-        else:
-            found.append(("words", part))
-    return found
-
-
-def _classes() -> dict[str, str]:
-    """The character of each word: words that can take the same places share one."""
-    places: dict[str, set] = {}
-    atoms = {_words_of(_ATOM.match(text)["words"]) for phrases in (*PHRASES.values(), *CAPABILITIES.values()) for p in _spelled(phrases) for kind, text in _parts(p) if kind == "words"}
-    atoms |= {frozenset(SETS[n].split()) for n in ("JOIN", "BULLET", "EXCUSE", "EXAMPLE", "BODY")}
-    for number, atom in enumerate(sorted(atoms, key=sorted)):
-        for word in atom:
-            places.setdefault(word, set()).add(number)
-    characters: dict[frozenset, str] = {}
+    """(kind, text) of each place of a phrase."""
+    kinds = (("^", "start"), ("$", "rest"), ("_?", "any"), ("!", "other"), ("..", "gap"), (",,", "lines"))
+    return [next(((kind, part[len(sign) :]) for sign, kind in kinds if part.startswith(sign)), ("words", part)) for part in phrase.split()]
+
+
+def _classes() -> tuple[dict[str, str], dict[str, str], dict[frozenset[str], str]]:
+    """The character of each word and of each beginning, and the characters that can take an atom's place."""
+    atoms = {_words_of(_ATOM.match(text)["words"]) for name in (*PHRASES, *CAPABILITIES) for p in _phrases(name) for kind, text in _parts(p) if kind == "words"}
+    atoms |= {frozenset(SETS[n].split()) for n in ("JOIN", "BULLET", "EXCUSE", "EXAMPLE")}
+    numbers = {atom: n for n, atom in enumerate(sorted(atoms, key=sorted))}
+    known = sorted({w for atom in atoms for w in atom})
+    takes = lambda w, x: w == x or x.endswith("+") and w.rstrip("+").startswith(x[:-1])  # noqa: E731 - its own places and those of its beginnings
+    places = {w: frozenset(n for atom, n in numbers.items() if any(takes(w, x) for x in atom)) for w in known}
     letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)) if chr(c).isalpha()]
-    return {word: characters.setdefault(frozenset(places[word]), letters[len(characters)]) for word in sorted(places)}
+    characters: dict[frozenset, str] = {}
+    for w in known:
+        characters.setdefault(places[w], letters[len(characters)])
+    by_atom = {atom: "".join(sorted(c for some, c in characters.items() if n in some)) for atom, n in numbers.items()}
+    return {w: characters[places[w]] for w in known if not w.endswith("+")}, {w[:-1]: characters[places[w]] for w in known if w.endswith("+")}, by_atom
 
 
-#: Word to class. ``|`` ends a clause, ``.`` is any other word.
-CLASSES = _classes()
+#: Word to class, beginning of a word to class.
+CLASSES, BEGINNINGS, _TAKERS = _classes()
 
 
-def _set(words: frozenset[str]) -> str:
-    return "".join(sorted({CLASSES[w] for w in words}))
+def _set(name: str) -> str:
+    return _TAKERS[_words_of(name)]
 
 
 def rule(phrase: str) -> str:
     """The regular expression of a phrase over codes."""
-    out = ""
+    out, apart = "", ""
     for kind, text in _parts(phrase):
         if kind == "start":
-            out += f"[|{_set(_words_of('JOIN'))}]{CLASSES['-']}?"
+            out += f"(?:[{_ENDS}{MARK}{DOTTED_MARK}{COLON}]|[{_set('JOIN')}]{_REST}) *(?:{_set('BULLET')} *)?"
         elif kind == "rest":
-            out += f"[^|{_set(_words_of(text))}]*[|]"
+            near, far = f"[^{_ENDS}{QUOTE}{_set('EXCUSE')}]", f"[^{_ENDS}{_set('EXCUSE')}]"
+            out += f"(?:{near}{{0,40}}[{_ENDS}]|{near}{{40}}(?:{far}{{0,39}}[{_ENDS}]|{far}{{40}}))"
+        elif kind == "any":
+            out += f"{apart}(?:[^{_NO_WORD}{FILLER}{DOT}]{_REST})?"
         elif kind == "other":
-            out += f"[^|{_set(_words_of(text))}]"
-        elif kind == "gap":
+            out += f"{apart}[^ {_ENDS}{COLON}{OPEN}{FILLER}{DOT}]"
+        elif kind in ("gap", "lines"):
             most, _, without = text.partition("!")
-            out += f"[^|{_set(_words_of(without)) if without else ''}]{{0,{most}}}"
+            out += f"[^{_ENDS if kind == 'gap' else SENTENCE + DOT + DOTTED_MARK}{_set(without) if without else ''}]{{0,{most}}}"
         else:
             found = _ATOM.match(text)
-            out += f"[{_set(_words_of(found['words']))}]{found['times'] or ''}"
+            atom = COLON if found["words"] == ":" else f"[{_set(found['words'])}]{_REST}"
+            out += f"(?:{apart}{atom}){found['times']}" if found["times"] else f"{apart}{atom}"
+        apart = " *" if kind in ("words", "any") else ""
     return out
 
 
 #: One regular expression over codes for each count and capability.
-RULES = {name: "|".join(map(rule, _spelled(phrases))) for name, phrases in PHRASES.items()}
-TAGS = {name: "|".join(map(rule, phrases)) for name, phrases in CAPABILITIES.items()}
+RULES = {name: "|".join(map(rule, _phrases(name))) for name in PHRASES}
+TAGS = {name: "|".join(map(rule, _phrases(name))) for name in CAPABILITIES}
 #: Patterns over the text itself: parts of words, and marks.
 CREDENTIALS, FS_TARGETS = "|".join(SECRETS), "|".join(PATHS)
 MARKUP = rf"<[|/]?(?:{'|'.join(TEMPLATE_TAGS)})[|]?>|\[/?inst\]|<!\[cdata\[|&#x?[0-9a-f]+;"
@@ -242,15 +252,13 @@ COMMENT = r"(?s)<!--.*?-->"
 
 #: Steps from lower case to a plain view, for texts that are not ASCII: marks that count, other marks, letters and digits.
 VIEW_STEPS = ((r"[’‘]", "'"), (r"[“”«»]", '"'), (r"[^\p{L}\p{N}\x00-\x7F]+", " "), (r"[^\x00-\x7F]", "_"))
-#: Steps from a plain view to words apart by blanks: (pattern, replacement with \1 for the first group).
-STEPS = (
-    (r"([a-z])'([a-z])", r"\1\2"),
-    (r"[\t\r\f ,()*`<>]+", " "),
-    (r"(['\"{}\[\]|])", r" \1 "),
-    (r":( |\n|$)", r" : \1"),
-    (r"[;!?]+( |\n|$)", r" ; \1"),
-    (r"\.+(?: |\n|$)|\n", " \x01 \x01 "),
-)
+_APART = r"\s,()*`<>\"{}\[\]|;!?:="
+_WEB = r"https?://[^\s\"'<>)\]]*[^\s\"'<>)\].,;:!?]"
+_WORD = rf"\.*[^{_APART}'.](?:[^{_APART}]*[^{_APART}'.])?"
+#: Pieces of a plain view: addresses, words, ends of sentences, marks, all else by the character.
+PIECES = rf"{_WEB}|{_WORD}|[.;:!?]*\.[ \t\r\f]|[.;:!?]+|\n|[^\n]"
+_PARTS = r"[a-z0-9_]+|[^a-z0-9_]"
+_BLANKS = " \t\r\f\v,()*`<>}]="
 
 
 def plain_view(text: Column) -> Column:
@@ -261,42 +269,92 @@ def plain_view(text: Column) -> Column:
     return F.when(lowered.rlike(r"[^\x00-\x7F]"), view).otherwise(lowered)
 
 
-def words(view: Column) -> Column:
-    """The words of a plain view, with a pair of marks at the end of each clause."""
-    for pattern, put in STEPS:
-        view = F.regexp_replace(view, pattern, put.replace("\\", "$"))
-    return F.filter(F.split(view, " +"), lambda w: w != "")
+_NO_LETTERS = re.compile(r"(?:(?![^\W_])[^\x00-\x7f])+")
+
+
+def view_of(text: str) -> str:
+    """The plain view in Python."""
+    view = text.lower()
+    if view.isascii():
+        return view
+    view = re.sub("[“”«»]", '"', re.sub("[’‘]", "'", view))
+    return re.sub("[^\x00-\x7f]", "_", _NO_LETTERS.sub(" ", view))
+
+
+class Coder:
+    """Plain views to codes; the codes of pieces are kept, up to a bound."""
+
+    MOST = 1 << 16
+
+    def __init__(self):
+        self.pieces, self.parts, self.known = re.compile(PIECES), re.compile(_PARTS), {}
+        self.private, self.collector, self.mail = (re.compile(p) for p in (PRIVATE_HOST, COLLECTOR, MAIL_ADDRESS))
+        self.sizes = sorted({len(b) for b in BEGINNINGS}, reverse=True)
+
+    def class_of(self, word: str) -> str | None:
+        if (found := CLASSES.get(word)) is not None:
+            return found
+        return next((BEGINNINGS[word[:n]] for n in self.sizes if word[:n] in BEGINNINGS), None)
+
+    def part(self, text: str) -> str:
+        if text == ".":
+            return DOT
+        return ((self.class_of(text) if text[0].isalnum() or text[0] == "_" else None) or FILLER) + FILLER * (len(text) - 1)
+
+    def piece(self, text: str) -> str:
+        n = len(text)
+        if text == "\n":  # a rule may need one at either end
+            return LINE * 2
+        if text in _BLANKS:
+            return " " * n
+        if not text.strip(".;:!?"):
+            return (COLON if ":" in text else DOTTED_MARK if "." in text else MARK) * n
+        if not text.strip(".;:!? \t\r\f"):
+            return SENTENCE * n
+        if text in "\"'{[":
+            return QUOTE if text in "\"'" else OPEN
+        if text.startswith(("http://", "https://")):
+            first = CLASSES[HOOK if not self.private.search(text) and self.collector.search(text) else URL]
+        elif "@" in text:
+            first = CLASSES[MAIL] if self.mail.search(text) else CLASSES[AT_FILE] if text[0] == "@" else CLASSES[AT_WORD]
+        else:
+            out = "".join(map(self.part, self.parts.findall(text)))
+            return (self.class_of(text) or (OTHER if out[0] in (FILLER, DOT) else out[0])) + out[1:]
+        return first + FILLER * (n - 1)
+
+    def codes(self, view: str) -> str:
+        known, out = self.known, [SENTENCE]
+        for text in self.pieces.findall(view):
+            code = known.get(text)
+            if code is None:
+                if len(known) >= self.MOST:
+                    known.clear()
+                code = known[text] = self.piece(text)
+            out.append(code)
+        out.append(SENTENCE)
+        return "".join(out)
 
 
-def _literal(text: str) -> str:
-    """A literal of Spark SQL: one expression to parse instead of a call for each word."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+_coder: Coder | None = None
 
 
-def _class_of(word: Column) -> Column:
-    """The class of a word; the dictionary is searched among words of its length alone."""
-    sized: dict[int, dict[str, str]] = {}
-    for known, letter in CLASSES.items():
-        sized.setdefault(len(known), {})[known] = letter
-    looked_up = F.lit(None).cast("string")
-    for size, some in sorted(sized.items(), reverse=True):
-        table = F.expr(f"map({', '.join(_literal(x) for pair in some.items() for x in pair)})")
-        looked_up = F.when(F.length(word) == size, F.element_at(table, word)).otherwise(looked_up)
-    begun = F.lit(".")
-    for start, known in BEGINNINGS.items():
-        begun = F.when(F.startswith(word, F.lit(start)), CLASSES[known]).otherwise(begun)
-    web = F.when(~word.rlike(PRIVATE_HOST) & word.rlike(COLLECTOR), CLASSES[HOOK]).otherwise(CLASSES[URL])
-    mail = F.when(word.rlike(MAIL_ADDRESS), CLASSES[MAIL]).when(F.startswith(word, F.lit("@")), CLASSES[AT_FILE]).otherwise(".")
-    return F.when(word == "\x01", "|").when(F.contains(word, F.lit("http://")) | F.contains(word, F.lit("https://")), web).when(F.contains(word, F.lit("@")), mail).otherwise(F.coalesce(looked_up, begun))
+def codes_of_view(view: str) -> str:
+    """The codes of a plain view, between two ends of sentences; the ends of lines are doubled."""
+    global _coder
+    _coder = _coder or Coder()
+    return _coder.codes(view)
 
 
-def codes(found: Column) -> Column:
-    """One character for each word, between clause ends."""
-    return F.concat(F.lit("|"), F.array_join(F.transform(found, _class_of), ""), F.lit("|"))
+@F.pandas_udf(StringType())
+def codes_of(texts: pd.Series) -> pd.Series:
+    """The codes of texts."""
+    return texts.map(lambda t: codes_of_view(view_of(t or "")))
 
 
-def codes_of(text: Column) -> Column:
-    return codes(words(plain_view(text)))
+@F.pandas_udf(ArrayType(StringType()))
+def codes_of_each(lists: pd.Series) -> pd.Series:
+    """The codes of every text of lists."""
+    return lists.map(lambda some: [codes_of_view(view_of(t or "")) for t in some])
 
 
 def counted(text: Column, pattern: str) -> Column:
@@ -304,11 +362,11 @@ def counted(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def first_match(found: Column, coded: Column, name: str) -> Column:
-    """The words of the first match of a rule, apart by blanks; null without one."""
+def first_match(view: Column, coded: Column, name: str) -> Column:
+    """The text of the first match of a rule, as in the plain view; null without one."""
     match = F.regexp_substr(coded, F.lit(RULES[name]))
-    inner = F.slice(found, F.greatest(F.position(match, coded) - 1, F.lit(1)), F.length(match))
-    return F.when(match.isNotNull(), F.array_join(F.filter(inner, lambda w: w != "\x01"), " "))
+    lined = F.replace(view, F.lit("\n"), F.lit("\n\n"))
+    return F.when(match.isNotNull(), F.substring(lined, F.position(match, coded) - 1, F.length(match)))
 
 
 # ---------------------------------------------------------------- the same in DuckDB SQL
@@ -325,17 +383,29 @@ def sql_view(text: str) -> str:
     return view
 
 
-def sql_words(view: str) -> str:
-    for pattern, put in STEPS:
-        view = f"regexp_replace({view}, {sql_text(pattern)}, {sql_text(put)}, 'g')"
-    return f"list_filter(regexp_split_to_array({view}, ' +'), lambda w: w <> '')"
-
-
-def sql_codes(found: str) -> str:
+def _sql_class(word: str) -> str:
     table = ", ".join(f"{sql_text(w)}: {sql_text(c)}" for w, c in CLASSES.items())
-    begun = " ".join(f"WHEN starts_with(w, {sql_text(s)}) THEN {sql_text(CLASSES[k])}" for s, k in reversed(BEGINNINGS.items()))
-    one = f"""CASE WHEN w = chr(1) THEN '|'
-      WHEN contains(w, 'http://') OR contains(w, 'https://') THEN CASE WHEN NOT regexp_matches(w, {sql_text(PRIVATE_HOST)}) AND regexp_matches(w, {sql_text(COLLECTOR)}) THEN {sql_text(CLASSES[HOOK])} ELSE {sql_text(CLASSES[URL])} END
-      WHEN contains(w, '@') THEN CASE WHEN regexp_matches(w, {sql_text(MAIL_ADDRESS)}) THEN {sql_text(CLASSES[MAIL])} WHEN starts_with(w, '@') THEN {sql_text(CLASSES[AT_FILE])} ELSE '.' END
-      ELSE coalesce(MAP {{{table}}}[w], CASE {begun} ELSE '.' END) END"""
-    return f"'|' || array_to_string(list_transform({found}, lambda w: {one}), '') || '|'"
+    begun = " ".join(f"WHEN starts_with({word}, {sql_text(b)}) THEN {sql_text(c)}" for b, c in sorted(BEGINNINGS.items(), key=lambda x: -len(x[0])))
+    return f"coalesce(MAP {{{table}}}[{word}], CASE {begun} END)"
+
+
+def sql_pieces(view: str) -> str:
+    return f"regexp_extract_all({view}, {sql_text(PIECES)})"
+
+
+def sql_piece(p: str) -> str:
+    """The codes of a piece."""
+    fill = lambda sign, n="length(" + p + ")": f"repeat({sql_text(sign)}, {n})"
+    part = f"CASE WHEN q = '.' THEN {sql_text(DOT)} ELSE coalesce(CASE WHEN regexp_matches(q, '^[a-z0-9_]') THEN {_sql_class('q')} END, {sql_text(FILLER)}) || {fill(FILLER, 'length(q) - 1')} END"
+    parts = f"array_to_string(list_transform(regexp_extract_all({p}, {sql_text(_PARTS)}), lambda q: {part}), '')"
+    first = f"coalesce({_sql_class(p)}, CASE WHEN {parts}[1] IN ({sql_text(FILLER)}, {sql_text(DOT)}) THEN {sql_text(OTHER)} ELSE {parts}[1] END)"
+    web = f"CASE WHEN NOT regexp_matches({p}, {sql_text(PRIVATE_HOST)}) AND regexp_matches({p}, {sql_text(COLLECTOR)}) THEN {sql_text(CLASSES[HOOK])} ELSE {sql_text(CLASSES[URL])} END"
+    mail = f"CASE WHEN regexp_matches({p}, {sql_text(MAIL_ADDRESS)}) THEN {sql_text(CLASSES[MAIL])} WHEN starts_with({p}, '@') THEN {sql_text(CLASSES[AT_FILE])} ELSE {sql_text(CLASSES[AT_WORD])} END"
+    return f"""CASE WHEN {p} = chr(10) THEN {sql_text(LINE * 2)}
+      WHEN regexp_matches({p}, '^[ \\t\\r\\f\\v,()*`<>}}\\]=]$') THEN ' '
+      WHEN regexp_matches({p}, '^[.;:!?]+$') THEN CASE WHEN contains({p}, ':') THEN {fill(COLON)} WHEN contains({p}, '.') THEN {fill(DOTTED_MARK)} ELSE {fill(MARK)} END
+      WHEN regexp_matches({p}, '^[.;:!?]+\\s$') THEN {fill(SENTENCE)}
+      WHEN {p} IN ('"', chr(39)) THEN {sql_text(QUOTE)} WHEN {p} IN ('{{', '[') THEN {sql_text(OPEN)}
+      WHEN starts_with({p}, 'http://') OR starts_with({p}, 'https://') THEN {web} || {fill(FILLER, f"length({p}) - 1")}
+      WHEN contains({p}, '@') THEN {mail} || {fill(FILLER, f"length({p}) - 1")}
+      ELSE {first} || substr({parts}, 2) END"""

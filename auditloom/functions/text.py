@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from auditloom.functions.lexicon import plain_view
+from auditloom.functions.lexicon import codes_of_view, plain_view, view_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
@@ -58,10 +58,11 @@ def folded(texts: pd.Series) -> pd.Series:
     return texts.map(fold_text)
 
 
-@F.pandas_udf(StructType([StructField("folded", StringType()), StructField("entropy", DoubleType())]))
+@F.pandas_udf(StructType([StructField("entropy", DoubleType()), StructField("view", StringType()), StructField("codes", StringType())]))
 def profile(texts: pd.Series) -> pd.DataFrame:
-    """The folded text and the entropy of its code points: what Spark has no (fast) function for, in one pass."""
-    return pd.DataFrame({"folded": texts.map(fold_text), "entropy": texts.map(entropy_of).astype("float64")})
+    """Entropy of the code points, plain view and codes of the folded text: what Spark has no (fast) function for, in one pass."""
+    views = texts.map(lambda t: view_of(fold_text(t)))
+    return pd.DataFrame({"entropy": texts.map(entropy_of).astype("float64"), "view": views, "codes": views.map(codes_of_view)})
 
 
 def words(text: Column) -> Column:

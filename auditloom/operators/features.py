@@ -41,20 +41,27 @@ def lexicon_features(raw: Column, view: Column, codes: Column) -> dict[str, Colu
     return found
 
 
-def schema_features(schema: Column) -> dict[str, Column]:
+def _properties(schema: Column) -> Column:
+    return F.coalesce(F.map_values(F.try_variant_get(F.try_parse_json(schema), "$.properties", "map<string,variant>")), F.array().cast("array<variant>"))
+
+
+def property_codes(schema: Column) -> Column:
+    """The codes of the descriptions of the top-level properties of a JSON schema."""
+    return L.codes_of_each(F.transform(_properties(schema), lambda p: F.coalesce(F.try_variant_get(p, "$.description", "string"), F.lit(""))))
+
+
+def schema_features(schema: Column, coded: Column | None = None) -> dict[str, Column]:
     """Counts over the top-level properties of a JSON schema (a bad or absent one gives zeros)."""
-    parsed = F.try_parse_json(schema)
-    properties = F.coalesce(F.map_values(F.try_variant_get(parsed, "$.properties", "map<string,variant>")), F.array().cast("array<variant>"))
+    parsed, properties = F.try_parse_json(schema), _properties(schema)
     count = lambda test: F.size(F.filter(properties, lambda p: F.coalesce(test(p), F.lit(False))))
-    text = lambda p: F.try_variant_get(p, "$.description", "string")
     open_ended = lambda p: _truthy(F.try_variant_get(p, "$.additionalProperties", "variant"))
     marker = "|".join(L.RULES[n] for n in ("injection_markers", "concealment", "exfiltration"))
     return {
         "schema_defaults": count(lambda p: F.try_variant_get(p, "$.default", "variant").isNotNull()),
         "schema_additional_props": count(open_ended) + F.coalesce(open_ended(parsed), F.lit(False)).cast("int"),
         "schema_wide_enum": count(lambda p: F.size(F.try_variant_get(p, "$.enum", "array<variant>")) > WIDE_ENUM),
-        "schema_nested_desc": count(lambda p: F.length(text(p)) > 0),
-        "schema_marker_in_props": count(lambda p: L.codes_of(text(p)).rlike(marker)),
+        "schema_nested_desc": count(lambda p: F.length(F.try_variant_get(p, "$.description", "string")) > 0),
+        "schema_marker_in_props": F.size(F.filter(property_codes(schema) if coded is None else coded, lambda c: c.rlike(marker))),
     }
 
 
@@ -76,19 +83,17 @@ def interactions(c) -> dict[str, Column]:
 
 
 def read_texts(tools: DataFrame) -> DataFrame:
-    """``tools`` with the folded text (by the only Python step), its entropy, plain view, words and codes."""
-    rows = tools.withColumn("_profile", T.profile(F.coalesce(F.col("description"), F.lit(""))))
-    rows = rows.select(*tools.columns, F.col("_profile.entropy").alias("entropy"), L.plain_view(F.col("_profile.folded")).alias("view"))
-    rows = rows.withColumn("words", L.words(F.col("view")))
-    # a generated row: the optimizer does not merge projections across it, so no step runs twice
-    return rows.select(*rows.columns, F.explode(F.array(L.codes(F.col("words")))).alias("codes"))
+    """``tools`` with entropy, plain view and codes of the description (by the only Python step) and the codes of its schema's texts."""
+    schema = F.col("input_schema") if "input_schema" in tools.columns else F.lit("")
+    rows = tools.withColumn("_profile", T.profile(F.coalesce(F.col("description"), F.lit("")))).withColumn("_props", property_codes(F.coalesce(schema, F.lit(""))))
+    return rows.select(*tools.columns, F.col("_profile.entropy").alias("entropy"), F.col("_profile.view").alias("view"), F.col("_profile.codes").alias("codes"), "_props")
 
 
 def with_features(tools: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``tools`` and the 31 features as doubles; ``keep``: of entropy, view, words and codes those to stay too."""
+    """``tools`` and the 31 features as doubles; ``keep``: of entropy, view and codes those to stay too."""
     text, rows = F.coalesce(F.col("description"), F.lit("")), read_texts(tools)
     columns = size_features(text) | unicode_features(text) | {"encoded_blob": T.blob_count(F.concat_ws(" ", F.coalesce(F.col("name"), F.lit("")), text))}
-    columns |= lexicon_features(text, F.col("view"), F.col("codes")) | schema_features(F.coalesce(F.col("input_schema"), F.lit(""))) | {"entropy": F.col("entropy")}
+    columns |= lexicon_features(text, F.col("view"), F.col("codes")) | schema_features(F.coalesce(F.col("input_schema"), F.lit("")), F.col("_props")) | {"entropy": F.col("entropy")}
     made = F.inline(F.array(F.struct(*(v.cast("double").alias(n) for n, v in columns.items()))))
     rows = rows.select(*tools.columns, *keep, made)
     return rows.select("*", *(v.cast("double").alias(n) for n, v in interactions(F.col).items())).select(*tools.columns, *keep, *FEATURES)

@@ -19,7 +19,7 @@ def capability_tags(codes: Column) -> Column:
 def with_capabilities(tools: DataFrame) -> DataFrame:
     """(server, name, caps) of each tool."""
     text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")))
-    coded = tools.select("server", "name", F.explode(F.array(codes_of(text))).alias("codes"))
+    coded = tools.select("server", "name", codes_of(text).alias("codes"))
     return coded.select("server", "name", capability_tags(F.col("codes")).alias("caps"))
 
 

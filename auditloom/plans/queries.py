@@ -462,7 +462,7 @@ def _first_match(name: str) -> None:
     @query(f"{name}s" if name.endswith("claim") else name, f"WITH {ALL_TOOLS_SQL}, {Q.coded('all_tools', 'c')} SELECT server, name, {Q.match_words(name)} AS match FROM c WHERE regexp_matches(codes, {lexicon.sql_text(lexicon.RULES[name])})")
     def first_match(spark, sf_dir):
         rows = features.read_texts(all_tools(spark, sf_dir))
-        return rows.select("server", "name", lexicon.first_match(F.col("words"), F.col("codes"), name).alias("match")).where("match is not null")
+        return rows.select("server", "name", lexicon.first_match(F.col("view"), F.col("codes"), name).alias("match")).where("match is not null")
 
 
 _first_match("cross_server_claim")

@@ -27,10 +27,12 @@ ALL_TOOLS = f"{tables.TOOLS_SQL}, all_tools AS (SELECT server, name, description
 
 
 def coded(source: str, out: str, text: str = "strip_accents(raw)") -> str:
-    """``out``: the rows of ``source`` with the plain view, words and codes of a text."""
+    """``out``: the rows of ``source`` with the plain view and codes of a text; a piece of texts is coded once."""
     return f"""{out}_view AS MATERIALIZED (SELECT *, {L.sql_view(text)} AS view FROM {source}),
-{out}_words AS MATERIALIZED (SELECT *, {L.sql_words('view')} AS words FROM {out}_view),
-{out} AS MATERIALIZED (SELECT *, {L.sql_codes('words')} AS codes FROM {out}_words)"""
+{out}_pieces AS MATERIALIZED (SELECT *, {L.sql_pieces('view')} AS pieces FROM {out}_view),
+{out}_known AS MATERIALIZED (SELECT p, {L.sql_piece('p')} AS c FROM (SELECT DISTINCT unnest(pieces) AS p FROM {out}_pieces)),
+{out}_table AS MATERIALIZED (SELECT MAP(list(p), list(c)) AS m FROM {out}_known),
+{out} AS MATERIALIZED (SELECT * EXCLUDE (pieces, m), {L.sql_text(L.SENTENCE)} || array_to_string(list_transform(pieces, lambda p: m[p]), '') || {L.sql_text(L.SENTENCE)} AS codes FROM {out}_pieces, {out}_table)"""
 
 
 def base64_of(text: str) -> str:
@@ -76,10 +78,9 @@ POINTS = f"list_sort(list_transform(list_distinct(regexp_extract_all(raw, '[{T.H
 
 
 def match_words(name: str) -> str:
-    """The words of the first match of a rule."""
+    """The text of the first match of a rule."""
     found = f"regexp_extract(codes, {L.sql_text(L.RULES[name])})"
-    at = f"greatest(instr(codes, {found}) - 1, 1)"
-    return f"array_to_string(list_filter(words[{at}:{at} + length({found}) - 1], lambda w: w <> chr(1)), ' ')"
+    return f"substr(replace(view, chr(10), chr(10) || chr(10)), instr(codes, {found}) - 1, length({found}))"
 
 
 def decoded(source: str, out: str) -> str:
