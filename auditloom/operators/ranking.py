@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.relations import SEVERITIES, qualified_name, severity_of
+from auditloom.sources.storage import stored
 
 
 def ranked(findings: DataFrame) -> DataFrame:
@@ -33,3 +34,21 @@ def at_or_above(findings: DataFrame, severity: str = "high") -> DataFrame:
 def gate(findings: DataFrame, severity: str = "high") -> int:
     """Exit code: 1 with a finding at or above ``severity``, else 0. Stops at the first."""
     return 0 if at_or_above(findings, severity).isEmpty() else 1
+
+
+def numbered_within(rows: DataFrame, group: str, *order: Column) -> DataFrame:
+    """``rows`` with ``number``, from 0 within each value of ``group`` in the given order.
+
+    By one range sort on group and order, so that no task holds a whole group. What a group has in
+    earlier partitions is counted and broadcast: at most a row for each partition, as only
+    the first group of a partition goes on from another. The sorted rows are stored, as the counts
+    hold for this run's partitions alone.
+    """
+    keys = [F.col(group), *order]
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    ranged = stored(ranged.withColumn("_part", F.shiftrightunsigned("_at", 33)), "numbered")
+    sizes = ranged.groupBy(group, "_part").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), "_first", before.alias("_before"))
+    found = ranged.join(begins, ranged[group].eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    return found.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before")).cast("long").alias("number"))

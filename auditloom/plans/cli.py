@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-import tempfile
-import uuid
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
@@ -16,7 +14,7 @@ from auditloom.operators.drift import snapshot
 from auditloom.operators.features import with_features
 from auditloom.plans import engine, report
 from auditloom.relations import SEVERITIES, TOOLS, with_advice
-from auditloom.sources import configs, corpus, probe, sinks
+from auditloom.sources import configs, corpus, probe, sinks, storage
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,17 +44,22 @@ def parser() -> argparse.ArgumentParser:
     made["train"].add_argument("--out", default="model.json")
     made["train"].add_argument("--l2", type=float, default=1e-3)
     made["train"].add_argument("--cv", type=int, default=5)
+    made["train"].add_argument("--epochs", type=int, help="take so many full-batch gradient steps instead of solving to the end")
+    made["train"].add_argument("--rate", type=float, default=training.RATE, help="size of a gradient step")
     return top
 
 
 def relations(spark: SparkSession, args) -> tuple[engine.Relations, list[str]]:
     if getattr(args, "tools_json", None):
         return engine.Relations(*configs.read_tool_dump(spark, args.tools_json)), []
-    paths = args.config + (configs.discover_configs() if args.discover else [])
-    if not paths:
+    found = [p for p in configs.discover_configs() if p not in args.config] if args.discover else []
+    if not args.config and not found:
         raise ValueError("no input: give --config, --discover or --tools-json")
-    servers, failed = configs.read_configs(spark, paths)
-    errors = [r.message for r in failed.collect()]  # a row for each file
+    servers, failed = configs.read_configs(spark, args.config)
+    others, passed = configs.read_configs(spark, found)
+    servers, named = servers.unionByName(others), [r.message for r in failed.collect()]  # a row for each file
+    args.named_failed = bool(named)  # only files that were asked for have to be readable
+    errors = named + [r.message for r in passed.collect()]
     tools = spark.createDataFrame([], TOOLS)
     if args.command == "capture" or getattr(args, "probe", False):
         tools, refused = probe.probe(servers, args.timeout)
@@ -84,9 +87,8 @@ def _scan(spark, args) -> int:
     model = configs.named_model(args.model) if args.model else configs.default_model()
     context = engine.Context(baseline, model, args.semantic_threshold, args.strict)
     # each detector runs at once and apart: one that fails is an error of the report, the others count
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="auditloom-")
-    findings, failed = engine.scan(frames, context, args.enable, args.disable, f"{folder.rstrip('/')}/scan-{uuid.uuid4().hex}")
-    findings, errors = with_advice(findings).cache(), errors + failed
+    findings, failed = engine.scan(frames, context, args.enable, args.disable, storage.shared_path(spark, "scan"))
+    findings, errors = with_advice(findings), errors + failed
     if args.format == "json":
         text = report.render_json(findings, frames.servers, frames.tools, errors)
     else:
@@ -98,7 +100,7 @@ def _scan(spark, args) -> int:
         print(text)
     for message in errors:
         print(f"error: {message}", file=sys.stderr)
-    if failed or args.config and errors:
+    if failed or getattr(args, "named_failed", False):
         return 2
     return 0 if args.fail_on == "never" else ranking.gate(findings, args.fail_on)
 
@@ -122,9 +124,9 @@ def _train(spark, args) -> int:
     labelled = corpus.corpus(spark) if not args.labelled else spark.read.parquet(args.labelled).select("text", "label", F.lit("train").alias("split"), F.sha2("text", 256).alias("key"))
     ready = with_features(corpus.as_tools(labelled)).cache()
     rows, held = ready.where("split = 'train'"), ready.where("split = 'holdout'")
-    model = training.train(rows, args.l2)
+    model = training.train(rows, args.l2) if args.epochs is None else training.descend(rows, args.l2, epochs=args.epochs, rate=args.rate)
     rates = lambda frame: training.confusion(frame, model.probability()).first().asDict() | {"auc": training.roc_auc(frame, model.probability()).first().auc}
-    model.metrics = {"train": rates(rows), "cv": training.cross_validate(rows, "key", args.cv, args.l2).first().asDict()}
+    model.metrics = {"train": rates(rows), "cv": training.cross_validate(rows, "key", args.cv, args.l2, epochs=args.epochs, rate=args.rate).first().asDict()}
     if not held.isEmpty():
         model.metrics["holdout"] = rates(held)
     ready.unpersist()

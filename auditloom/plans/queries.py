@@ -16,7 +16,7 @@ from auditloom.operators import drift, features, flows, pinning, ranking, scorin
 from auditloom.plans import engine, report
 from auditloom.plans import sql as Q
 from auditloom.relations import qualified_name, tools_of
-from auditloom.sources import configs, corpus, sinks, tables
+from auditloom.sources import configs, corpus, sinks, storage, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -568,21 +568,61 @@ def training_rows(spark, sf_dir):
     return features.with_features(rows).drop("description")
 
 
-@query("train_lr")
+#: Gradient steps of the queries that train, as many as their SQL spells out.
+STEPS, FOLDS = 12, 5
+TRAINING_SQL = f"""docs AS (SELECT doc_id, '' AS name, coalesce(text, '') AS raw, toxic AS label FROM documents JOIN labels USING (doc_id)), {Q.features('docs', 'f')},
+training AS MATERIALIZED (SELECT *, {LANGUAGE_SQL} AS lang, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR) || ':0'), doc_id) - 1) % {FOLDS} AS INT) AS fold FROM f)"""
+KEPT = tuple(n for n in features.FEATURES if n not in training.LEXICON)
+ONE_SQL = f"{TRAINING_SQL}, all_rows AS (SELECT * REPLACE (-1 AS fold) FROM training), {Q.descended('all_rows', 'model', features.FEATURES, 1, STEPS)}"
+FOLDED_SQL = f"{TRAINING_SQL}, {Q.descended('training', 'model', features.FEATURES, FOLDS, STEPS)}"
+REDUCED_SQL = f"{FOLDED_SQL}, {Q.descended('training', 'reduced', KEPT, FOLDS, STEPS)}"
+P_SQL, P_WITHOUT_SQL = (f"1 / (1 + exp(-(b + list_sum({Q.parts_of_decision(names)}))))" for names in (features.FEATURES, KEPT))
+OUT_OF_FOLD_SQL = f"{REDUCED_SQL}, whole AS (SELECT doc_id, fold, lang, label, {P_SQL} AS p FROM training JOIN model ON m = fold), less AS (SELECT doc_id, lang, label, {P_WITHOUT_SQL} AS p FROM training JOIN reduced ON m = fold)"
+
+
+@query("train_lr", f"WITH {ONE_SQL}, scored AS (SELECT label, {P_SQL} AS p FROM training, model) {Q.confusion('scored')}")
 def train_lr(spark, sf_dir):
-    rows = training_rows(spark, sf_dir).cache()
-    model = training.train(rows)
-    return training.confusion(rows, model.probability())
+    rows = storage.stored(training_rows(spark, sf_dir), "features")
+    return training.confusion(rows, training.descend(rows, epochs=STEPS).probability())
+
 
+@query("train_weights", f"WITH {ONE_SQL}, named AS (SELECT unnest([{_quoted(features.FEATURES)}]) AS feature, unnest(w) AS weight FROM model UNION ALL SELECT 'bias', b FROM model) SELECT feature, round(weight, 6) AS weight FROM named")
+def train_weights(spark, sf_dir):
+    """The weights after full-batch gradient steps."""
+    model = training.descend(training_rows(spark, sf_dir), epochs=STEPS)
+    rows = [*zip(model.features, model.weights, strict=True), ("bias", model.bias)]
+    return spark.createDataFrame(rows, "feature string, weight double").select("feature", F.round("weight", 6).alias("weight"))
 
-@query("cross_validate")
+
+@query("cross_validate", f"WITH {FOLDED_SQL}, scored AS (SELECT label, {P_SQL} AS p FROM training JOIN model ON m = fold) {Q.confusion('scored')}")
 def cross_validate(spark, sf_dir):
-    return training.cross_validate(training_rows(spark, sf_dir), "doc_id")
+    return training.cross_validate(training_rows(spark, sf_dir), "doc_id", FOLDS, epochs=STEPS)
+
 
+@query("fold_sizes", f"SELECT label, fold, count(*) AS n FROM (SELECT toxic AS label, CAST((row_number() OVER (PARTITION BY toxic ORDER BY md5(CAST(doc_id AS VARCHAR) || ':0'), doc_id) - 1) % {FOLDS} AS INT) AS fold FROM labels) GROUP BY ALL")
+def fold_sizes(spark, sf_dir):
+    """Folds dealt round within each label."""
+    rows = tables.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return training.folds(rows, "doc_id", FOLDS).groupBy("label", "fold").agg(F.count("*").alias("n"))
 
-@query("ablation")
+
+@query("ablation", f"WITH {OUT_OF_FOLD_SQL} {Q.confusion('whole', 'lang', chr(39) + 'all' + chr(39) + ' AS features, ')} UNION ALL {Q.confusion('less', 'lang', chr(39) + 'without_lexicon' + chr(39) + ' AS features, ')}")
 def ablation(spark, sf_dir):
-    return training.ablation(training_rows(spark, sf_dir), "doc_id")
+    return training.ablation(training_rows(spark, sf_dir), "doc_id", epochs=STEPS)
+
+
+@query("out_of_fold_scores", f"WITH {OUT_OF_FOLD_SQL} SELECT doc_id, fold, whole.lang, whole.label, round(whole.p, 6) AS p, round(less.p, 6) AS p_without FROM whole JOIN less USING (doc_id)")
+def out_of_fold_scores(spark, sf_dir):
+    """Scores by models that have not seen the row, with and without the features that rest on words."""
+    scored, _ = training.out_of_fold(training_rows(spark, sf_dir), "doc_id", FOLDS, epochs=STEPS)
+    return scored.select("doc_id", "fold", "lang", "label", F.round("p", 6).alias("p"), F.round("p_without", 6).alias("p_without"))
+
+
+@query("attributions_by_language", f"WITH {FOLDED_SQL}, parts AS (SELECT lang, label, unnest([{_quoted(features.FEATURES)}]) AS feature, unnest({Q.parts_of_decision(features.FEATURES)}) AS value FROM training JOIN model ON m = fold) SELECT lang, feature, label, round(avg(value), 6) AS mean FROM parts GROUP BY lang, feature, label")
+def attributions_by_language(spark, sf_dir):
+    """Mean contributions of the features to out-of-fold decisions."""
+    scored, models = training.out_of_fold(training_rows(spark, sf_dir), "doc_id", FOLDS, epochs=STEPS)
+    return training.attributions(scored, models).select("lang", "feature", "label", F.round("mean", 6).alias("mean"))
 
 
 @query("language_tag", f"WITH {DOCS_SQL} SELECT doc_id, {LANGUAGE_SQL} AS tag FROM docs")
@@ -639,7 +679,8 @@ def severity_summary(spark, sf_dir):
 def findings_ranked(spark, sf_dir):
     """Places by a range sort: the rows before each partition are counted, then added to the place within it."""
     ordered = ranking.ranked(drift_frame(spark, sf_dir)).select("severity", "location", "title")
-    numbered = ordered.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftrightunsigned("id", 33)).persist()
+    # stored, as the counts below hold for this run's partitions alone
+    numbered = storage.stored(ordered.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftrightunsigned("id", 33)), "ranked")
     sizes = {r.part: r.n for r in numbered.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
     before, at = {}, 0
     for part in sorted(sizes):

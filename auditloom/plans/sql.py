@@ -154,3 +154,31 @@ def shadowing(named: str, out: str) -> str:
 {out} AS (SELECT CASE WHEN texts >= 2 THEN 'high' ELSE 'medium' END AS severity, 'Tool name ''' || name || ''' is offered by ' || len(servers) || ' servers' AS title, servers[1] AS server, name AS tool FROM {out}_same
   UNION ALL SELECT 'medium', 'Nearly equal tool names: ' || array_to_string(names, ', '), servers[1], NULL FROM {out}_near
   UNION ALL SELECT 'high', 'Description names tools of another server: ' || name, server, name FROM {out}_refs)"""
+
+
+def descended(rows: str, out: str, names: tuple[str, ...], models: int, epochs: int, l2: float = 1e-3, rate: float = 0.5) -> str:
+    """``out``: (m, w, b, mean, std) of full-batch gradient models on ``rows`` (label, fold, features); model m leaves out fold m."""
+    mean, std = (f"[{', '.join(f'{f}({n})' for n in names)}]" for f in ("avg", "stddev_pop"))
+    scaled = ", ".join(f"({n} - mean[{i}]) / std[{i}]" for i, n in enumerate(names, 1))
+    steps = [f"""{out}_stats AS MATERIALIZED (SELECT m, count(*) AS n, sum(label) AS pos, {mean} AS mean, list_transform({std}, lambda v: CASE WHEN v = 0 THEN 1 ELSE v END) AS std FROM {rows}, range({models}) t(m) WHERE fold <> m GROUP BY m),
+{out}_x AS MATERIALIZED (SELECT m, label, n, CASE WHEN label = 1 THEN n / (2 * pos) ELSE n / (2 * (n - pos)) END AS weight, CAST([{scaled}] AS DOUBLE[]) AS x FROM {rows} JOIN {out}_stats ON fold <> m),
+{out}_0 AS (SELECT m, list_transform(range({len(names)}), lambda i: CAST(0 AS DOUBLE)) AS w, CAST(0 AS DOUBLE) AS b FROM {out}_stats)"""]
+    sums = ", ".join(f"sum(e * x[{i}])" for i in range(1, len(names) + 1))
+    for i in range(epochs):
+        steps.append(f"""{out}_{i + 1} AS MATERIALIZED (SELECT m, list_transform(g, lambda v, i: w[i] - {rate} * (v / n + {l2} * w[i])) AS w, b - {rate} * gb / n AS b FROM {out}_{i} JOIN
+  (SELECT m, any_value(n) AS n, [{sums}] AS g, sum(e) AS gb FROM (SELECT m, n, x, (1 / (1 + exp(-(b + list_dot_product(w, x)))) - label) * weight AS e FROM {out}_x JOIN {out}_{i} USING (m)) GROUP BY m) USING (m))""")
+    return ",\n".join(steps) + f",\n{out} AS MATERIALIZED (SELECT m, w, b, mean, std FROM {out}_{epochs} JOIN {out}_stats USING (m))"
+
+
+def parts_of_decision(names: tuple[str, ...]) -> str:
+    """The contribution of each feature to the decision of a row beside its model."""
+    return "[" + ", ".join(f"w[{i}] * ({n} - mean[{i}]) / std[{i}]" for i, n in enumerate(names, 1)) + "]"
+
+
+def confusion(rows: str, by: str = "", more: str = "") -> str:
+    """Rates of ``rows`` (p, label)."""
+    cell = lambda c: f"count(*) FILTER (WHERE {c})"
+    tp, fp, tn, fn = (cell(c) for c in ("p >= 0.5 AND label = 1", "p >= 0.5 AND label <> 1", "p < 0.5 AND label <> 1", "p < 0.5 AND label = 1"))
+    share = lambda a, b: f"round(coalesce(({a}) / nullif({b}, 0), 0), 4)"
+    return f"""SELECT {by + ', ' if by else ''}{more}{tp} AS tp, {fp} AS fp, {tn} AS tn, {fn} AS fn, {share(tp, f'{tp} + {fp}')} AS precision, {share(tp, f'{tp} + {fn}')} AS recall,
+  {share(f'2 * {tp}', f'2 * {tp} + {fp} + {fn}')} AS f1, {share(f'{tp} + {tn}', 'count(*)')} AS accuracy FROM {rows}{' GROUP BY ' + by if by else ''}"""

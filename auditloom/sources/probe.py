@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.sources.configs import rpc_tools
+from auditloom.sources.storage import stored
 
 # Fixed values of the protocol.
 HELLO = {"protocolVersion": "2024-11-05", "capabilities": {}, "clientInfo": {"name": "auditloom", "version": "1"}}
@@ -151,6 +152,7 @@ def probe(servers: DataFrame, timeout: float = 20.0) -> tuple[DataFrame, DataFra
 
     rows = servers.select("name", "command", "args", "env", "url")
     spread = rows.repartition(max(1, servers.count()), "name")
-    answers = spread.mapInPandas(ask, "server string, payload string, message string").persist()
+    # stored, as a lost block would start the programs again
+    answers = stored(spread.mapInPandas(ask, "server string, payload string, message string"), "answers")
     tools = rpc_tools(answers.where("payload is not null").select("server", "payload"))
     return tools, answers.where(F.col("message").isNotNull()).select("message")
