@@ -1,14 +1,15 @@
 """URL filters: rules first, then an empirical-Bayes reputation of the host. DataFrame functions only.
 
 Labelled page outcomes (bad or not) are counted for each host, registered domain and suffix. The
-share of bad pages is shrunk level by level with beta-binomial priors: a suffix towards the whole,
-a domain towards its suffix, a host towards its domain. The strength of each prior is estimated
-from the spread of the level's shares around those of its parents (method of moments), and a
-host's prior weighs no more pages than its domain has labelled ones. A page is blocked when its
-host has labelled pages and the lower posterior bound of the host's share of bad ones is above a
-limit; hosts without a labelled page pass. With ``evidenced`` the bound is as wide as the host's
-own labelled pages leave it and null below a suffix without any, and rules teach only suffixes
-that they both block and allow.
+share of bad pages is shrunk level by level with beta-binomial priors: a suffix towards the mean of
+all suffixes, a domain towards its suffix, a host towards its domain. The strength of each prior is
+estimated from the spread of the level's shares around those of its parents (method of moments);
+where no spread is seen it is the number of units that show none, and of a single unit it is the least.
+The variance of a host's share is that of its own posterior and, as far as its prior weighs, that
+of its domain's, its suffix's and the whole's. A page is blocked where the lower posterior bound of its
+host's share of bad ones is above a limit, and only there. With ``evidenced`` rules teach only
+suffixes that they both block and allow, and the bound is null (no verdict against a page) below a
+suffix without a labelled page.
 
 The production queries have no page labels but the rules' own verdicts, so these are their outcomes.
 The registered domain is the last two labels of the host, the suffix its last one.
@@ -69,10 +70,10 @@ def _strength(level: DataFrame) -> float:
         F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("prior"), 2)).alias("spread"), F.sum(F.col("prior") * (1 - F.col("prior"))).alias("noise"),
     ).first()
     if not row.n or row.k < 2 or row.n == row.nn / row.n:
-        return MOST_STRENGTH
+        return LEAST_STRENGTH
     mean, variance = row.m / row.n, (row.spread - row.noise) / (row.n - row.nn / row.n)
     if variance <= 0:
-        return MOST_STRENGTH
+        return min(MOST_STRENGTH, max(LEAST_STRENGTH, float(row.k)))
     return round(min(MOST_STRENGTH, max(LEAST_STRENGTH, mean * (1 - mean) / variance - 1)), 4)
 
 
@@ -95,20 +96,25 @@ def host_reputations(pages: DataFrame, evidenced: bool = False) -> DataFrame:
     )
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    shrunk = lambda k: (F.col("bad") + F.lit(k) * F.col("prior")) / (F.col("n") + F.lit(k))
-    suffixes = suffixes.withColumn("prior", F.lit(((whole.bad or 0) + 1) / ((whole.n or 0) + 2)))
-    by_suffix = suffixes.select("suffix", shrunk(_strength(suffixes)).alias("prior"), F.col("n").alias("known"))
+    whole = suffixes.where("n > 0").agg(F.count("*").alias("k"), F.coalesce(F.sum(F.col("bad") / F.col("n")), F.lit(0.0)).alias("shares")).first()
+    prior = (whole.shares + 1) / (whole.k + 2)
+    suffixes = suffixes.withColumns({"prior": F.lit(prior), "doubt": F.lit(prior * (1 - prior) / (whole.k + 3))})
+    by_suffix = suffixes.select("suffix", *_posterior(_strength(suffixes), "prior", "doubt"), F.col("n").alias("known"))
     domains = domains.join(by_suffix, "suffix")
-    by_domain = domains.select("domain", "known", shrunk(_strength(domains)).alias("prior"), F.col("n").alias("of_domain"))
+    by_domain = domains.select("domain", "known", *_posterior(_strength(domains), "prior", "doubt"))
     hosts = hosts.join(by_domain, "domain")
-    at_host = _strength(hosts)
-    weight = F.lit(at_host) if evidenced else F.least(F.lit(at_host), F.greatest(F.col("of_domain"), F.lit(LEAST_STRENGTH)))
-    total = F.col("n") + weight
-    share = (F.col("bad") + weight * F.col("prior")) / total
-    counts = F.when(F.col("known") > 0, F.col("n") + F.lit(LEAST_STRENGTH)) if evidenced else total
-    bound = share - F.lit(Z) * F.sqrt(F.greatest(share * (1 - share), F.lit(0.0)) / (counts + 1))
-    return hosts.select("host", "pages", "n", share.alias("mean"), bound.alias("bound"))
+    mean, doubt = _posterior(_strength(hosts), "mean", "variance")
+    rows = hosts.select("host", "pages", "n", "known", mean, doubt)
+    bound = F.col("mean") - F.lit(Z) * F.sqrt("variance")
+    return rows.select("host", "pages", "n", "mean", (F.when(F.col("known") > 0, bound) if evidenced else bound).alias("bound"))
+
+
+def _posterior(strength: float, mean: str, variance: str) -> tuple[Column, Column]:
+    """Mean and variance of a unit's share, from its counts and the prior and its doubt; a share varies at most as a coin does."""
+    n, k = F.col("n"), F.lit(strength)
+    share = (F.col("bad") + k * F.col("prior")) / (n + k)
+    coin = F.greatest(share * (1 - share), F.lit(0.0))
+    return share.alias(mean), F.least(coin, coin / (n + k + 1) + F.pow(k / (n + k), 2) * F.col("doubt")).alias(variance)
 
 
 def judge_urls(pages: DataFrame, rules=RULES, limit: float = LIMIT, outcomes: DataFrame | None = None, evidenced: bool = False) -> DataFrame:
@@ -116,7 +122,8 @@ def judge_urls(pages: DataFrame, rules=RULES, limit: float = LIMIT, outcomes: Da
 
     ``outcomes`` (page_id, bad 0/1, one row for each page) are labelled pages; without it the
     rules' verdicts serve. Of repeated page_ids in ``outcomes`` the worse counts. Host and path of a null url, or one without ``://``, are empty; such
-    pages share one reputation. Repeated rows each get a row; a null page_id stays null and has no
+    pages share one reputation. Without a rule the verdict is ``block`` just where ``bad_bound`` is above
+    ``limit``. Repeated rows each get a row; a null page_id stays null and has no
     label; an empty table gives no rows; other columns are ignored.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
@@ -130,29 +137,34 @@ def judge_urls(pages: DataFrame, rules=RULES, limit: float = LIMIT, outcomes: Da
         labelled = rows.join(outcomes.groupBy(F.col("page_id").cast("bigint").alias("page_id")).agg(F.max(F.col("bad").cast("int")).alias("bad")), "page_id", "left")
     reputation = stored(host_reputations(labelled.select("host", "bad"), evidenced), "reputations")
     count = reputation.agg(F.sum("pages").alias("n")).first().n or 0
-    told, least = ("host", "n", "mean", "bound"), max(1, int(count * HOT_SHARE))
+    told, least = ("host", "mean", "bound"), max(1, int(count * HOT_SHARE))
     hot = F.broadcast(reputation.where(F.col("pages") >= least).select(F.col("host").alias("hot_host"), *(F.col(c).alias(f"hot_{c}") for c in told[1:])))
     cold = reputation.where(F.col("pages") < least).select(F.col("host").alias("cold_host"), *(F.col(c).alias(f"cold_{c}") for c in told[1:]))
     first = rows.join(hot, rows["host"] == hot["hot_host"], "left")
     # pages of hot hosts have their answer and are dealt out by a key of their own, so no host weighs on one task
     key = F.when(F.col("hot_host").isNull(), F.col("host")).otherwise(F.concat(F.lit("\0"), F.xxhash64("page_id", "path")))
     judged = first.withColumn("key", key).join(cold, F.col("key") == F.col("cold_host"), "left")
-    n, mean, bound = (F.coalesce(f"hot_{c}", f"cold_{c}") for c in told[1:])
-    verdict = F.coalesce(_rule_verdict(F.col("rule"), rules), F.when((bound > limit) & (n > 0), F.lit("block")).otherwise(F.lit("allow")))
+    mean, bound = (F.coalesce(f"hot_{c}", f"cold_{c}") for c in told[1:])
+    verdict = F.coalesce(_rule_verdict(F.col("rule"), rules), F.when(bound > limit, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round(mean, 6).alias("bad_share"), F.round(bound, 6).alias("bad_bound"))
 
 
 def _strength_sql(level: str, out: str) -> str:
-    return f"""{out} AS (SELECT CASE WHEN k < 2 OR n = nn / n THEN {MOST_STRENGTH} WHEN (spread - noise) / (n - nn / n) <= 0 THEN {MOST_STRENGTH}
+    return f"""{out} AS (SELECT CASE WHEN k < 2 OR n = nn / n THEN {LEAST_STRENGTH} WHEN (spread - noise) / (n - nn / n) <= 0 THEN least({MOST_STRENGTH}, greatest({LEAST_STRENGTH}, k))
     ELSE round(least({MOST_STRENGTH}, greatest({LEAST_STRENGTH}, m / n * (1 - m / n) / ((spread - noise) / (n - nn / n)) - 1)), 4) END AS k
   FROM (SELECT count(*) AS k, coalesce(sum(n), 0) AS n, sum(n * n) AS nn, sum(n * prior) AS m, sum(n * pow(bad / n - prior, 2)) AS spread, sum(prior * (1 - prior)) AS noise FROM {level} WHERE n > 0))"""
 
 
+def _posterior_sql(units: str, strength: str, out: str) -> str:
+    """``out``: the rows of ``units`` (n, bad, prior, doubt) with share and variance."""
+    return f"""{out} AS (SELECT *, least(share * (1 - share), share * (1 - share) / (n + k + 1) + pow(k / (n + k), 2) * doubt) AS variance FROM (SELECT u.*, k, (bad + k * prior) / (n + k) AS share FROM {units} u, {strength}))"""
+
+
 def judgement_sql(evidenced: bool = False) -> str:
     """The production query in DuckDB SQL; of the suffixes the rules teach com alone where ``evidenced``."""
     taught = " AND (host = 'com' OR host LIKE '%.com')" if evidenced else ""
-    weight = "s.k" if evidenced else f"least(s.k, greatest(of_domain, {LEAST_STRENGTH}))"
-    counts = f"CASE WHEN known > 0 THEN n + {LEAST_STRENGTH} END" if evidenced else "n + w"
+    bound = f"share - {Z} * sqrt(variance)"
+    bound = f"CASE WHEN known > 0 THEN {bound} END" if evidenced else bound
     return f"""
 WITH urls AS (
   SELECT page_id,
@@ -176,16 +188,16 @@ hosts AS (
   FROM judged GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
-at_suffix AS (SELECT suffix, n, bad, (sum(bad) OVER () + 1) / (sum(n) OVER () + 2) AS prior FROM suffixes),
-{_strength_sql("at_suffix", "suffix_k")},
-at_domain AS (SELECT d.domain, d.n, d.bad, x.n AS known, (x.bad + s.k * x.prior) / (x.n + s.k) AS prior FROM domains d JOIN at_suffix x USING (suffix), suffix_k s),
-{_strength_sql("at_domain", "domain_k")},
-at_host AS (SELECT host, h.n, h.bad, known, d.n AS of_domain, (d.bad + s.k * d.prior) / (d.n + s.k) AS prior FROM hosts h JOIN at_domain d USING (domain), domain_k s),
-{_strength_sql("at_host", "host_k")},
-weighed AS (SELECT *, {weight} AS w FROM at_host, host_k s),
-shares AS (SELECT host, n, (bad + w * prior) / (n + w) AS mean, {counts} AS counts FROM weighed),
-bounds AS (SELECT host, n, mean, mean - {Z} * sqrt(greatest(mean * (1 - mean), 0) / (counts + 1)) AS bound FROM shares)
-SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bound > {LIMIT} AND n > 0 THEN 'block' ELSE 'allow' END) AS verdict,
+whole AS (SELECT (sum(bad / n) + 1) / (count(*) + 2) AS prior, count(*) AS k FROM suffixes WHERE n > 0),
+priors AS (SELECT coalesce(prior, 0.5) AS prior, k FROM whole),
+at_suffix AS (SELECT s.*, prior, prior * (1 - prior) / (k + 3) AS doubt FROM suffixes s, priors),
+{_strength_sql("at_suffix", "suffix_k")}, {_posterior_sql("at_suffix", "suffix_k", "by_suffix")},
+at_domain AS (SELECT d.domain, d.n, d.bad, x.n AS known, x.share AS prior, x.variance AS doubt FROM domains d JOIN by_suffix x USING (suffix)),
+{_strength_sql("at_domain", "domain_k")}, {_posterior_sql("at_domain", "domain_k", "by_domain")},
+at_host AS (SELECT host, h.n, h.bad, known, d.share AS prior, d.variance AS doubt FROM hosts h JOIN by_domain d USING (domain)),
+{_strength_sql("at_host", "host_k")}, {_posterior_sql("at_host", "host_k", "by_host")},
+bounds AS (SELECT host, share AS mean, {bound} AS bound FROM by_host)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
        round(mean, 6) AS bad_share, round(bound, 6) AS bad_bound
 FROM judged JOIN bounds USING (host)
 """

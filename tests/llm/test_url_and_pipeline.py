@@ -92,10 +92,36 @@ def test_both_verdicts_without_a_rule(spark, sf):
     assert {r.verdict for r in rows if r.host.endswith(".org")} == {"allow"}
 
 
-def test_hosts_without_a_labelled_page_pass(spark):
+def test_verdicts_follow_the_bound(spark):
     urls = [*(f"http://h{i % 3}.net/fr/{i}" for i in range(40)), "http://h1.net/de/", "http://new.net/", "http://a.org/", "http://x.museum/", None]
     rows = {r.page_id: r for r in host_reputation.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
-    assert [rows[i].verdict for i in range(40, 45)] == ["block", "allow", "allow", "allow", "allow"]
+    # a new host of a suffix that is known for bad hosts alone shares its reputation; suffixes nobody knows do not
+    assert [rows[i].verdict for i in range(40, 45)] == ["block", "block", "allow", "allow", "allow"]
+    assert rows[40].bad_bound > rows[41].bad_bound > host_reputation.LIMIT > rows[42].bad_bound
+    for sf in ("sf0.001", "sf0.01"):
+        for evidenced in (False, True):
+            found = host_reputation.judge_urls(spark.read.parquet(f"/root/testdata/{sf}/pages.parquet"), evidenced=evidenced).where("rule is null").collect()
+            assert found and all((r.verdict == "block") == (r.bad_bound is not None and r.bad_bound > host_reputation.LIMIT) for r in found)
+
+
+@pytest.mark.parametrize("evidenced", [False, True])
+def test_reputation_of_hosts_without_pages_of_their_own(spark, evidenced):
+    labelled = [(f"http://h{h}.spam.biz/{i}", 1) for h in range(12) for i in range(5)] + [(f"http://h{h}.fine.biz/{i}", 0) for h in range(12) for i in range(5)]
+    labelled += [(f"http://w{h}.mixed.biz/{i}", h % 2) for h in range(12) for i in range(5)] + [(f"http://s{h}.good.edu/{i}", 0) for h in range(12) for i in range(5)]
+    asked = ["http://new.spam.biz/", "http://new.fine.biz/", "http://new.mixed.biz/", "http://w1.mixed.biz/new", "http://w2.mixed.biz/new", "http://new.other.biz/", "http://new.edu/", "http://who.knows/"]
+    frame = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(labelled + [(u, None) for u in asked])], "page_id long, url string, bad int")
+    rows = {r.page_id: r for r in host_reputation.judge_urls(frame, outcomes=frame.where("bad is not null").select("page_id", "bad"), evidenced=evidenced).collect()}
+    new = [rows[len(labelled) + i] for i in range(len(asked))]
+    assert [r.verdict for r in new] == ["block", "allow", "allow", "block", "allow", "allow", "allow", "allow"]
+    assert new[0].bad_share > new[3].bad_share > new[2].bad_share > new[4].bad_share > new[1].bad_share and new[3].bad_bound > new[2].bad_bound
+
+
+def test_hosts_of_a_bad_domain_are_blocked_before_they_have_pages(spark):
+    labelled = [(f"http://h{h}.spam{d}.biz/{i}", 1) for d in range(4) for h in range(12) for i in range(5)] + [(f"http://h{h}.fine{d}.biz/{i}", 0) for d in range(4) for h in range(12) for i in range(5)]
+    asked = ["http://new.spam1.biz/", "http://new.fine1.biz/", "http://new.biz/"]
+    frame = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(labelled + [(u, None) for u in asked])], "page_id long, url string, bad int")
+    rows = {r.page_id: r for r in host_reputation.judge_urls(frame, outcomes=frame.where("bad is not null").select("page_id", "bad")).collect()}
+    assert [rows[len(labelled) + i].verdict for i in range(3)] == ["block", "allow", "allow"]
 
 
 def test_repeated_outcomes_do_not_repeat_pages(spark):
