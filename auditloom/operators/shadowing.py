@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.names import name_key
 from auditloom.relations import as_findings, finding
+from auditloom.sources.storage import stored
 
 NAME = "shadowing"
-#: Names up to which the dictionary is broadcast to a nested-loop join; beyond, an automaton is.
-NESTED_LOOP_NAMES = 2_000
-#: Names in one automaton; a larger dictionary is searched in several passes.
-AUTOMATON_NAMES = 1_000_000
-_WORD = re.compile("[a-z0-9_]")
+#: Characters of the grams that names and texts are joined on; shorter names are grams of their own length.
+GRAM = 6
 
 
 def name_collisions(tools: DataFrame) -> DataFrame:
@@ -34,61 +28,55 @@ def near_duplicate_names(tools: DataFrame) -> DataFrame:
     return groups.where((F.size("names") >= 2) & (F.size("servers") >= 2))
 
 
+def name_owners(tools: DataFrame) -> DataFrame:
+    """(other, lowered, owner, shared) of each distinct name."""
+    owners = tools.where("name <> ''").groupBy("name").agg(F.min("server").alias("owner"), F.max("server").alias("last")).where("owner is not null")
+    return owners.select(F.col("name").alias("other"), F.lower("name").alias("lowered"), "owner", (F.col("owner") != F.col("last")).alias("shared"))
+
+
+def _grams(text, size: int):
+    """The distinct overlapping grams of a text, in time linear in its length."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _foreign(pairs: DataFrame, text, strict: bool) -> DataFrame:
+    """Of pairs of a tool and a name those where the text has the name and another server owns it."""
+    found = pairs.where(F.contains(text, F.col("lowered")) & (F.col("other") != F.col("name")) & (F.col("shared") | (F.col("owner") != F.col("server"))))
+    if strict:
+        found = found.where(F.regexp_count(text, F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.col("lowered"), F.lit(r"\E(?![a-z0-9_])"))) > 0)
+    return found
+
+
+def references_by_pairs(tools: DataFrame, strict: bool = False, dictionary: DataFrame | None = None) -> DataFrame:
+    """``cross_references`` by every pair of a tool and a name: quadratic, for checks on small inputs."""
+    pairs = tools.crossJoin(F.broadcast(name_owners(tools if dictionary is None else dictionary)))
+    return _foreign(pairs, F.lower(F.coalesce("description", F.lit(""))), strict).groupBy("server", "name").agg(F.array_sort(F.collect_set("other")).alias("refs"))
+
+
 def cross_references(tools: DataFrame, strict: bool = False, dictionary: DataFrame | None = None) -> DataFrame:
     """(server, name, refs): names of other servers' tools within a description, sorted.
 
-    ``strict`` wants the name to stand as a word of its own. The join is on containment, so the
-    dictionary of distinct names is sent to the tools: as a broadcast where its checked size is
-    small, else within Aho-Corasick automatons, a bounded share of the names each.
+    An inverted index: each name stands under the one of its grams that the fewest names have, each
+    description under its distinct grams, and equal grams are joined; only the pairs that come of it
+    are looked at in the text. ``strict`` wants the name to stand as a word of its own.
     ``dictionary``: tools whose names are looked for, if not those of ``tools`` themselves.
     """
-    owners = (tools if dictionary is None else dictionary).where("name <> ''").groupBy("name").agg(F.min("server").alias("owner"), F.max("server").alias("last"))
-    owners = owners.where("owner is not null").select(F.col("name").alias("other"), "owner", (F.col("owner") != F.col("last")).alias("shared"))
-    number = owners.count()
-    text = F.lower(F.coalesce("description", F.lit("")))
-    if number <= NESTED_LOOP_NAMES:
-        pairs = tools.join(F.broadcast(owners), F.contains(text, F.lower("other")) & (F.col("other") != F.col("name")))
-        foreign = pairs.where(F.col("shared") | (F.col("owner") != F.col("server")))
-        if strict:
-            foreign = foreign.where(F.regexp_count(text, F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.lower("other"), F.lit(r"\E(?![a-z0-9_])"))) > 0)
-    else:
-        foreign = None
-        for part in range(-(-number // AUTOMATON_NAMES)):
-            some = owners.where(F.pmod(F.xxhash64("other"), F.lit(-(-number // AUTOMATON_NAMES))) == part)
-            names = some.select("other", F.lower("other"), F.when(~F.col("shared"), F.col("owner")))
-            found = _scan(tools.select("server", "name", text.alias("description")), [tuple(r) for r in names.toLocalIterator()], strict)
-            foreign = found if foreign is None else foreign.unionByName(found)
-    return foreign.groupBy("server", "name").agg(F.array_sort(F.collect_set("other")).alias("refs"))
-
-
-def _scan(tools: DataFrame, names: list[tuple[str, str, str | None]], strict: bool) -> DataFrame:
-    """(server, name, other) of the foreign names in each lower-case description; ``names`` are (name, in lower case, its owner if it has but one)."""
-    shared = tools.sparkSession.sparkContext.broadcast(names)
-
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton, spelled = ahocorasick.Automaton(), {}
-        for name, lowered, owner in shared.value:
-            spelled.setdefault(lowered, []).append((name, owner))
-        for lowered, same in spelled.items():
-            automaton.add_word(lowered, (len(lowered), tuple(same)))
-        automaton.make_automaton()
-        for batch in batches:
-            out = []
-            for server, name, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if strict:
-                    hits = {same for end, (size, same) in automaton.iter(text) if not (_WORD.match(text, end - size, end - size + 1) if end >= size else None) and not _WORD.match(text, end + 1)}
-                else:
-                    hits = {same for _, (_, same) in automaton.iter(text)}
-                found = [o for same in hits for o, owner in same if name is not None and o != name and (owner is None or server is not None and owner != server)]
-                if found:
-                    out.append((server, name, found))
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.string(), pa.string(), pa.list_(pa.string())), strict=True)], names=["server", "name", "others"])
-
-    found = tools.select("server", "name", "description").mapInArrow(scan, "server string, name string, others array<string>")
-    return found.select("server", "name", F.explode("others").alias("other"))
+    # distinct names under their grams; short ones are a gram themselves
+    owners = name_owners(tools if dictionary is None else dictionary)
+    size = F.length("lowered")
+    spelled = owners.withColumn("gram", F.explode(F.when(size > GRAM, _grams(F.col("lowered"), GRAM)).otherwise(F.array("lowered"))))
+    common = spelled.groupBy("gram").agg(F.count("*").alias("names"))
+    rarest = spelled.join(common, "gram").groupBy("other", "lowered", "owner", "shared").agg(F.min_by("gram", F.struct("names", "gram")).alias("gram"))
+    index = stored(rarest, "names")
+    sizes = [r.n for r in index.select(F.length("gram").alias("n")).distinct().collect()]  # at most GRAM numbers
+    texts = tools.select("server", "name", F.lower(F.coalesce("description", F.lit(""))).alias("text")).where("name is not null")
+    grams = F.concat(*(_grams(F.col("text"), n) for n in sizes)) if sizes else F.array().cast("array<string>")
+    found = texts.select("server", "name", F.explode(grams).alias("gram")).join(index, "gram")
+    # which names a tool may have; the text is looked at where the tool is
+    likely = found.where((F.col("other") != F.col("name")) & (F.col("shared") | (F.col("owner") != F.col("server")))).drop("gram").distinct()
+    likely = likely.select(F.col("server").alias("_server"), F.col("name").alias("_name"), "other", "lowered", "owner", "shared")
+    pairs = texts.join(likely, (F.col("name") == F.col("_name")) & F.col("server").eqNullSafe(F.col("_server")))
+    return _foreign(pairs, F.col("text"), strict).groupBy("server", "name").agg(F.array_sort(F.collect_set("other")).alias("refs"))
 
 
 def shadowing(tools: DataFrame, strict: bool = False) -> DataFrame:

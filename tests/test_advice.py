@@ -25,9 +25,9 @@ def view(*names):
     return con
 
 
-@pytest.mark.parametrize("nested", [shadowing.NESTED_LOOP_NAMES, 0])
-def test_references_read_whole_texts_and_know_all_tools(spark, monkeypatch, nested):
-    monkeypatch.setattr(shadowing, "NESTED_LOOP_NAMES", nested)
+@pytest.mark.parametrize("gram", [shadowing.GRAM, 3])
+def test_references_read_whole_texts_and_know_all_tools(spark, monkeypatch, gram):
+    monkeypatch.setattr(shadowing, "GRAM", gram)
     con = view("documents", "region", "nation")
     named = [*tables.TOOL_ROWS, *((s, f"doc_{i}", t or "") for i, s, t in con.execute("select doc_id, source, text from documents").fetchall())]
     named += [(f"{t}s", n, n) for t in ("region", "nation") for (n,) in con.execute(f"select {t[0]}_name from {t}").fetchall()]
@@ -49,9 +49,23 @@ def test_references_read_whole_texts_and_know_all_tools(spark, monkeypatch, nest
 @pytest.mark.parametrize("strict", [False, True])
 def test_both_ways_to_find_document_names(spark, monkeypatch, strict):
     rows = tools(spark, ("a", "doc_1", "See doc_12 and DOC_2."), ("b", "doc_12", "doc_1"), ("b", "doc_2", "xdoc_1 doc_1y"), ("c", "doc_2", "doc_2"), ("a", "doc_3", None), (None, "doc_4", "doc_1"), ("d", None, "doc_4 doc_1"))
-    expected = sorted(map(str, shadowing.cross_references(rows, strict).collect()))
-    monkeypatch.setattr(shadowing, "NESTED_LOOP_NAMES", 0)
-    assert expected and sorted(map(str, shadowing.cross_references(rows, strict).collect())) == expected
+    expected = sorted(map(str, shadowing.references_by_pairs(rows, strict).collect()))
+    for gram in (1, 4, 6, 40):
+        monkeypatch.setattr(shadowing, "GRAM", gram)
+        assert expected and sorted(map(str, shadowing.cross_references(rows, strict).collect())) == expected
+
+
+def test_references_to_very_many_names(spark):
+    """Names with a common beginning, names of a character, names with line ends and other scripts."""
+    n = 30_000
+    texts = [("s%d" % (i % 7), f"tool_number_{i}", f"before tool_number_{i + 1} and TOOL_NUMBER_{i * 7 % n}x, é\nß日本") for i in range(0, n, 100)]
+    names = [("z", f"Tool_Number_{i}", "") for i in range(n)] + [("z", x, None) for x in ("é\nß", "日本", "q", "E", "a.b*c", "\U0001f600x")]
+    dictionary = tools(spark, *names)
+    got = {(r.server, r.name): set(r.refs) for r in shadowing.cross_references(tools(spark, *texts), dictionary=dictionary).collect()}
+    spelled = [m[1] for m in names]
+    assert len(got) == len(texts)
+    for server, name, text in texts[::25]:
+        assert got[server, name] == {m for m in spelled if m.lower() in text.lower() and m != name}
 
 
 def test_scan_covers_all_documents_and_fixed_tools(spark):
