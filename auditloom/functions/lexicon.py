@@ -218,7 +218,7 @@ def _set(name: str) -> str:
 
 def rule(phrase: str) -> str:
     """The regular expression of a phrase over codes."""
-    out, apart = "", ""
+    out, apart, before = "", "", ""
     for kind, text in _parts(phrase):
         if kind == "start":
             out += f"(?:[{_ENDS}{MARK}{DOTTED_MARK}{COLON}]|[{_set('JOIN')}]{_REST}) *(?:{_set('BULLET')} *)?"
@@ -230,19 +230,35 @@ def rule(phrase: str) -> str:
         elif kind == "other":
             out += f"{apart}[^ {_ENDS}{COLON}{OPEN}{FILLER}{DOT}]"
         elif kind in ("gap", "lines"):
+            # begins where the word before it ends, so that the two do not share characters and try them in every way
             most, _, without = text.partition("!")
-            out += f"[^{_ENDS if kind == 'gap' else SENTENCE + DOT + DOTTED_MARK}{_set(without) if without else ''}]{{0,{most}}}"
+            first, closed = (f" {MARK}{DOTTED_MARK}{COLON}{OPEN}{QUOTE}", _ENDS) if kind == "gap" else (f" {LINE}{MARK}{COLON}{OPEN}{QUOTE}", SENTENCE + DOT + DOTTED_MARK)
+            inner = f"[^{closed}{_set(without) if without else ''}]"
+            out += f"(?:[{first}]{inner}{{0,{int(most) - 1}}})?" if before != "other" else f"{inner}{{0,{most}}}"
         else:
             found = _ATOM.match(text)
             atom = COLON if found["words"] == ":" else f"[{_set(found['words'])}]{_REST}"
             out += f"(?:{apart}{atom}){found['times']}" if found["times"] else f"{apart}{atom}"
-        apart = " *" if kind in ("words", "any") else ""
+        apart, before = " *" if kind in ("words", "any") else "", kind
     return out
 
 
+# Words that stand in any text.
+EVERYWHERE = set("a an the to of is are it you in no at as for with any all every and or by on your this that be do not - | : also another".split())
+
+
+def _needed(phrase: str) -> str:
+    """The characters of a place without which a phrase cannot be there: of its rarest words."""
+    atoms = [_ATOM.match(text) for kind, text in _parts(phrase) if kind == "words" and not text.endswith(("?", "*")) and text != ":"]
+    cost = lambda words: (len(words & EVERYWHERE), sum(w.endswith("+") for w in words), len(words))
+    return _TAKERS[min((_words_of(a["words"]) for a in atoms), key=cost)]
+
+
 #: One regular expression over codes for each count and capability.
 RULES = {name: "|".join(map(rule, _phrases(name))) for name in PHRASES}
 TAGS = {name: "|".join(map(rule, _phrases(name))) for name in CAPABILITIES}
+#: For each of these the characters of which a text has to have one; one look tells most texts from those that are searched.
+NEEDED = {pattern: f"[{''.join(sorted({c for p in _phrases(name) for c in _needed(p)}))}]" for name, pattern in (RULES | TAGS).items()}
 #: Patterns over the text itself: parts of words, and marks.
 CREDENTIALS, FS_TARGETS = "|".join(SECRETS), "|".join(PATHS)
 MARKUP = rf"<[|/]?(?:{'|'.join(TEMPLATE_TAGS)})[|]?>|\[/?inst\]|<!\[cdata\[|&#x?[0-9a-f]+;"
@@ -359,7 +375,13 @@ def codes_of_each(lists: pd.Series) -> pd.Series:
 
 def counted(text: Column, pattern: str) -> Column:
     """Non-overlapping matches of a pattern."""
-    return F.regexp_count(text, F.lit(pattern))
+    count = F.regexp_count(text, F.lit(pattern))
+    return F.when(text.rlike(NEEDED[pattern]), count).otherwise(0) if pattern in NEEDED else count
+
+
+def holds(coded: Column, pattern: str) -> Column:
+    """Whether codes match a rule."""
+    return coded.rlike(NEEDED[pattern]) & coded.rlike(pattern)
 
 
 def first_match(view: Column, coded: Column, name: str) -> Column:

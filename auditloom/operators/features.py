@@ -86,6 +86,8 @@ def read_texts(tools: DataFrame) -> DataFrame:
     """``tools`` with entropy, plain view and codes of the description (by the only Python step) and the codes of its schema's texts."""
     schema = F.col("input_schema") if "input_schema" in tools.columns else F.lit("")
     rows = tools.withColumn("_profile", T.profile(F.coalesce(F.col("description"), F.lit("")))).withColumn("_props", property_codes(F.coalesce(schema, F.lit(""))))
+    # a generated row: the optimizer does not merge projections across it, so no step runs twice
+    rows = rows.select(*tools.columns, "_props", F.explode(F.array("_profile")).alias("_profile"))
     return rows.select(*tools.columns, F.col("_profile.entropy").alias("entropy"), F.col("_profile.view").alias("view"), F.col("_profile.codes").alias("codes"), "_props")
 
 

@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.functions.lexicon import TAGS, TOXIC_PAIRS, codes_of
+from auditloom.functions.lexicon import TAGS, TOXIC_PAIRS, codes_of, holds
 from auditloom.relations import as_findings, downgraded, finding, qualified_name
+from auditloom.sources.storage import stored
 
 NAME = "toxic_flow"
 
 
 def capability_tags(codes: Column) -> Column:
     """The capabilities that the codes of a tool's name and description show."""
-    return F.array_compact(F.array(*(F.when(codes.rlike(p), F.lit(tag)) for tag, p in TAGS.items())))
+    return F.array_compact(F.array(*(F.when(holds(codes, p), F.lit(tag)) for tag, p in TAGS.items())))
 
 
 def with_capabilities(tools: DataFrame) -> DataFrame:
     """(server, name, caps) of each tool."""
     text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")))
-    coded = tools.select("server", "name", codes_of(text).alias("codes"))
-    return coded.select("server", "name", capability_tags(F.col("codes")).alias("caps"))
+    coded = tools.select("server", "name", codes_of(text).alias("coded"))
+    # generated rows: the optimizer does not merge projections across them, so no step runs twice
+    coded = coded.select("server", "name", F.explode(F.array("coded")).alias("codes"))
+    return coded.select("server", "name", F.explode(F.array(capability_tags(F.col("codes")))).alias("caps"))
 
 
 def tagged(tools: DataFrame) -> DataFrame:
-    """(server, tool, cap), one row for each capability of a qualified tool name."""
-    return with_capabilities(tools).select("server", qualified_name(F.col("server"), F.col("name")).alias("tool"), F.explode("caps").alias("cap")).distinct()
+    """(server, tool, cap), one row for each capability of a qualified tool name; stored, as flows look at it from several sides."""
+    return stored(with_capabilities(tools).select("server", qualified_name(F.col("server"), F.col("name")).alias("tool"), F.explode("caps").alias("cap")).distinct(), "tags")
 
 
 def pair_rules(spark: SparkSession) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +16,14 @@ from auditloom.relations import as_findings, finding
 from auditloom.sources.storage import stored
 
 NAME = "shadowing"
-#: Characters of the grams that names and texts are joined on; shorter names are grams of their own length.
+#: Bytes (of UTF-8) of the grams that names and texts are joined on; shorter names are grams of their own length.
 GRAM = 6
+#: Bits that tell which grams no name has, sent to all tasks whatever the number of names.
+GRAM_BITS = 22
+#: Bytes of text that one numpy pass works on (a longer text is a pass of its own).
+PASS_BYTES = 1 << 20
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
 
 def name_collisions(tools: DataFrame) -> DataFrame:
@@ -34,9 +46,55 @@ def name_owners(tools: DataFrame) -> DataFrame:
     return owners.select(F.col("name").alias("other"), F.lower("name").alias("lowered"), "owner", (F.col("owner") != F.col("last")).alias("shared"))
 
 
-def _grams(text, size: int):
-    """The distinct overlapping grams of a text, in time linear in its length."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` bytes from each place on."""
+    found = np.full(max(0, len(data) - size + 1), size, dtype=np.uint64)
+    for k in range(size):
+        found = (found ^ data[k : k + len(found)]) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(29)
+    return found
+
+
+def _distinct_grams(text: pa.Array, sizes: Callable[[np.ndarray], list[tuple[int, np.ndarray]]], bits: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, hashes) of the distinct grams of texts; ``sizes``: from the lengths of rows to (size, rows that have such grams)."""
+    offsets = np.frombuffer(text.buffers()[1], dtype=np.int64 if pa.types.is_large_string(text.type) else np.int32, count=text.offset + len(text) + 1)[text.offset :].astype(np.int64)
+    data = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)
+    begin = 0
+    while begin < len(text):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + PASS_BYTES, side="right")) - 1)
+        own, length = data[offsets[begin] : offsets[end]], np.diff(offsets[begin : end + 1])
+        row, starts = np.repeat(np.arange(len(length)), length), offsets[begin:end] - offsets[begin]
+        for size, has in sizes(length):
+            hashes = gram_hashes(own, size)
+            place = np.arange(len(hashes))
+            number = row[: len(hashes)]
+            keep = has[number] & (place + size <= (starts + length)[number])
+            if bits is not None:
+                keep &= bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)]
+            number, hashes = number[keep], hashes[keep]
+            order = np.lexsort((hashes, number))
+            number, hashes = number[order], hashes[order]
+            new = np.r_[True, (number[1:] != number[:-1]) | (hashes[1:] != hashes[:-1])] if len(number) else np.zeros(0, dtype=bool)
+            yield number[new] + begin, hashes[new].view(np.int64)
+        begin = end
+
+
+def _with_grams(rows: DataFrame, column: str, sizes, bits=None) -> DataFrame:
+    """(server, name, gram) or, of names, (other, lowered, owner, shared, gram): a row for each distinct gram."""
+    kept = [c for c in rows.columns if c != column or column == "lowered"]
+    at = rows.columns.index(column)
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, hashes in _distinct_grams(batch.column(at), sizes, bits.value if bits is not None else None):
+                for a in range(0, len(number), 1 << 17):
+                    some = pa.array(number[a : a + (1 << 17)])
+                    columns = [batch.column(rows_names.index(c)).take(some) for c in kept]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes[a : a + (1 << 17)])], names=[*kept, "gram"])
+
+    rows_names = rows.columns
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(find, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", gram long")
 
 
 def _foreign(pairs: DataFrame, text, strict: bool) -> DataFrame:
@@ -58,20 +116,23 @@ def cross_references(tools: DataFrame, strict: bool = False, dictionary: DataFra
 
     An inverted index: each name stands under the one of its grams that the fewest names have, each
     description under its distinct grams, and equal grams are joined; only the pairs that come of it
-    are looked at in the text. ``strict`` wants the name to stand as a word of its own.
+    are looked at in the text. A bitmap of fixed size keeps grams that no name has from the shuffle
+    (the more names there are, the fewer it keeps away). ``strict`` wants the name to stand as a word of its own.
     ``dictionary``: tools whose names are looked for, if not those of ``tools`` themselves.
     """
-    # distinct names under their grams; short ones are a gram themselves
+    gram = GRAM
     owners = name_owners(tools if dictionary is None else dictionary)
-    size = F.length("lowered")
-    spelled = owners.withColumn("gram", F.explode(F.when(size > GRAM, _grams(F.col("lowered"), GRAM)).otherwise(F.array("lowered"))))
+    of_names = lambda length: [(n, np.minimum(length, gram) == n) for n in np.unique(np.minimum(length, gram)) if n]
+    spelled = _with_grams(owners, "lowered", of_names)
     common = spelled.groupBy("gram").agg(F.count("*").alias("names"))
     rarest = spelled.join(common, "gram").groupBy("other", "lowered", "owner", "shared").agg(F.min_by("gram", F.struct("names", "gram")).alias("gram"))
     index = stored(rarest, "names")
-    sizes = [r.n for r in index.select(F.length("gram").alias("n")).distinct().collect()]  # at most GRAM numbers
+    sizes = [r.n for r in index.select(F.least(F.octet_length("lowered"), F.lit(gram)).alias("n")).distinct().collect()]  # at most GRAM numbers
+    bits = np.zeros(1 << GRAM_BITS, dtype=bool)
+    bits[index.select(F.pmod("gram", F.lit(1 << GRAM_BITS)).alias("bit")).distinct().toArrow().column(0).to_numpy()] = True
     texts = tools.select("server", "name", F.lower(F.coalesce("description", F.lit(""))).alias("text")).where("name is not null")
-    grams = F.concat(*(_grams(F.col("text"), n) for n in sizes)) if sizes else F.array().cast("array<string>")
-    found = texts.select("server", "name", F.explode(grams).alias("gram")).join(index, "gram")
+    of_texts = lambda length: [(n, length >= n) for n in sizes]
+    found = _with_grams(texts, "text", of_texts, tools.sparkSession.sparkContext.broadcast(bits)).join(index, "gram")
     # which names a tool may have; the text is looked at where the tool is
     likely = found.where((F.col("other") != F.col("name")) & (F.col("shared") | (F.col("owner") != F.col("server")))).drop("gram").distinct()
     likely = likely.select(F.col("server").alias("_server"), F.col("name").alias("_name"), "other", "lowered", "owner", "shared")
