@@ -18,8 +18,8 @@ from auditloom.sources.storage import stored
 NAME = "shadowing"
 #: Bytes (of UTF-8) of the grams that names and texts are joined on; shorter names are grams of their own length.
 GRAM = 6
-#: Bits that tell which grams no name has, sent to all tasks whatever the number of names.
-GRAM_BITS = 22
+#: A bitmap of 2^27 bits (16 MB), two for each gram of a name, is sent to all tasks whatever the number of names.
+GRAM_BITS, BLOCK_BITS = 27, 15
 #: Bytes of text that one numpy pass works on (a longer text is a pass of its own).
 PASS_BYTES = 1 << 20
 
@@ -55,6 +55,34 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return found
 
 
+def _among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & np.uint64((1 << GRAM_BITS) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _bitmap(index: DataFrame) -> np.ndarray:
+    """The packed bits of the grams (column gram) of names; tasks make whole blocks of it."""
+    mask = (1 << GRAM_BITS) - 1
+    both = F.array(F.col("gram").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("gram", 32).bitwiseAND(F.lit(mask)))
+    places = index.select(F.explode(both).alias("bit")).distinct().withColumn("block", F.shiftright("bit", BLOCK_BITS)).repartition("block")
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bit, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for b in np.unique(block):
+                own = made.setdefault(int(b), np.zeros(1 << BLOCK_BITS, dtype=bool))
+                own[bit[block == b] & ((1 << BLOCK_BITS) - 1)] = True
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), type=pa.int64()), pa.array([np.packbits(v, bitorder="little").tobytes() for v in made.values()])], names=["block", "bits"])
+
+    bits, size = np.zeros(1 << GRAM_BITS - 3, dtype=np.uint8), 1 << BLOCK_BITS - 3
+    found = places.mapInArrow(blocks, "block long, bits binary").toArrow()
+    for block, some in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        bits[block * size : (block + 1) * size] |= np.frombuffer(some, dtype=np.uint8)
+    return bits
+
+
 def _distinct_grams(text: pa.Array, sizes: Callable[[np.ndarray], list[tuple[int, np.ndarray]]], bits: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, hashes) of the distinct grams of texts; ``sizes``: from the lengths of rows to (size, rows that have such grams)."""
     offsets = np.frombuffer(text.buffers()[1], dtype=np.int64 if pa.types.is_large_string(text.type) else np.int32, count=text.offset + len(text) + 1)[text.offset :].astype(np.int64)
@@ -70,7 +98,7 @@ def _distinct_grams(text: pa.Array, sizes: Callable[[np.ndarray], list[tuple[int
             number = row[: len(hashes)]
             keep = has[number] & (place + size <= (starts + length)[number])
             if bits is not None:
-                keep &= bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)]
+                keep &= _among(bits, hashes) & _among(bits, hashes >> np.uint64(32))
             number, hashes = number[keep], hashes[keep]
             order = np.lexsort((hashes, number))
             number, hashes = number[order], hashes[order]
@@ -128,11 +156,9 @@ def cross_references(tools: DataFrame, strict: bool = False, dictionary: DataFra
     rarest = spelled.join(common, "gram").groupBy("other", "lowered", "owner", "shared").agg(F.min_by("gram", F.struct("names", "gram")).alias("gram"))
     index = stored(rarest, "names")
     sizes = [r.n for r in index.select(F.least(F.octet_length("lowered"), F.lit(gram)).alias("n")).distinct().collect()]  # at most GRAM numbers
-    bits = np.zeros(1 << GRAM_BITS, dtype=bool)
-    bits[index.select(F.pmod("gram", F.lit(1 << GRAM_BITS)).alias("bit")).distinct().toArrow().column(0).to_numpy()] = True
     texts = tools.select("server", "name", F.lower(F.coalesce("description", F.lit(""))).alias("text")).where("name is not null")
     of_texts = lambda length: [(n, length >= n) for n in sizes]
-    found = _with_grams(texts, "text", of_texts, tools.sparkSession.sparkContext.broadcast(bits)).join(index, "gram")
+    found = _with_grams(texts, "text", of_texts, tools.sparkSession.sparkContext.broadcast(_bitmap(index))).join(index, "gram")
     # which names a tool may have; the text is looked at where the tool is
     likely = found.where((F.col("other") != F.col("name")) & (F.col("shared") | (F.col("owner") != F.col("server")))).drop("gram").distinct()
     likely = likely.select(F.col("server").alias("_server"), F.col("name").alias("_name"), "other", "lowered", "owner", "shared")
