@@ -9,6 +9,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from paragraphs import FOREIGN as FOREIGN_TEXTS
+from paragraphs import KNOWN
 
 from auditloom.llm import bitpack, isomedia, langid, linear, nbsvm, ngram_join, order_minhash, packing, spm_fst, tokens, toxicity
 
@@ -328,12 +330,14 @@ def test_language_scores_are_the_slow_ones(spark):
     import pyarrow as pa
 
     model = langid.fit_languages(spark.read.parquet(f"{SF}/documents.parquet"))
-    z, count, share = model.averages(pa.array([*TEXTS, *TEXTS[::-1]]))
+    z, count, share, typical = model.averages(pa.array([*TEXTS, *TEXTS[::-1]]))
     for i, text in enumerate([*TEXTS, *TEXTS[::-1]]):
         own = slow_buckets(langid.GRAMS, text)
         seen = [b for b in own if model.seen[b]]
         mean = sum((model.logits[b >> 6].astype(float) for b in seen), np.zeros(len(model.languages))) / max(1, len(seen)) + model.bias
         assert count[i] == len(own) and abs(share[i] - len(seen) / max(1, len(own))) < 1e-12 and np.abs(z[i] - mean).max() < 1e-9
+        frequent = sum((model.shares[model.typical[b]] for b in own), np.zeros(len(model.languages))) / max(1, len(own))
+        assert np.abs(typical[i] - frequent).max() < 1e-9
     assert (z[: len(TEXTS)] == z[len(TEXTS) :][::-1]).all()  # equal texts, whatever stands beside them
     language, score, rejected, _ = model.predict(pa.array(TEXTS))
     p = langid.softmax(z[: len(TEXTS)] / model.temperature)
@@ -341,7 +345,11 @@ def test_language_scores_are_the_slow_ones(spark):
         if not any(map(str.isalpha, text)):
             assert (language[i], score[i], rejected[i]) == ("und", 0, True)
         else:
-            assert language[i] == model.languages[p[i].argmax()] and score[i] == p[i].max()
+            first, second = sorted(z[i])[::-1][:2]
+            near = (typical[i][z[i].argmax()] * count[i] + 3 * model.usual[0]) / (count[i] + 3)
+            lead = ((first - second) * share[i] * count[i] + 3 * model.usual[1]) / (count[i] + 3)
+            known = min(1, lead / model.lead) / (1 + np.exp(-model.known[0] * near - model.known[1]))
+            assert language[i] == model.languages[p[i].argmax()] and abs(score[i] - p[i].max() * known) < 1e-12 and rejected[i] == (score[i] < 0.5)
 
 
 FOREIGN = ["これは日本語の文章です。とても長いです。", "Это предложение написано на русском языке.", "Questa frase è scritta in italiano, e non dovrebbe essere accettata dal modello.", "def f(x):\n    return [i for i in range(x)]\nimport os, sys\nprint(os.path)", "zzqx wvk jjhh pqz xxk vvb"]
@@ -357,6 +365,61 @@ def test_foreign_texts_are_rejected_and_known_ones_stay(spark):
     assert kept == {r.doc_id for r in rows if not r.rejected}
 
 
+def test_real_paragraphs_of_known_languages_stay_and_others_go(spark):
+    import pyarrow as pa
+
+    model = langid.fit_languages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert 0.1 < model.temperature < 10  # within its grid
+    kept, gone = [], []
+    for language, texts in KNOWN.items():
+        found, score, rejected, _ = model.predict(pa.array(texts))
+        assert (found == language).all()
+        kept += list(zip(rejected, score, strict=True))
+    for texts in FOREIGN_TEXTS.values():
+        _, score, rejected, _ = model.predict(pa.array(texts))
+        gone += list(zip(rejected, score, strict=True))
+    assert np.mean([not r for r, _ in kept]) >= 0.95 and np.mean([r for r, _ in gone]) >= 0.9
+    assert max(s for r, s in kept + gone if r) < min(s for r, s in kept + gone if not r)
+
+
+def test_descent_is_the_slow_one():
+    random = np.random.default_rng(3)
+    rows = [np.unique(random.integers(0, 50, 8)) for _ in range(12)]
+    counts = [random.integers(1, 4, len(r)).astype(float) for r in rows]
+    y = random.integers(0, 3, 12)
+    logits, bias = langid.descend(rows, counts, y, 3, epochs=2, rate=0.5)
+    start = np.random.default_rng(11)
+    embedding = start.normal(0, 1 / langid.WIDTH, (1 << langid.EMBEDDED_BITS, langid.WIDTH))
+    layer, shift = start.normal(0, 1 / np.sqrt(langid.WIDTH), (langid.WIDTH, 3)), [0.0] * 3
+    step = 0
+    for _ in range(2):
+        for i in start.permutation(12):
+            now, step = 0.5 * (1 - step / 24), step + 1
+            share = counts[i] / counts[i].sum()
+            hidden = [sum(s * embedding[r][d] for r, s in zip(rows[i], share, strict=True)) for d in range(langid.WIDTH)]
+            z = [sum(hidden[d] * layer[d][c] for d in range(langid.WIDTH)) + shift[c] for c in range(3)]
+            e = [np.exp(v) for v in z]
+            error = [v / sum(e) - (c == y[i]) for c, v in enumerate(e)]
+            back = [sum(layer[d][c] * error[c] for c in range(3)) for d in range(langid.WIDTH)]
+            for d in range(langid.WIDTH):
+                for c in range(3):
+                    layer[d][c] -= now * hidden[d] * error[c]
+                for r, s in zip(rows[i], share, strict=True):
+                    embedding[r][d] -= now * 20 * s * back[d]
+            shift = [b - 0.1 * now * v for b, v in zip(shift, error, strict=True)]
+    assert np.abs(logits - embedding @ layer).max() < 1e-5 and np.abs(bias - shift).max() < 1e-9
+
+
+@pytest.mark.parametrize("labelled", [(), ("en",), ("en", "de")])
+def test_few_languages_to_learn_from(spark, labelled):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = ",".join(f"'{x}'" for x in (*labelled, "-"))
+    rows = langid.predict_languages(docs.selectExpr("doc_id", "text", f"case when lang in ({known}) then lang end as lang")).collect()
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    assert {r.lang_pred for r in rows} <= {*labelled, "und"} and all(0 <= r.score <= 1 for r in rows)
+    assert np.mean([not r.rejected for r in rows if truth[r.doc_id] in labelled] or [1]) >= 0.95
+
+
 @pytest.mark.parametrize("left_out", ["de", "es", "fr"])
 def test_a_language_that_training_lacks_is_rejected(spark, left_out):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
