@@ -16,8 +16,9 @@ from auditloom.llm._common import stored, table
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents that it rejects go.
 
-    These are null texts, texts without a letter, and those whose score or whose share of n-grams
-    known from training is under its calibrated bound. Null languages are not learned from.
+    These are null texts, texts without a letter, and those of which it is likelier that their
+    language is none of the learned ones, or another one, than the predicted one. Null languages
+    are not learned from.
     """
     return langid.keep_known(docs)
 
