@@ -60,17 +60,28 @@ def confusion(rows: DataFrame, score: Column, threshold: float = 0.5, by: tuple[
     return cells.select(*by, tp, fp, tn, fn, share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), share(tp + tn, tp + fp + tn + fn).alias("accuracy"))
 
 
+def score_ranges(rows: DataFrame, score: Column) -> DataFrame:
+    """(s, p, n, part): each distinct score with its positives and negatives, and its range of scores.
+
+    The ranges are dealt by a range sort of the distinct scores, not by their width, so scores that
+    crowd together are split as well; a score that many rows share is one row. Null scores are left
+    out. The rows are stored, as ranges hold for this run's partitions alone.
+    """
+    by_score = rows.groupBy(score.alias("s")).agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.sum((F.col("label") != 1).cast("long")).alias("n"))
+    return stored(by_score.where("s is not null").repartitionByRange("s").withColumn("part", F.spark_partition_id()), "scores")
+
+
 def roc_auc(rows: DataFrame, score: Column) -> DataFrame:
     """(auc, n_pos, n_neg) by counts for each distinct score; ties count half.
 
-    Only the distinct scores meet in one place, as counts; ranges of scores would split them too.
+    The negatives below a score are those of lower ranges, a prefix sum over one row for each range,
+    and those below it in its own.
     """
-    by_score = rows.groupBy(score.alias("s")).agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.sum((F.col("label") != 1).cast("long")).alias("n"))
-    buckets = by_score.withColumn("range", F.floor(F.col("s") * 1024))
-    ends = buckets.groupBy("range").agg(F.sum("n").alias("rn"))
-    below = ends.select("range", (F.coalesce(F.sum("rn").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
-    inside = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = buckets.join(F.broadcast(below), "range").withColumn("lower", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    ranges = score_ranges(rows, score)
+    ends = ranges.groupBy("part").agg(F.sum("n").alias("rn"))
+    below = ends.select("part", F.coalesce(F.sum("rn").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranges.join(F.broadcast(below), "part").withColumn("lower", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     total = ranked.agg(F.sum(F.col("p") * (F.col("lower") + F.col("n") / 2)).alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     return total.select(F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg"))).otherwise(F.lit(0.0)).alias("auc"), F.coalesce("n_pos", F.lit(0)).alias("n_pos"), F.coalesce("n_neg", F.lit(0)).alias("n_neg"))
 

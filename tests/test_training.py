@@ -118,3 +118,33 @@ def test_only_named_files_have_to_be_readable(spark, tmp_path, monkeypatch, caps
     scan = ["scan", "--enable", "drift", "--fail-on", "never"]
     assert cli.main([*scan, "--config", str(good), "--discover"], spark) == 0 and "bad.json" in capsys.readouterr().err
     assert cli.main([*scan, "--config", str(bad)], spark) == 2
+
+
+@pytest.mark.parametrize("crowded", ["near one", "one heavy score", "few"])
+def test_auc_of_crowded_scores(spark, crowded):
+    """Scores within a millionth of 1 are split over several ranges; a score of half of all rows is one of them."""
+    random = np.random.default_rng(2)
+    n = 60 if crowded == "few" else 4000
+    score = 1 - random.random(n) * 1e-6
+    if crowded == "one heavy score":
+        score[: n // 2] = 0.5
+    if crowded == "few":
+        score = random.integers(0, 4, n) / 4
+    label = (random.random(n) < 0.3).astype(int)
+    frame = spark.createDataFrame([(int(a), float(b)) for a, b in zip(label, score, strict=True)] + [(1, None)], "label int, score double")
+    found = training.roc_auc(frame, F.col("score")).first()
+    good, bad = score[label == 1], score[label == 0]
+    wins = (good[:, None] > bad).sum() + 0.5 * (good[:, None] == bad).sum()
+    assert (found.n_pos, found.n_neg) == (len(good), len(bad)) and abs(found.auc - wins / (len(good) * len(bad))) < 1e-12
+    with_parts = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tables are read by one task otherwise
+    try:
+        sizes = [r["count"] for r in training.score_ranges(frame, F.col("score")).groupBy("part").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_parts)
+    assert sum(sizes) == len(set(score.tolist())) and (crowded == "few" or max(sizes) < 2 * sum(sizes) / len(sizes))
+
+
+def test_auc_without_rows(spark):
+    frame = spark.createDataFrame([], "label int, score double")
+    assert training.roc_auc(frame, F.col("score")).first().asDict() == {"auc": 0.0, "n_pos": 0, "n_neg": 0}
