@@ -52,3 +52,13 @@ def numbered_within(rows: DataFrame, group: str, *order: Column) -> DataFrame:
     begins = sizes.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), "_first", before.alias("_before"))
     found = ranged.join(begins, ranged[group].eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
     return found.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before")).cast("long").alias("number"))
+
+
+def least_members(rows: DataFrame, group: str, member: str, most: int) -> DataFrame:
+    """(group, ``member``s) with the ``most`` least distinct members of each group, sorted; nulls are no members.
+
+    Each task hands on so many rows of a group only, so a list and the work on it are bounded whatever the group.
+    """
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(member))
+    least = rows.where(F.col(member).isNotNull()).select(group, member).distinct().withColumn("_rank", rank).where(F.col("_rank") <= most)
+    return least.groupBy(group).agg(F.array_sort(F.collect_list(member)).alias(f"{member}s"))

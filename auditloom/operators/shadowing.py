@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.names import name_key
+from auditloom.operators.ranking import least_members
 from auditloom.relations import as_findings, finding
 from auditloom.sources.storage import stored
 
 NAME = "shadowing"
+#: Members of a group that a finding lists, the least ones.
+LISTED = 100
 #: Bytes (of UTF-8) of the grams that names and texts are joined on; shorter names are grams of their own length.
 GRAM = 6
 #: A bitmap of 2^27 bits (16 MB), two for each gram of a name, is sent to all tasks whatever the number of names.
@@ -27,17 +30,29 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 
 def name_collisions(tools: DataFrame) -> DataFrame:
-    """(name, servers, n_servers, n_descriptions, severity) of names that several servers have."""
-    groups = tools.groupBy("name").agg(F.array_sort(F.collect_set("server")).alias("servers"), F.countDistinct("description").alias("n_descriptions"))
-    found = groups.where(F.size("servers") >= 2)
-    return found.select("name", "servers", F.size("servers").alias("n_servers"), "n_descriptions", F.when(F.col("n_descriptions") >= 2, "high").otherwise("medium").alias("severity"))
+    """(name, servers, n_servers, n_descriptions, severity) of names that several servers have; at most LISTED servers are listed (``collision_members`` has all)."""
+    found = tools.groupBy("name").agg(F.countDistinct("server").alias("n_servers"), F.countDistinct("description").alias("n_descriptions")).where("n_servers >= 2")
+    listed = least_members(tools, "name", "server", LISTED).withColumnRenamed("name", "_name")
+    found = found.join(listed, F.col("name").eqNullSafe(F.col("_name")))
+    return found.select("name", "servers", F.col("n_servers").cast("int").alias("n_servers"), "n_descriptions", F.when(F.col("n_descriptions") >= 2, "high").otherwise("medium").alias("severity"))
+
+
+def collision_members(tools: DataFrame) -> DataFrame:
+    """(name, server): every server of each name that several servers have."""
+    pairs = tools.where("server is not null").select("name", "server").distinct()
+    shared = pairs.groupBy("name").agg(F.min("server").alias("_first"), F.max("server").alias("_last")).where("_first <> _last").select(F.col("name").alias("_name"))
+    return pairs.join(shared, F.col("name").eqNullSafe(F.col("_name")), "left_semi")
 
 
 def near_duplicate_names(tools: DataFrame) -> DataFrame:
-    """(key, names, servers) of names alike but for case and punctuation, on several servers."""
-    keyed = tools.withColumn("key", name_key(F.col("name"))).groupBy("key")
-    groups = keyed.agg(F.array_sort(F.collect_set("name")).alias("names"), F.array_sort(F.collect_set("server")).alias("servers"))
-    return groups.where((F.size("names") >= 2) & (F.size("servers") >= 2))
+    """(key, names, servers) of names alike but for case and punctuation, on several servers; at most LISTED names and servers are listed."""
+    keyed = tools.withColumn("key", name_key(F.col("name"))).select("key", "name", "server").distinct()
+    ends = keyed.groupBy("key").agg(*(f(c).alias(f"_{f.__name__}_{c}") for c in ("name", "server") for f in (F.min, F.max)))
+    found = ends.where("_min_name <> _max_name and _min_server <> _max_server").select("key")
+    for member in ("name", "server"):
+        listed = least_members(keyed, "key", member, LISTED).withColumnRenamed("key", "_key")
+        found = found.join(listed, F.col("key").eqNullSafe(F.col("_key"))).drop("_key")
+    return found.select("key", "names", "servers")
 
 
 def name_owners(tools: DataFrame) -> DataFrame:

@@ -151,6 +151,12 @@ def name_collisions(spark, sf_dir):
     return shadowing.name_collisions(tables.part_tools(spark, sf_dir))
 
 
+@query("collision_members", """
+SELECT DISTINCT p_name AS name, p_brand AS server FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) >= 2)""")
+def collision_members(spark, sf_dir):
+    return shadowing.collision_members(tables.part_tools(spark, sf_dir))
+
+
 @query("near_duplicate_names", """
 WITH spelled AS (SELECT p_brand AS server, CASE WHEN p_size > 25 THEN lower(replace(p_type, ' ', '_')) ELSE p_type END AS name FROM part)
 SELECT regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key, list_sort(list(DISTINCT name)) AS names, list_sort(list(DISTINCT server)) AS servers
