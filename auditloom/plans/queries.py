@@ -744,6 +744,18 @@ def tool_dump_json(spark, sf_dir):
     return found.join(listed, "server", "left_semi").select("server", "name", "description", "input_schema")
 
 
+@query("tool_dump_file", f"WITH {tables.SERVERS_SQL}, {ALL_TOOLS_SQL} SELECT server, name, raw AS description, '{{}}' AS input_schema FROM all_tools")
+def tool_dump_file(spark, sf_dir):
+    """All tools written as one file and read back from it in splits."""
+    tools = all_tools(spark, sf_dir)
+    fixed = tables.fixed_servers(spark)
+    servers = fixed.unionByName(tables.tool_servers(tools).join(F.broadcast(fixed.select("name")), "name", "left_anti").select(fixed.columns))
+    path = storage.shared_path(spark, "dump.json")
+    sinks.write_tool_dump(servers, tools, path)
+    found = configs.read_tool_dump(spark, path)[1]
+    return found.join(tools.select("server").distinct(), "server", "left_semi").select("server", "name", "description", "input_schema")
+
+
 @query("config_servers", """SELECT 'page_' || page_id || CASE length(url) % 4 WHEN 3 THEN '.toml' ELSE '.json' END AS path, 'page ' || page_id AS name, CASE WHEN length(url) % 4 = 1 THEN 'npx' END AS command, CASE length(url) % 4 WHEN 1 THEN ['-y', url, '7'] ELSE [] END AS args,
   CASE WHEN length(url) % 4 <> 1 THEN nullif(url, '') END AS url, CASE length(url) % 4 WHEN 0 THEN 'sse' WHEN 1 THEN 'stdio' WHEN 2 THEN 'http' ELSE 'http' END AS transport FROM pages WHERE url IS NOT NULL""")
 def config_servers(spark, sf_dir):

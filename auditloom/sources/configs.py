@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from auditloom.operators.scoring import LogisticModel
+from auditloom.sources import dumps
+from auditloom.sources.dumps import read_tool_dump  # noqa: F401 - read with the other inputs
 
 # Where server tables and their fields are found.
 TABLE_KEYS = ("mcpServers", "servers", "mcp_servers", "mcp.servers")
@@ -128,7 +130,7 @@ def servers_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ).dropDuplicates(["source_path", "name"]), errors
 
 
-DUMP = "servers array<struct<name:string,transport:string,command:string,args:array<string>,env:map<string,string>,url:string,tools:array<variant>>>"
+DUMP = f"servers array<struct<{dumps.SERVER}, tools: array<variant>>>"
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:
@@ -139,27 +141,11 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path}: cannot be read: {str(e).splitlines()[0]}") from e
 
 
-def read_tool_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(servers, tools) of captured definitions. Entries without a name are skipped; what is no dump is a ValueError."""
-    texts = _texts(spark, path)
-    whole = F.try_parse_json("value")
-    bad = texts.where(whole.isNull() | F.try_variant_get(whole, "$.servers", "array<variant>").isNull())
-    if texts.isEmpty() or not bad.isEmpty():
-        raise ValueError(f"{path}: no dump: JSON with a list of servers is expected")
-    return dump_relations(texts)
-
-
 def dump_relations(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(servers, tools) of dumps that stand in rows, such as answers of other programs."""
     server = texts.select(F.posexplode(F.from_json("value", DUMP)["servers"]).alias("at", "s")).where("coalesce(s.name, '') <> ''")
-    servers = server.select("s.name", "s.command", "s.args", "s.env", "s.url", F.coalesce("s.transport", F.lit("stdio")).alias("transport"), F.lit("").alias("source_path"), F.col("at").cast("long").alias("ord"))
     tool = server.select(F.col("s.name").alias("server"), "at", F.posexplode("s.tools").alias("pos", "t"))
-    get = lambda k: F.try_variant_get("t", f"$.{k}", "string")
-    part = lambda *ks: F.coalesce(*(F.to_json(F.try_variant_get("t", f"$.{k}", "map<string,variant>")) for k in ks), F.lit("{}"))
-    tools = tool.where(F.coalesce(get("name"), F.lit("")) != "").select(
-        "server", get("name").alias("name"), F.coalesce(get("description"), F.lit("")).alias("description"), part("inputSchema", "input_schema").alias("input_schema"),
-        part("annotations").alias("annotations"), F.lit("tool").alias("kind"), (F.col("at") * 1_000_000 + F.col("pos")).cast("long").alias("ord"),
-    )
-    return servers, tools
+    return server.select(*dumps.server_columns("s", F.col("at"))), dumps.tools_from(tool, F.col("at") * 1_000_000 + F.col("pos"))
 
 
 def read_baseline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators.scoring import LogisticModel
+from auditloom.sources import storage
 from auditloom.sources.configs import BASELINE_FORMAT, read_baseline
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
 
 def tool_dump(servers: DataFrame, tools: DataFrame) -> DataFrame:
     """(name, server JSON) of each server with its tools in order; servers without tools stay."""
@@ -25,9 +31,64 @@ def tool_dump(servers: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def write_tool_dump(servers: DataFrame, tools: DataFrame, path: str) -> None:
-    """One JSON file of all servers, for captures that fit one machine; use Parquet beyond."""
-    rows = [r.json for r in tool_dump(servers, tools).orderBy("name").toLocalIterator()]
-    Path(path).write_text('{"servers":[' + ",\n".join(rows) + "]}", encoding="utf-8")
+    """One JSON file of all servers by name, a line for each tool in order; tools of unknown servers are left out.
+
+    A server stands in as many rows as it has tools, so a server with very many of them is written by many tasks.
+    """
+    raw = lambda c: F.coalesce(F.to_json(F.try_parse_json(c)), F.lit("{}"))
+    known = tools.join(servers.select(F.col("name").alias("server")).distinct(), "server", "left_semi")
+    cut = lambda c: F.expr(f"substring({c}, 1, length({c}) - 1)")
+    tool = known.withColumn("head", F.to_json(F.struct("name", "description"))).select(
+        "server", F.lit(1).alias("step"), "ord", F.concat(cut("head"), F.lit(',"inputSchema":'), raw("input_schema"), F.lit(',"annotations":'), raw("annotations"), F.lit("}")).alias("value")
+    )
+    head = servers.withColumn("head", F.to_json(F.struct("name", "transport", "command", "args", "env", "url")))
+    line = lambda step, value: F.struct(F.lit(step).alias("step"), F.lit(0).cast("long").alias("ord"), value.alias("value"))
+    ends = head.select(F.col("name").alias("server"), F.inline(F.array(line(0, F.concat(cut("head"), F.lit(',"tools":['))), line(2, F.lit("]}")))))
+    write_listed(ends.unionByName(tool), ["server", "step", "ord", "value"], '{"servers":[', "]}", path)
+
+
+def write_listed(rows: DataFrame, order: list[str], before: str, after: str, path: str) -> None:
+    """One JSON file: ``before``, the lines ``value`` in order, ``after``.
+
+    A line that begins with ``{`` gets a comma before it where the line before it ends with ``}``. Tasks write
+    sorted parts to the shared folder; the driver joins them byte by byte, in constant memory.
+    """
+
+    def with_commas(batches):
+        ended = False
+        for batch in batches:
+            out = []
+            for value in batch.column(0).to_pylist():
+                out.append("," + value if ended and value[0] == "{" else value)
+                ended = value[-1] == "}"
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+
+    spark = rows.sparkSession
+    parts = storage.shared_path(spark, "parts")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").mapInArrow(with_commas, "value string").write.text(parts)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
+    source, sink = folder.getFileSystem(conf), target.getFileSystem(conf)
+    sink.setWriteChecksum(False)  # the file is for other programs, which do not keep checksums beside it
+    out = sink.create(target, True)
+    try:
+        out.write(bytearray(before.encode()))
+        ended = False
+        for part in sorted((f for f in source.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen() > 0), key=lambda f: f.getPath().getName()):
+            stream = source.open(part.getPath())
+            begins = stream.read() == ord("{")
+            stream.seek(part.getLen() - 2)
+            ends = stream.read() == ord("}")  # each line ends with a line feed
+            stream.seek(0)
+            if ended and begins:
+                out.write(ord(","))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+            ended = ends
+        out.write(bytearray(after.encode()))
+    finally:
+        out.close()
+        sink.setWriteChecksum(True)
 
 
 def write_baseline(baseline: tuple[DataFrame, DataFrame], path: str) -> None:
