@@ -243,6 +243,7 @@ def read_tool_dump(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTE
     if not rest.where("not lists").isEmpty() or not texts.where(F.try_parse_json("text").isNull()).isEmpty():
         raise ValueError(f"{path}: no dump: JSON with a list of servers is expected")
     server = texts.where("server >= 0 and tool < 0").select("server", F.from_json("text", SERVER).alias("s")).where("coalesce(s.name, '') <> ''")
-    names = server.select(F.col("server").alias("at"), F.col("s.name").alias("server"))
+    # a stored table has a size that Spark knows, so small lists of servers go to the tools and the texts are not shuffled
+    names = storage.stored(server.select(F.col("server").alias("at"), F.col("s.name").alias("server")), "names")
     tool = texts.where("tool >= 0").select(F.col("server").alias("at"), "tool", F.try_parse_json("text").alias("t"))
     return server.select(*server_columns("s", F.col("server"))), tools_from(tool.join(names, "at"), F.col("tool"))

@@ -84,6 +84,7 @@ def write_listed(rows: DataFrame, order: list[str], before: str, after: str, pat
                 out.write(ord(","))
             jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
             stream.close()
+            source.delete(part.getPath(), False)  # so that parts and file together take the room of one
             ended = ends
         out.write(bytearray(after.encode()))
     finally:
