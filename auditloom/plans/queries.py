@@ -747,7 +747,7 @@ def tool_dump_json(spark, sf_dir):
 @query("tool_dump_file", f"WITH {tables.SERVERS_SQL}, {ALL_TOOLS_SQL} SELECT server, name, raw AS description, '{{}}' AS input_schema FROM all_tools")
 def tool_dump_file(spark, sf_dir):
     """All tools written as one file and read back from it in splits."""
-    tools = all_tools(spark, sf_dir)
+    tools = tables.fixed_tools(spark).unionByName(tables.document_tools(spark, sf_dir, dealt=False))  # the writer sorts, which deals them out
     fixed = tables.fixed_servers(spark)
     servers = fixed.unionByName(tables.tool_servers(tools).join(F.broadcast(fixed.select("name")), "name", "left_anti").select(fixed.columns))
     path = storage.shared_path(spark, "dump.json")

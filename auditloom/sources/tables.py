@@ -35,8 +35,10 @@ def _tools(rows: DataFrame) -> DataFrame:
     return rows.select("server", "name", "description", F.lit("{}").alias("input_schema"), F.lit("{}").alias("annotations"), F.lit("tool").alias("kind"), "ord")
 
 
-def document_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+def document_tools(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """Documents as tools; ``dealt``: spread over the cores, for work that does not shuffle them itself."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread(docs) if dealt else docs
     return _tools(docs.select(F.col("source").alias("server"), F.concat(F.lit("doc_"), "doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("description"), F.col("doc_id").alias("ord")))
 
 
