@@ -36,6 +36,7 @@ def write_tool_dump(servers: DataFrame, tools: DataFrame, path: str) -> None:
     A server stands in as many rows as it has tools, so a server with very many of them is written by many tasks.
     """
     raw = lambda c: F.coalesce(F.to_json(F.try_parse_json(c)), F.lit("{}"))
+    servers = storage.stored(servers, "servers")  # of a size that Spark knows: where it is small, tools are not shuffled to find theirs
     known = tools.join(servers.select(F.col("name").alias("server")).distinct(), "server", "left_semi")
     cut = lambda c: F.expr(f"substring({c}, 1, length({c}) - 1)")
     tool = known.withColumn("head", F.to_json(F.struct("name", "description"))).select(
