@@ -753,7 +753,7 @@ def tool_dump_file(spark, sf_dir):
     path = storage.shared_path(spark, "dump.json")
     sinks.write_tool_dump(servers, tools, path)
     found = configs.read_tool_dump(spark, path)[1]
-    return found.join(tools.select("server").distinct(), "server", "left_semi").select("server", "name", "description", "input_schema")
+    return found.join(storage.stored(tools.select("server").distinct(), "listed"), "server", "left_semi").select("server", "name", "description", "input_schema")
 
 
 @query("config_servers", """SELECT 'page_' || page_id || CASE length(url) % 4 WHEN 3 THEN '.toml' ELSE '.json' END AS path, 'page ' || page_id AS name, CASE WHEN length(url) % 4 = 1 THEN 'npx' END AS command, CASE length(url) % 4 WHEN 1 THEN ['-y', url, '7'] ELSE [] END AS args,
