@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm._common import doc_columns, shared_path, slices, small_batches
+from auditloom.llm._common import BATCH_BYTES, SLICE_BYTES, doc_columns, shared_path, slices, small_batches
 from auditloom.llm.tokens import chunk_tokenizer
 
 MAGIC = b"ALBITS01"
@@ -133,13 +133,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = chunk_tokenizer(tokenizer_path, words).encode
+        encode_all = chunk_tokenizer(tokenizer_path, words).encode_array
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = [np.frombuffer(x + end, dtype="<u4").astype(narrow).tobytes() for x in encode_all(part.column(1).to_pylist())]
+            for part in slices(batch, "text", BATCH_BYTES if words else SLICE_BYTES):
+                ids, starts = encode_all(part.column(1), end)
+                at = (starts * np.dtype(narrow).itemsize).astype(np.int64)
+                ids = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(at), pa.py_buffer(ids.astype(narrow))]).cast(pa.binary())
                 keys = part.column(0)
                 shard = np.where(np.asarray(keys.is_null()), 0, np.searchsorted(bounds, np.asarray(keys.fill_null(0)), side="left"))
-                yield pa.RecordBatch.from_arrays([pa.array(shard, type=pa.int32()), keys, pa.array(ids, type=pa.binary())], names=["shard", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard, type=pa.int32()), keys, ids], names=["shard", "doc_id", "ids"])
 
     def image_rows(shard, part, before, held):
         ids = np.concatenate([np.frombuffer(x, dtype=narrow) for _, x in held])

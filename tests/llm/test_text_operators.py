@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from paragraphs import FOREIGN as FOREIGN_TEXTS
 from paragraphs import KNOWN
@@ -57,6 +58,54 @@ def test_chunked_ids_are_those_of_the_library(path, words):
     assert tokens.ChunkTokenizer(path, words).encode([None]) == [b""]
 
 
+class Counted:
+    """The library, with a count of the texts that it is given."""
+
+    def __init__(self, found):
+        self.found, self.texts = found, 0
+
+    def encode(self, text, **more):
+        self.texts += 1
+        return self.found.encode(text, **more)
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += len(texts)
+        return self.found.encode_batch_fast(texts, **more)
+
+
+def test_new_words_go_to_the_library_many_at_a_time():
+    random.seed(9)
+    words = sorted({"".join(random.choice("abcdeéüñst") for _ in range(random.randint(1, 60))) for _ in range(5000)})
+    coder = tokens.ChunkTokenizer(WORDS, True)
+    coder.library = Counted(coder.library)
+    got = coder.encode([" ".join(words), ", ".join(words)])
+    assert got == [np.asarray(library(WORDS).encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in (" ".join(words), ", ".join(words))]
+    assert coder.library.texts < len(words) / 50
+
+
+def test_words_beside_wide_marked_and_special_texts():
+    texts = ["J\u030c H\u0331, K\u212a ß. ÀÞ×÷", None, "A.B,c don't.stop 's.x l'été!a", " \x1c.a\x1f b\x85c\u2028d\xa0e ", "<|ENDOFTEXT|> É", "ok", "<|endoftext|>日本", "", "\n", "Ünï.日本,x a\u0301.b", "a" * 9000 + ".b"]
+    coder = tokens.ChunkTokenizer(WORDS, True)
+    expected = [library(WORDS).encode(x or "", add_special_tokens=False).ids for x in texts]
+    for rows, wanted in ((texts, expected), (texts[::-1], expected[::-1]), ([], []), ([None], [[]])):
+        for kind in (pa.string(), pa.large_string()):
+            ids, offsets = coder.encode_array(pa.array(["cut off", *rows], type=kind).slice(1), np.asarray([2], dtype="<u4").tobytes())
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[*x, 2] for x in wanted]
+
+
+def test_words_that_lack_an_end_are_encoded_one_by_one(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    for suffix in ({"end_of_word_suffix": "</w>"}, {}):
+        vocabulary = {x: i for i, x in enumerate(["a", "b", "a</w>", "ab", "ab</w>", "b</w>", "c"])}
+        made = Tokenizer(models.BPE(vocabulary, [("a", "b"), ("a", "b</w>")], **suffix))
+        made.pre_tokenizer = pre_tokenizers.Whitespace()
+        made.save(str(tmp_path / "small.json"))
+        texts = ["ab a b aab", "ac ca ab", "", "c"]
+        expected = [np.asarray(made.encode(x).ids, dtype="<u4").tobytes() for x in texts]
+        assert tokens.ChunkTokenizer(str(tmp_path / "small.json"), True).encode(texts) == expected
+
+
 def test_packing_places_every_id_once(awkward):
     rows = packing.harmonic_pack(awkward, BYTES).collect()
     ids = {r[0]: np.asarray(library(BYTES).encode(r[1] or "", add_special_tokens=False).ids + [1], dtype="<u4") for r in awkward_rows()}
