@@ -9,7 +9,8 @@ from conftest import SF
 
 from auditloom.functions import lexicon as L
 from auditloom.functions import text as T
-from auditloom.operators import features, flows, semantic
+from auditloom.operators import drift, features, flows, semantic
+from auditloom.plans import engine
 from auditloom.plans import queries as catalogue
 from auditloom.relations import TOOLS
 
@@ -72,3 +73,20 @@ def test_decoded_text_supersedes_the_score_of_its_own_tool(spark):
     rows = [("a", "twice", steers, "{}", "{}", "tool", 1), ("a", "twice", steers, "{}", "{}", "tool", 1), ("a", "twice", bad, "{}", "{}", "tool", 2), ("a", "none", None, None, None, "tool", None), ("a", "zero", "x\u200b" + bad, "{}", "{}", "tool", None)]
     got = sorted((r.tool, r.severity, r.title.split(":")[0]) for r in semantic.semantic(spark.createDataFrame(rows, TOOLS), catalogue.small_model()).collect())
     assert got == [("twice", "critical", "Encoded payload in a description"), ("twice", "high", "Description reads as orders to the model"), ("zero", "critical", "Invisible characters in a description"), ("zero", "high", "Description reads as orders to the model")]
+
+
+def test_drift_shuffles_no_whole_texts(spark):
+    tools = spark.createDataFrame([("a", "t", "old", "{}", "{}", "tool", 1), ("a", "t", "new", "{}", "{}", "tool", 2)], TOOLS)
+    kept = drift.snapshot(tools)[1]
+    assert [r.preview for r in kept.collect()] == ["new"]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    shuffled = plan[plan.index("Exchange") :]  # the plan below the shuffle makes the digests
+    assert "sha2(" in shuffled
+
+
+def test_scan_all_is_a_small_plan_and_names_a_detector_that_fails(spark, monkeypatch):
+    plan = catalogue.scan_all(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan  # all five detectors, planned together, read it more than ten times
+    monkeypatch.setattr(engine, "DETECTORS", {"broken": lambda r, c: r.tools.select(features.F.raise_error(features.F.lit("no")).alias("detector"))})
+    with pytest.raises(RuntimeError, match="broken"):
+        catalogue.scan_all(spark, SF)
