@@ -90,3 +90,11 @@ def test_scan_all_is_a_small_plan_and_names_a_detector_that_fails(spark, monkeyp
     monkeypatch.setattr(engine, "DETECTORS", {"broken": lambda r, c: r.tools.select(features.F.raise_error(features.F.lit("no")).alias("detector"))})
     with pytest.raises(RuntimeError, match="broken"):
         catalogue.scan_all(spark, SF)
+
+
+def test_batches_of_texts_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for step in (features.measured, flows.with_capabilities):
+        spark.conf.unset(key)
+        step(spark.createDataFrame([], TOOLS))
+        assert spark.conf.get(key) == str(8 << 20)
